@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE, _BASE, _FIRST = "__slice", "__base", "__first"
+_SLICE, _BASE = "__rt_slice", "__rt_base"
 
 
 def hash_order(seed: int, *cols: Column | str) -> Column:
@@ -38,18 +38,18 @@ def running_total(
     """
     keys = [F.col(g) for g in groups]
     cut = slice_of if slice_of is not None else F.floor(F.col(order) / F.lit((1 << 63) / slices)).cast("int")
-    d = df.withColumn(_SLICE, cut).withColumn("__value", value)
-    totals = d.groupBy(*groups, _SLICE).agg(F.sum("__value").alias("__slice_total"))
+    d = df.withColumn(_SLICE, cut).withColumn("__rt_value", value)
+    totals = d.groupBy(*groups, _SLICE).agg(F.sum("__rt_value").alias("__rt_slice_total"))
     w = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*groups, _SLICE, F.coalesce(F.sum("__slice_total").over(w), F.lit(0)).alias(_BASE))
-    renamed = bases.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(_SLICE).alias("__s"), _BASE)
-    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)] + [F.col(_SLICE) == F.col("__s")]
+    bases = totals.select(*groups, _SLICE, F.coalesce(F.sum("__rt_slice_total").over(w), F.lit(0)).alias(_BASE))
+    renamed = bases.select(*[F.col(g).alias(f"__rt_g{i}") for i, g in enumerate(groups)], F.col(_SLICE).alias("__rt_s"), _BASE)
+    on = [F.col(g).eqNullSafe(F.col(f"__rt_g{i}")) for i, g in enumerate(groups)] + [F.col(_SLICE) == F.col("__rt_s")]
     inner = Window.partitionBy(*keys, F.col(_SLICE)).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    joined = d.withColumn("__inner", F.sum("__value").over(inner)).join(renamed, cond)
-    return joined.withColumn(into, F.col(_BASE) + F.col("__inner")).drop(_SLICE, "__value", "__inner", _BASE, "__s", *[f"__g{i}" for i in range(len(groups))])
+    joined = d.withColumn("__rt_inner", F.sum("__rt_value").over(inner)).join(renamed, cond)
+    return joined.withColumn(into, F.col(_BASE) + F.col("__rt_inner")).drop(_SLICE, "__rt_value", "__rt_inner", _BASE, "__rt_s", *[f"__rt_g{i}" for i in range(len(groups))])
 
 
 def group_rank(df: DataFrame, groups: Sequence[str], order: str, into: str = "rank", tie: Sequence[str] = (), slices: int = 1024) -> DataFrame:

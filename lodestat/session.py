@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", name: str = "lodestat") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LODESTAT_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
