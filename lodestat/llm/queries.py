@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.llm import overlap, sample, splits
+from lodestat.functions.keys import code_key, id_key
+from lodestat.llm import containers, mix, overlap, sample, splits, tokens
 from lodestat.session import cut
 from lodestat.sources.tables import table
 
@@ -15,6 +16,63 @@ Query = Callable[[SparkSession, str], DataFrame]
 _CATS = ["language", "family_id"]
 
 
+def _counted(df: DataFrame, text: str = "text") -> DataFrame:
+    return tokens.with_token_counts(df.withColumn("chars", F.coalesce(F.length(text), F.lit(0))), text, merges="merge_tokens")
+
+
+def p1_token_budget(s: SparkSession, d: str) -> DataFrame:
+    """Totals per source (repo), language and domain of documents and chat messages, per language
+    and family of canary prompts; level says which table a line belongs to."""
+    docs = _counted(table(s, d, "documents").select(id_key(F.col("source")).alias("source"), code_key(F.col("lang")).alias("language"), id_key(F.col("domain")).alias("domain"), "text"))
+    m = F.col("metadata")
+    chat = table(s, d, "chat_records").select(id_key(m["source_repo"]).alias("source"), code_key(m["language"]).alias("language"), id_key(m["domain"]).alias("domain"), F.explode("messages").alias("message"))
+    chat = _counted(chat.select("source", "language", "domain", F.col("message.content").alias("text")))
+    canary = _counted(table(s, d, "routing_canary").select(code_key(F.col("language")).alias("language"), code_key(F.col("family_id")).alias("family_id"), "text"))
+    cols = ["table_name", "source", "language", "domain", "family_id", "n_texts", "n_with_text", "chars", "tokens", "merge_tokens"]
+    none = F.lit(None).cast("string")
+    parts = [
+        tokens.budget(docs, ["source", "language", "domain"]).withColumns({"table_name": F.lit("documents"), "family_id": none}),
+        tokens.budget(chat, ["source", "language", "domain"]).withColumns({"table_name": F.lit("chat_records"), "family_id": none}),
+        tokens.budget(canary, ["language", "family_id"]).withColumns({"table_name": F.lit("routing_canary"), "source": none, "domain": none}),
+    ]
+    return parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols))
+
+
+def p1_documents(s: SparkSession, d: str) -> DataFrame:
+    return _counted(table(s, d, "documents").select("doc_id", "text"))
+
+
+def p1_messages(s: SparkSession, d: str) -> DataFrame:
+    m = table(s, d, "chat_records").select("record_id", F.posexplode("messages").alias("message_pos", "message"))
+    return _counted(m.select("record_id", "message_pos", F.col("message.role").alias("role"), F.col("message.content").alias("text")))
+
+
+def _sized(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select("doc_id", "source", "text")
+    return cut(tokens.with_token_counts(docs, "text", longest=None, merges="n_tokens"))
+
+
+def p8_containers(s: SparkSession, d: str) -> DataFrame:
+    sized = _sized(s, d)
+    parts = [containers.fill_containers(sized, "doc_id", "n_tokens", r["container_kind"], r["capacity_tokens"]) for r in table(s, d, "container_specs").orderBy("container_kind").collect()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p8_report(s: SparkSession, d: str) -> DataFrame:
+    return containers.container_report(p8_containers(s, d), table(s, d, "container_specs"))
+
+
+def p9_copies(s: SparkSession, d: str) -> DataFrame:
+    return mix.mix_sources(_sized(s, d), table(s, d, "mix_targets"), "doc_id", "source", "n_tokens")
+
+
+def p9_shares(s: SparkSession, d: str) -> DataFrame:
+    return mix.mix_report(p9_copies(s, d), table(s, d, "mix_targets"))
+
+
 def _groups(s: SparkSession, d: str) -> DataFrame:
     return splits.related_groups(table(s, d, "scenarios").select("scenario_row", "blueprint_id", "author_id", "split", "search")).select("scenario_row", "group_row", "split")
 
@@ -59,7 +117,7 @@ def p7_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_assigned, p2_shares, p6_found, p6_report, p7_found, p7_sample, p7_report)}
+    return {f.__name__: f for f in (p1_token_budget, p1_documents, p1_messages, p2_found, p2_assigned, p2_shares, p6_found, p6_report, p7_found, p7_sample, p7_report, p8_containers, p8_report, p9_copies, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -136,7 +136,19 @@ def allocate(bundles: Sequence[tuple[int, tuple[int, ...], int]], shares: Sequen
             s = min(range(k), key=lambda s: (round(got[s] - goal[s], 6), cost[at[p]][s]))
             out[i][s] += 1
             got[s] += size
-    return out
+    want = np.array(quota)
+    while True:  # move single components as long as that brings shares nearer to the quotas
+        dev = got - want
+        a, b = int(dev.argmax()), int(dev.argmin())
+        gap = min(dev[a], -dev[b])
+        fit = [i for i in order if out[i][a] and bundles[i][0] < dev[a] - dev[b] and abs(dev[a] - bundles[i][0]) + abs(dev[b] + bundles[i][0]) < dev[a] - dev[b] - 1e-9]
+        if not fit:
+            return out
+        i = min(fit, key=lambda i: (abs(bundles[i][0] - gap), cost[at[bundles[i][1]]][b] - cost[at[bundles[i][1]]][a]))
+        out[i][a] -= 1
+        out[i][b] += 1
+        got[a] -= bundles[i][0]
+        got[b] += bundles[i][0]
 
 
 def assign_splits(grouped: DataFrame, targets: Sequence[tuple[str, float]], split: str = "split", row: str = "scenario_row", seed: int = 0) -> DataFrame:
