@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions.keys import code_key, id_key
-from lodestat.llm import containers, mix, overlap, sample, splits, tokens
+from lodestat.llm import containers, lookalike, mix, overlap, pairs, sample, splits, tokens
 from lodestat.session import cut
 from lodestat.sources.tables import table
 
@@ -92,6 +92,43 @@ def p2_shares(s: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(total).join(table(s, d, "split_targets"), "split", "left").select("split", "n_rows", "n_groups", "target_share", (F.col("n_rows") / F.col("total")).alias("share"))
 
 
+def _looks(s: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
+    return [
+        ("routing_canary", "canary_row", lookalike.look_classes(table(s, d, "routing_canary"), "text", "canary_row")),
+        ("chat_records", "record_id", lookalike.look_classes(table(s, d, "chat_records").select("record_id", F.expr("try_element_at(filter(messages, m -> m.role = 'user'), 1).content").alias("text")), "text", "record_id")),
+    ]
+
+
+def p3_found(s: SparkSession, d: str) -> DataFrame:
+    a, b = (lookalike.same_look_pairs(cut(c), key).select(F.lit(name).alias("table_name"), "key_a", "key_b") for name, key, c in _looks(s, d))
+    return a.unionByName(b)
+
+
+def p3_groups(s: SparkSession, d: str) -> DataFrame:
+    a, b = (lookalike.same_look_groups(cut(c), key).select(F.lit(name).alias("table_name"), F.col(key).alias("key"), "class_key", "n_texts") for name, key, c in _looks(s, d))
+    return a.unionByName(b)
+
+
+def p3_common_forms(s: SparkSession, d: str) -> DataFrame:
+    """Canary texts and the contents of all chat messages in the common form."""
+    a = lookalike.common_form(table(s, d, "routing_canary").select(F.lit("routing_canary").alias("table_name"), F.col("canary_row").alias("key"), F.lit(0).alias("message_pos"), "text"), "text")
+    m = table(s, d, "chat_records").select("record_id", F.posexplode("messages").alias("message_pos", "message"))
+    b = lookalike.common_form(m.select(F.lit("chat_records").alias("table_name"), F.col("record_id").alias("key"), "message_pos", F.col("message.content").alias("text")), "text")
+    return a.unionByName(b).select("table_name", "key", "message_pos", "common_form", (~F.col("text").eqNullSafe(F.col("common_form"))).alias("changed"))
+
+
+def p5_found(s: SparkSession, d: str) -> DataFrame:
+    records = table(s, d, "chat_records").select("record_id", "messages")
+    return pairs.defective_pairs(records, cut(pairs.judged_pairs(records, "record_id")), "record_id")
+
+
+def p5_counts(s: SparkSession, d: str) -> DataFrame:
+    """Defects per repo and language of the record."""
+    records = table(s, d, "chat_records")
+    by = records.select("record_id", id_key(F.col("metadata.source_repo")).alias("source_repo"), code_key(F.col("metadata.language")).alias("language"))
+    return p5_found(s, d).join(by, "record_id").groupBy("source_repo", "language", "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p6_found(s: SparkSession, d: str) -> DataFrame:
     v = overlap.vectors(table(s, d, "scenarios"), table(s, d, "family_bounds"))
     return overlap.row_pairs(*overlap.near_pairs(v))
@@ -117,7 +154,7 @@ def p7_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_token_budget, p1_documents, p1_messages, p2_found, p2_assigned, p2_shares, p6_found, p6_report, p7_found, p7_sample, p7_report, p8_containers, p8_report, p9_copies, p9_shares)}
+    return {f.__name__: f for f in (p1_token_budget, p1_documents, p1_messages, p2_found, p2_assigned, p2_shares, p3_found, p3_groups, p3_common_forms, p5_found, p5_counts, p6_found, p6_report, p7_found, p7_sample, p7_report, p8_containers, p8_report, p9_copies, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
