@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions.keys import code_key, id_key
-from lodestat.llm import containers, lookalike, mix, overlap, pairs, sample, splits, tokens
+from lodestat.llm import containers, lookalike, mix, mojibake, overlap, pairs, sample, splits, tokens
 from lodestat.session import cut
 from lodestat.sources.tables import table
 
@@ -153,8 +153,21 @@ def p7_report(s: SparkSession, d: str) -> DataFrame:
     return sample.sample_report(rows, targets, cut(p7_sample(s, d)), "task_id", _CATS, "canary_row")
 
 
+def _repaired(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").select("doc_id", "text", "lang")
+    return mojibake.repaired(docs, mojibake.train_dictionaries(docs, "text", "lang"), "doc_id", "text", "lang")
+
+
+def p10_found(s: SparkSession, d: str) -> DataFrame:
+    return _repaired(s, d).select("doc_id")
+
+
+def p10_restored(s: SparkSession, d: str) -> DataFrame:
+    return _repaired(s, d)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_token_budget, p1_documents, p1_messages, p2_found, p2_assigned, p2_shares, p3_found, p3_groups, p3_common_forms, p5_found, p5_counts, p6_found, p6_report, p7_found, p7_sample, p7_report, p8_containers, p8_report, p9_copies, p9_shares)}
+    return {f.__name__: f for f in (p1_token_budget, p1_documents, p1_messages, p2_found, p2_assigned, p2_shares, p3_found, p3_groups, p3_common_forms, p5_found, p5_counts, p6_found, p6_report, p7_found, p7_sample, p7_report, p8_containers, p8_report, p9_copies, p9_shares, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
