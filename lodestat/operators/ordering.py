@@ -7,12 +7,12 @@ a slice meet in one task. A group with a third of all rows therefore spreads ove
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE, _BASE = "__rt_slice", "__rt_base"
+_SLICE = "__rt_slice"
 
 
 def hash_order(seed: int, *cols: Column | str) -> Column:
@@ -20,36 +20,41 @@ def hash_order(seed: int, *cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1)
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     groups: Sequence[str],
     order: str,
-    value: Column,
-    into: str,
+    values: Mapping[str, Column],
     tie: Sequence[str] = (),
     slices: int = 1024,
     slice_of: Column | None = None,
 ) -> DataFrame:
-    """Adds `into`: the sum of `value` over the earlier rows of the group plus the row's own.
+    """Adds a column per entry of `values`: its sum over the earlier rows of the group plus the row's own.
 
     `order` is a non-negative 63-bit hash (see hash_order) unless slice_of gives, for each row, a
     slice number that rises with `order`. Rows with equal order are told apart by `tie`.
     Null group values form a group of their own; an empty table stays empty.
     """
     keys = [F.col(g) for g in groups]
+    names = list(values)
+    val, tot, inn, base = ([f"__rt_{k}{i}" for i in range(len(names))] for k in ("value", "total", "inner", "base"))
     cut = slice_of if slice_of is not None else F.floor(F.col(order) / F.lit((1 << 63) / slices)).cast("int")
-    d = df.withColumn(_SLICE, cut).withColumn("__rt_value", value)
-    totals = d.groupBy(*groups, _SLICE).agg(F.sum("__rt_value").alias("__rt_slice_total"))
+    d = df.withColumns({_SLICE: cut} | {v: values[n] for v, n in zip(val, names)})
+    totals = d.groupBy(*groups, _SLICE).agg(*[F.sum(v).alias(t) for v, t in zip(val, tot)])
     w = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*groups, _SLICE, F.coalesce(F.sum("__rt_slice_total").over(w), F.lit(0)).alias(_BASE))
-    renamed = bases.select(*[F.col(g).alias(f"__rt_g{i}") for i, g in enumerate(groups)], F.col(_SLICE).alias("__rt_s"), _BASE)
-    on = [F.col(g).eqNullSafe(F.col(f"__rt_g{i}")) for i, g in enumerate(groups)] + [F.col(_SLICE) == F.col("__rt_s")]
+    bases = totals.select(*[F.col(g).alias(f"__rt_g{i}") for i, g in enumerate(groups)], F.col(_SLICE).alias("__rt_s"), *[F.coalesce(F.sum(t).over(w), F.lit(0)).alias(b) for t, b in zip(tot, base)])
+    cond = F.col(_SLICE) == F.col("__rt_s")
+    for i, g in enumerate(groups):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__rt_g{i}"))
     inner = Window.partitionBy(*keys, F.col(_SLICE)).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = d.withColumn("__rt_inner", F.sum("__rt_value").over(inner)).join(renamed, cond)
-    return joined.withColumn(into, F.col(_BASE) + F.col("__rt_inner")).drop(_SLICE, "__rt_value", "__rt_inner", _BASE, "__rt_s", *[f"__rt_g{i}" for i in range(len(groups))])
+    joined = d.withColumns({i: F.sum(v).over(inner) for i, v in zip(inn, val)}).join(bases, cond)
+    made = {n: F.col(b) + F.col(i) for n, b, i in zip(names, base, inn)}
+    return joined.withColumns(made).drop(_SLICE, "__rt_s", *val, *inn, *base, *[f"__rt_g{i}" for i in range(len(groups))])
+
+
+def running_total(df: DataFrame, groups: Sequence[str], order: str, value: Column, into: str, tie: Sequence[str] = (), slices: int = 1024, slice_of: Column | None = None) -> DataFrame:
+    """running_totals for a single column."""
+    return running_totals(df, groups, order, {into: value}, tie, slices, slice_of)
 
 
 def group_rank(df: DataFrame, groups: Sequence[str], order: str, into: str = "rank", tie: Sequence[str] = (), slices: int = 1024) -> DataFrame:

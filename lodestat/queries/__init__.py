@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ["nested"]
+_AREAS = ["stats", "text", "nested"]
 
 
 def registered() -> dict:
