@@ -7,21 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.plans import reports as R
-from lodestat.session import cut
+from lodestat.session import cut, spread
 from lodestat.sources.tables import table
 
 
+def _scan(spark: SparkSession, folder: str) -> DataFrame:
+    return R.report_nodes(spread(table(spark, folder, "run_reports").select("report_id", "report_kind", "payload")))
+
+
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return cut(R.report_nodes(table(spark, folder, "run_reports")))
+    return cut(_scan(spark, folder))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p4_found": lambda s, d: R.found(_nodes(s, d)),
-        "p4_manifests": lambda s, d: R.manifests(R.report_nodes(table(s, d, "run_reports"))),
-        "p4_cycles": lambda s, d: R.cycles(R.report_nodes(table(s, d, "run_reports"))),
+        "p4_manifests": lambda s, d: R.manifests(_scan(s, d)),
+        "p4_cycles": lambda s, d: R.cycles(_scan(s, d)),
         "p4_candidates": lambda s, d: R.candidates(_nodes(s, d)),
-        "p4_surfaces": lambda s, d: R.surfaces(R.report_nodes(table(s, d, "run_reports"))),
+        "p4_surfaces": lambda s, d: R.surfaces(_scan(s, d)),
     }
 
 

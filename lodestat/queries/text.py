@@ -311,7 +311,7 @@ SELECT record_id, unnest(list_filter([CASE WHEN m IS NULL OR len(m) < 2 THEN 'fe
   CASE WHEN len(list_filter(r, lambda x : x NOT IN ('system', 'user', 'assistant', 'tool'))) > 0 THEN 'unknown role' END,
   CASE WHEN len(list_filter(m, lambda x : coalesce(trim(x.content, ' '), '') = '')) > 0 THEN 'empty content' END,
   {', '.join(f"CASE WHEN d.{k} IS NULL THEN 'missing {k}' END" for k in ('source_id', 'source_repo', 'source_revision', 'source_license', 'domain', 'language'))}], lambda x : x IS NOT NULL)) AS error FROM c""",
-        "code_blocks": rf"SELECT record_id, pos, len(b) AS n_blocks, md5(array_to_string(list_transform(b, lambda x : rtrim(x, ' ')), chr(10))) AS digest FROM (SELECT record_id, pos, regexp_extract_all(m.content, '(?s)```[^\n]*\n(.*?)```', 1) AS b FROM {msg} WHERE m.role = 'assistant' AND m.content LIKE '%```%')",
+        "code_blocks": rf"SELECT record_id, pos, len(b) AS n_blocks, md5(array_to_string(list_transform(b, lambda x : regexp_replace(x, '\s+$', '')), chr(10))) AS digest FROM (SELECT record_id, pos, regexp_extract_all(m.content, '(?s)```[^\n]*\n(.*?)```', 1) AS b FROM {msg} WHERE m.role = 'assistant' AND m.content LIKE '%```%')",
         "text_routes": r"SELECT CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'adapter' WHEN regexp_matches(text, '```|def |#include|\bclass \w+') THEN 'adapter' ELSE 'base' END AS route, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "accuracy_rollup": f"WITH {_P} SELECT grouping(domain, l, f) AS level, domain, l AS language, f AS family_id, count(ok) AS n, round(avg(ok::INT), 4) AS accuracy FROM p GROUP BY GROUPING SETS ((), (domain), (l), (f))",
         "selector_metrics": f"WITH {_P} " + _sel([("domain", "domain"), ("family_id", "f")], "GROUPING SETS ((), (domain), (f))"),

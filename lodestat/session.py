@@ -41,3 +41,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     of earlier rounds."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Before an operator that works long on every row: more partitions, if a scan has fewer than
+    `per_core` per core. Scans of large tables have far more and stay as they are, without a shuffle.
+    Only for scans and projections of them, as the number of partitions is taken from the plan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= per_core * cores else df.repartition(per_core * cores)

@@ -18,7 +18,7 @@ _SUFFIXES = (".csv", ".tsv", ".json", ".jsonl", ".parquet")
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """By suffix. JSON is read as lines first; if that gives broken records only, as one document.
+    """By suffix. JSON is read as lines first; if that gives broken records, as one document.
     Without a schema, columns of text files are inferred, which costs a pass."""
     suffix = PurePosixPath(path).suffix.lower()
     r = spark.read if schema is None else spark.read.schema(schema)
@@ -28,7 +28,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
         return r.parquet(path)
     if suffix in (".json", ".jsonl"):
         lines = r.json(path)
-        if suffix == ".json" and lines.columns in (["_corrupt_record"], []):
+        if suffix == ".json" and (not lines.columns or "_corrupt_record" in lines.columns):
             return r.json(path, multiLine=True)
         return lines
     raise AnalysisError(f"unsupported file type: {suffix or path}; known are {', '.join(_SUFFIXES)}")
