@@ -108,7 +108,9 @@ def transducer() -> Transducer:
 
 
 def common_form(df: DataFrame, text: str, into: str = "common_form") -> DataFrame:
-    """Adds the common form of a string column; null stays null; whole texts, no shuffle."""
+    """Adds the common form of a string column, in place of a column of that name; null stays null;
+    whole texts, no shuffle."""
+    df = df.drop(into)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

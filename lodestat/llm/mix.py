@@ -86,7 +86,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, key: str, source: str, siz
     held = {s: v[0] for s, v in have.items()}
     size_of = feasible_total(held, t) if total is None else float(total)
     whole = sum(t[s][0] for s in have) or 1.0
-    goal = {s: min(size_of * t[s][0] / whole, held[s] * t[s][1]) for s in have}
+    goal = {s: float(min(size_of * t[s][0] / whole, held[s] * t[s][1])) for s in have}
     lam = solve_rates(hist, have, goal, {s: t[s][1] for s in have})
     rows = [(s, max(min(lam[s], 1e300), -1e300), float(have[s][1]), float(t[s][1]), goal[s]) for s in sorted(have)]
     per = spark.createDataFrame(rows, "source string, lam double, mean double, cap double, goal double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.keys import code_key, id_key
 from lodestat.llm import containers, lookalike, mix, mojibake, overlap, pairs, sample, splits, tokens
-from lodestat.session import cut
+from lodestat.session import cut, spread
 from lodestat.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,7 @@ _CATS = ["language", "family_id"]
 
 
 def _counted(df: DataFrame, text: str = "text") -> DataFrame:
-    return tokens.with_token_counts(df.withColumn("chars", F.coalesce(F.length(text), F.lit(0))), text, merges="merge_tokens")
+    return tokens.with_token_counts(spread(df).withColumn("chars", F.coalesce(F.length(text), F.lit(0))), text, merges="merge_tokens")
 
 
 def p1_token_budget(s: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ def p1_messages(s: SparkSession, d: str) -> DataFrame:
 
 def _sized(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", "source", "text")
-    return cut(tokens.with_token_counts(docs, "text", longest=None, merges="n_tokens"))
+    return cut(tokens.with_token_counts(spread(docs), "text", longest=None, merges="n_tokens"))
 
 
 def p8_containers(s: SparkSession, d: str) -> DataFrame:
@@ -94,8 +94,8 @@ def p2_shares(s: SparkSession, d: str) -> DataFrame:
 
 def _looks(s: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
     return [
-        ("routing_canary", "canary_row", lookalike.look_classes(table(s, d, "routing_canary"), "text", "canary_row")),
-        ("chat_records", "record_id", lookalike.look_classes(table(s, d, "chat_records").select("record_id", F.expr("try_element_at(filter(messages, m -> m.role = 'user'), 1).content").alias("text")), "text", "record_id")),
+        ("routing_canary", "canary_row", lookalike.look_classes(spread(table(s, d, "routing_canary").select("canary_row", "text")), "text", "canary_row")),
+        ("chat_records", "record_id", lookalike.look_classes(spread(table(s, d, "chat_records").select("record_id", F.expr("try_element_at(filter(messages, m -> m.role = 'user'), 1).content").alias("text"))), "text", "record_id")),
     ]
 
 
@@ -118,7 +118,7 @@ def p3_common_forms(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    records = table(s, d, "chat_records").select("record_id", "messages")
+    records = spread(table(s, d, "chat_records").select("record_id", "messages"))
     return pairs.defective_pairs(records, cut(pairs.judged_pairs(records, "record_id")), "record_id")
 
 
@@ -154,7 +154,7 @@ def p7_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def _repaired(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(s, d, "documents").select("doc_id", "text", "lang"))
     return mojibake.repaired(docs, mojibake.train_dictionaries(docs, "text", "lang"), "doc_id", "text", "lang")
 
 

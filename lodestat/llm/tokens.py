@@ -147,12 +147,13 @@ class Counter:
 
 def with_token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY, longest: str | None = "tokens", merges: str | None = None, drop_text: bool = True) -> DataFrame:
     """Adds the counts of a string column; no shuffle. A null text counts 0, as an empty one does.
+    A column that already has the name of a count is replaced.
 
     The vocabulary file must be at the same path on every executor; it is never shipped.
     """
     path = vocabulary_path(vocabulary)
-    rest = [c for c in df.columns if c != text or not drop_text]
     names = [n for n in (longest, merges) if n]
+    rest = [c for c in df.columns if (c != text or not drop_text) and c not in names]
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
