@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ["stats", "text", "nested"]
+_AREAS = ["stats", "text", "planning", "nested"]
 
 
 def registered() -> dict:
