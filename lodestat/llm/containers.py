@@ -102,7 +102,7 @@ def fill_containers(sized: DataFrame, key: str, size: str, kind: str, capacity:
             used[a] += n * x.bins
         base += x.bins
     ranges = spark.createDataFrame(lines, "tokens bigint, lo bigint, hi bigint, per bigint, base bigint")
-    ranked = group_rank(p.where("tokens > 0"), ["tokens"], "__h", "__rank", tie=[key, "piece"], slices=64)
+    ranked = group_rank(p.where("tokens > 0"), ["tokens"], "__h", "__rank", tie=[key, "piece"])
     put = ranked.join(ranges, "tokens").where("__rank > lo AND __rank <= hi")
     cols = [F.lit(kind).alias("container_kind"), F.col("container_no"), key, "piece", "start", "tokens"]
     full = put.withColumn("container_no", F.col("base") + F.floor((F.col("__rank") - 1 - F.col("lo")) / F.col("per"))).select(*cols)

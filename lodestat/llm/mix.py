@@ -95,7 +95,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, key: str, source: str, siz
     d = d.join(F.broadcast(per), "source", "left").withColumn("rate", F.coalesce(rate, F.lit(0.0)))
     d = d.withColumn("__h", hash_order(seed, F.col(key)))
     # along length classes (quarters of an octave) and random inside them
-    level = F.floor(F.log2(F.greatest(F.col("tokens"), F.lit(1))) * 4).cast("int") * 64 + F.shiftrightunsigned("__h", 57).cast("int")
+    level = F.floor(F.log2(F.greatest(F.col("tokens"), F.lit(1))) * 4).cast("int") * 4096 + F.shiftrightunsigned("__h", 51).cast("int")
     d = running_total(d, ["source"], "__h", F.col("rate"), "__sum", tie=[key], slice_of=level)
     # one random start per source; the small shift keeps sums that are whole from falling short
     start = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1_000_003)) / 1_000_003.0 * F.lit(0.998) + F.lit(0.001)
