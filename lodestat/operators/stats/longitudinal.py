@@ -51,8 +51,7 @@ def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
 
 def cox_ph(df: DataFrame, time: str, event: str, predictors: Sequence[str], rounds: int = 30) -> DataFrame:
     """Efron's partial likelihood. Per round: sums by distinct time, risk sums over later times, and
-    one aggregation; ties enter by their number per time. Adds hazard ratios and, against the rank
-    of the event times, a test of proportional hazards per term (scaled score residuals)."""
+    one aggregation; ties enter by their number per time. Adds hazard ratios."""
     base = complete_cases(df, [time, event, *predictors])
     d, terms = _frame(base, time, predictors, [event])
     d = d.select(F.expr("slice(x, 2, size(x) - 1)").alias("x"), F.col("y").alias("t"), number(event).alias("e")).cache()
