@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -118,6 +118,54 @@ def alternative(question: str) -> str:
     return "less" if re.search(r"less than|fewer|lower|below", q) else "two-sided"
 
 
+_CLAUSE = re.compile(r"[.;\n]|,\s*(?=(?:exclud|includ|only|restrict|drop|remov|and then|treat|cod))", re.I)
+
+
+def declared(cols: Sequence[Column], question: str) -> tuple[list[dict], list[dict]]:
+    """(row filters, recodes) the question states, clause by clause: levels behind words of exclusion are
+    excluded, behind words of restriction included, and a level set against the rest is recoded. A level
+    belongs to the column named in the clause, else to the only column that has it."""
+    filters, recodes = [], []
+    for clause in _CLAUSE.split(question):
+        named = {c.name for c in mentioned(cols, clause)}
+        hits: dict[str, list[str]] = {}
+        for c in cols:
+            for lv in c.levels:
+                if len(lv) > 1 and not re.fullmatch(r"-?[\d.]+", lv) and re.search(rf"(?<!\w){re.escape(lv)}(?!\w)", clause):
+                    hits.setdefault(lv, []).append(c.name)
+        by: dict[str, list[str]] = {}
+        for lv, names in hits.items():
+            own = [n for n in names if n in named] or names
+            if len(own) == 1:
+                by.setdefault(own[0], []).append(lv)
+        against = re.search(r"\b(?:vs\.?|versus|against)\s+(?:the\s+|all\s+)?(?:rest|others?|remaining)", clause, re.I)
+        for column, values in by.items():
+            if against:
+                recodes.append({"column": column, "positive_values": sorted(values)})
+            elif re.search(r"\b(?:exclud\w*|drop\w*|remov\w*|without|except|omit\w*)\b", clause, re.I):
+                filters.append({"column": column, "operation": "exclude", "values": sorted(values)})
+            elif re.search(r"\b(?:only|restrict\w*|includ\w*|among|limit\w*)\b", clause, re.I):
+                filters.append({"column": column, "operation": "include", "values": sorted(values)})
+    return filters, recodes
+
+
+def prepared(cols: Sequence[Column], filters: Sequence[dict], recodes: Sequence[dict]) -> list[Column]:
+    """The columns as they are after the declared steps: levels left, recoded ones binary."""
+    out = []
+    for c in cols:
+        levels = set(c.levels)
+        for f in filters:
+            if f["column"] == c.name:
+                levels = levels - set(f["values"]) if f["operation"] == "exclude" else levels & set(f["values"])
+        if any(r["column"] == c.name for r in recodes):
+            out.append(replace(c, kind="binary", unique=2, levels=("0", "1")))
+        elif len(levels) != len(c.levels):
+            out.append(replace(c, unique=len(levels), levels=tuple(sorted(levels)), kind="binary" if len(levels) == 2 else c.kind))
+        else:
+            out.append(c)
+    return out
+
+
 def roles_of(cols: Sequence[Column], question: str) -> dict:
     """Outcome, group, predictors and the special roles from what the question names, in its order; a role
     that only one unnamed column can fill is filled with it where the cue asks for it."""
@@ -257,12 +305,14 @@ def scores(cols: Sequence[Column], roles: dict, question: str) -> dict[str, floa
 
 def plans(cols: Sequence[Column], question: str, most: int = 5) -> list[Plan]:
     """Ranked by score, ties by name, at most five."""
+    filters, recodes = declared(cols, question)
+    cols = prepared(cols, filters, recodes)
     roles = roles_of(cols, question)
     opts: dict[str, object] = {}
     if null_probability(question) is not None:
         opts |= {"null_probability": null_probability(question), "alternative": alternative(question)}
     ranked = sorted(scores(cols, roles, question).items(), key=lambda s: (-s[1], s[0]))[:most]
-    return [Plan(Request(m, roles, options=opts), s, missing_roles(m, roles)) for m, s in ranked]
+    return [Plan(Request(m, roles, tuple(filters), tuple(recodes), opts), s, missing_roles(m, roles)) for m, s in ranked]
 
 
 def choose(cols: Sequence[Column], question: str) -> Plan | None:

@@ -103,7 +103,7 @@ def run(df: DataFrame, request: Request) -> DataFrame:
     d = P.recode_binary(P.row_filters(df, request.row_filters), request.binary_recodes)
     if (request.row_filters or request.binary_recodes) and d.isEmpty():
         raise P.AnalysisError("declared preprocessing removed every row")
-    return CATALOGUE[request.method_id][1](d.select(*used) if used else d, request.roles, request.options)
+    return CATALOGUE[request.method_id][1](d.select(*used) if used else d, request.roles, request.options)  # filters may use other columns
 
 
 def outcome_of(df: DataFrame, request: Request) -> dict:
