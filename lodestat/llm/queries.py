@@ -140,7 +140,7 @@ def p6_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
-    items = sample.distinct_items(table(s, d, "routing_canary"), "task_id", _CATS, "canary_row")
+    items = sample.cell_items(table(s, d, "routing_canary"), "task_id", _CATS)
     return sample.short_cells(items, table(s, d, "sample_targets"), _CATS)
 
 
@@ -150,7 +150,7 @@ def p7_sample(s: SparkSession, d: str) -> DataFrame:
 
 def p7_report(s: SparkSession, d: str) -> DataFrame:
     rows, targets = table(s, d, "routing_canary"), table(s, d, "sample_targets")
-    return sample.sample_report(rows, targets, cut(p7_sample(s, d)), "task_id", _CATS, "canary_row")
+    return sample.sample_report(rows, targets, cut(p7_sample(s, d)), "task_id", _CATS)
 
 
 def _repaired(s: SparkSession, d: str) -> DataFrame:
@@ -210,11 +210,10 @@ GROUP BY a.n, c.n, need HAVING count(*) = need
 """
 
 _P7 = r"""
-WITH i AS (
-  SELECT task_id, arg_min(lower(replace(trim(language), '-', '_')), canary_row) AS l,
-    arg_min(coalesce(lower(replace(trim(family_id), '-', '_')), ''), canary_row) AS f
-  FROM routing_canary WHERE task_id IS NOT NULL GROUP BY task_id
-), n AS (SELECT l, f, count(*) AS have FROM i GROUP BY l, f)
+WITH n AS (
+  SELECT lower(replace(trim(language), '-', '_')) AS l, lower(replace(trim(family_id), '-', '_')) AS f, count(DISTINCT task_id) AS have
+  FROM routing_canary GROUP BY ALL
+)
 SELECT t.language, t.family_id FROM sample_targets t
 LEFT JOIN n ON n.l = lower(replace(trim(t.language), '-', '_')) AND n.f = lower(replace(trim(t.family_id), '-', '_'))
 WHERE coalesce(have, 0) < greatest(min_rows::DOUBLE, target_share * sample_size)
