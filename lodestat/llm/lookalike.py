@@ -59,6 +59,9 @@ class Transducer:
         marks = rf"\p{{M}}{regex.escape(self.unseen, special_only=True)}"
         self._find = regex.compile(rf"[^{marks}][{marks}]+|[{keys}]|[{marks}]+")
         self._known: dict[str, str] = {}
+        self._table = {ord(c): to for c, to in single.items()}
+        self._marks = frozenset(c for c in map(chr, range(0x300, 0x32000)) if unicodedata.category(c)[0] == "M")
+        self._any = self._marks | single.keys()
 
     def _plain(self, c: str) -> str:
         """What one character stands for, with its accents."""
@@ -95,7 +98,13 @@ class Transducer:
         return out
 
     def __call__(self, text: str) -> str:
-        return text if text.isascii() else self._find.sub(self._cluster, text)
+        """Texts without combining marks have clusters of one character only (besides unseen ones), for
+        which the table of single characters is the whole transducer."""
+        if text.isascii() or self._any.isdisjoint(text):
+            return text
+        if self._marks.isdisjoint(text):
+            return text.translate(self._table)
+        return self._find.sub(self._cluster, text)
 
 
 _ONE: list[Transducer] = []

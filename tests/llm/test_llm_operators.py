@@ -142,6 +142,11 @@ def test_common_form():
     for x in [*same, "R² ≤ 3", "中文，測試？", "", "\U0001d400bc"]:
         assert t(t(x)) == t(x)
     assert t("\U0001d400bc") == "Abc"
+    rng = random.Random(3)
+    pool = [*t.single, *"aeiouAZ19 -", "\u0301", "\u0308", "中", "é", "и"]
+    for _ in range(3000):
+        x = "".join(rng.choices(pool, k=rng.randrange(1, 7)))
+        assert t(x) == t._find.sub(t._cluster, x), x
 
 
 def test_same_look_pairs(spark):
@@ -262,7 +267,7 @@ def test_sample_shares_floors_and_reports(spark):
     n = Counter((r["language"], r["family_id"]) for r in s)
     assert len({r["task_id"] for r in s}) == len(s)
     assert n["en", "fam_a"] in (42, 43) and n["zh_hant", "fam_a"] == 4
-    items = sample.distinct_items(df, "task_id", cats, "canary_row")
+    items = sample.cell_items(df, "task_id", cats)
     assert rows_of(sample.short_cells(items, t, cats)) == [("en", "missing")]
     again = sample.stratified_sample(df.repartition(7), t, "task_id", cats, "canary_row").collect()
     assert sorted(r["task_id"] for r in again) == sorted(r["task_id"] for r in s)
