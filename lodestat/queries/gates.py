@@ -13,6 +13,7 @@ from lodestat.operators import curate as U
 from lodestat.operators import evaluate as E
 from lodestat.operators import gates as G
 from lodestat.operators import policy as O
+from lodestat.operators import selection as L
 from lodestat.session import ensure_checkpoint_dir
 from lodestat.sources.tables import table
 from lodestat.streaming import incremental as S
@@ -166,7 +167,55 @@ def stream_window_counts(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{base}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-_ALL = [routed_pick, replaced_rows, paired_coverage, culprit_families, guard_metrics, promotion_gates, data_gate, role_picks, hash_picks, rank_failures, regret_quantiles, weighted_regret, method_sets, user_text, candidate_ids, bound_texts, prompt_percentages, selected_tokens, novelty_of_queries, stream_window_counts]
+def admission_reasons(s: SparkSession, d: str) -> DataFrame:
+    """Why an assistant message of a chat record would not be admitted: the first rule that holds."""
+    m = table(s, d, "chat_records").select("record_id", F.posexplode("messages").alias("pos", "m")).where("m.role = 'assistant'")
+    c = F.col("m.content")
+    rules = [("missing_content", F.coalesce(F.trim(c), F.lit("")) == ""), ("unfinished", F.regexp_count(c, F.lit("```")) % 2 == 1), ("no_code", ~c.contains("```")), ("too_long", F.length(c) > 2000)]
+    return m.select(F.coalesce(L.first_reason(rules), F.lit("admitted")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def temperature_choice(s: SparkSession, d: str) -> DataFrame:
+    p = _pred(s, d).where("regret IS NOT NULL AND predicted_method_id IS NOT NULL AND oracle_method_id IS NOT NULL").withColumn("confidence", 0.05 + 0.9 * (1 - F.col("regret")))
+    return L.temperature_choice(p, "confidence", F.col("predicted_method_id") == F.col("oracle_method_id"), [0.5, 0.75, 1.0, 1.5, 2.0])
+
+
+def complete_groups(s: SparkSession, d: str) -> DataFrame:
+    """Blueprints whose predictions cover all three languages, each once."""
+    p = _pred(s, d).where("blueprint_id IS NOT NULL AND language IS NOT NULL")
+    return L.complete_groups(p, "blueprint_id", "language", ["en", "zh_hant", "zh_hans"])
+
+
+def replay_sample(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "scenarios").select("scenario_row", id_key(F.col("blueprint_id")).alias("blueprint_id"), F.coalesce("source", F.lit("")).alias("source"))
+    new, old = x.where("source LIKE 'cycles/%'"), x.where("source NOT LIKE 'cycles/%'")
+    return L.replay_sample(new, old, "blueprint_id", 0.2).groupBy("part").agg(F.countDistinct("blueprint_id").alias("n_groups"))
+
+
+def importance_weights(s: SparkSession, d: str) -> DataFrame:
+    return L.importance_weights(_pred(s, d).where("language IS NOT NULL"), "language", {"en": 0.5, "zh_hant": 0.25, "zh_hans": 0.25})
+
+
+def menus(s: SparkSession, d: str) -> DataFrame:
+    """Per blueprint the methods its predictions name, as a menu."""
+    p = _pred(s, d).where("blueprint_id IS NOT NULL AND predicted_method_id IS NOT NULL")
+    g = p.groupBy("blueprint_id").agg(F.array_sort(F.collect_set("predicted_method_id")).alias("c"))
+    return g.select("blueprint_id", F.array_join(F.transform(L.menu(F.col("c"), F.col("blueprint_id")), lambda x: F.concat(x["label"], F.lit(". "), x["method"])), "\n").alias("menu"))
+
+
+def scenario_mutations(s: SparkSession, d: str) -> DataFrame:
+    b = table(s, d, "family_bounds").groupBy(code_key(F.col("family_id")).alias("f")).agg(*[F.map_from_entries(F.collect_list(F.struct("parameter_name", c))).alias(c) for c in ("lower_bound", "upper_bound", "is_integer")])
+    x = table(s, d, "scenarios").where("parameters IS NOT NULL").select("scenario_row", code_key(F.col("family_id")).alias("f"), "parameters").join(b, "f")
+    return x.select("scenario_row", L.mutated(F.col("parameters"), F.col("scenario_row"), F.col("lower_bound"), F.col("upper_bound"), F.col("is_integer")).alias("parameters"))
+
+
+def capped_picks(s: SparkSession, d: str) -> DataFrame:
+    """Per family the 20 predictions with the least regret, at most 5 of one method."""
+    p = _pred(s, d).where("regret IS NOT NULL AND predicted_method_id IS NOT NULL").withColumn("reward", -F.col("regret"))
+    return L.capped_picks(p, "family_id", "predicted_method_id", "prediction_id", "reward", 20, 5).select("family_id", "prediction_id", "rank")
+
+
+_ALL = [admission_reasons, temperature_choice, complete_groups, replay_sample, importance_weights, menus, scenario_mutations, capped_picks, routed_pick, replaced_rows, paired_coverage, culprit_families, guard_metrics, promotion_gates, data_gate, role_picks, hash_picks, rank_failures, regret_quantiles, weighted_regret, method_sets, user_text, candidate_ids, bound_texts, prompt_percentages, selected_tokens, novelty_of_queries, stream_window_counts]
 
 
 def queries() -> dict:
@@ -180,7 +229,13 @@ _S = f"WITH {_P}, s AS (SELECT blueprint_id, language, slug, arg_min(regret, pre
 
 def oracle_sql() -> dict[str, str]:
     both = "(SELECT blueprint_id, language, regret FROM s WHERE slug = '{}')"
+    z = "ln((0.05 + 0.9 * (1 - regret)) / (1 - (0.05 + 0.9 * (1 - regret))))"
     return {
+        "admission_reasons": "WITH m AS (SELECT unnest(messages) AS m FROM chat_records), c AS (SELECT m.content AS c FROM m WHERE m.role = 'assistant') SELECT CASE WHEN coalesce(trim(c, ' '), '') = '' THEN 'missing_content' WHEN len(regexp_extract_all(c, '```')) % 2 = 1 THEN 'unfinished' WHEN c NOT LIKE '%```%' THEN 'no_code' WHEN length(c) > 2000 THEN 'too_long' ELSE 'admitted' END AS reason, count(*) AS n FROM c GROUP BY 1",
+        "temperature_choice": f"WITH {_P}, x AS (SELECT {z} AS z, (predicted_method_id = oracle_method_id)::INT AS hit FROM p WHERE regret IS NOT NULL AND predicted_method_id IS NOT NULL AND oracle_method_id IS NOT NULL), t AS (SELECT unnest([0.5, 0.75, 1.0, 1.5, 2.0])::DOUBLE AS t) SELECT t AS temperature, round(avg(-(hit * ln(1 / (1 + exp(-z / t))) + (1 - hit) * ln(1 - 1 / (1 + exp(-z / t))))), 6) AS nll, count(*) AS n FROM x, t GROUP BY t",
+        "complete_groups": f"WITH {_P} SELECT blueprint_id, count(*) = 3 AND list_sort(list(DISTINCT language)) = ['en', 'zh_hans', 'zh_hant'] AS complete, count(*) AS n FROM p WHERE blueprint_id IS NOT NULL AND language IS NOT NULL GROUP BY 1",
+        "importance_weights": f"WITH {_P}, g AS (SELECT language, count(*) AS n FROM p WHERE language IS NOT NULL GROUP BY 1) SELECT language, n, round(CASE language WHEN 'en' THEN 0.5 WHEN 'zh_hant' THEN 0.25 WHEN 'zh_hans' THEN 0.25 ELSE 0 END / (n / sum(n) OVER ()), 6) AS weight FROM g",
+        "capped_picks": f"WITH {_P}, m AS (SELECT *, row_number() OVER (PARTITION BY family_id, predicted_method_id ORDER BY regret, prediction_id) AS m FROM p WHERE regret IS NOT NULL AND predicted_method_id IS NOT NULL) SELECT family_id, prediction_id, rank FROM (SELECT family_id, prediction_id, row_number() OVER (PARTITION BY family_id ORDER BY regret, prediction_id)::INT AS rank FROM m WHERE m <= 5) WHERE rank <= 20",
         "routed_pick": f"{_S} SELECT blueprint_id, language, round(coalesce(e.regret, a.regret), 6) AS regret FROM {both.format('expert')} e FULL JOIN {both.format('parent')} a USING (blueprint_id, language)",
         "replaced_rows": f"{_S}, r AS (SELECT * FROM s WHERE slug = 'repair' UNION ALL SELECT * FROM s a WHERE slug = 'parent' AND NOT EXISTS (FROM s b WHERE b.slug = 'repair' AND b.blueprint_id = a.blueprint_id AND b.language = a.language)) SELECT family_id, count(*) AS n, round(avg(regret), 6) AS mean_regret FROM r GROUP BY 1",
         "paired_coverage": f"{_S} SELECT language, count(*) AS n, count(a.regret - e.regret) AS n_paired, round(avg(a.regret - e.regret), 6) AS mean_difference FROM {both.format('parent')} a FULL JOIN {both.format('expert')} e USING (blueprint_id, language) GROUP BY 1",

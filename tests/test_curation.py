@@ -117,3 +117,26 @@ def test_files_and_streams(spark, tmp_path):
     for _ in range(2):
         S.append_batches(s, str(tmp_path / "out"), str(tmp_path / "ck"), "id").awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_small_numeric_choices():
+    import numpy as np
+
+    from lodestat.operators import selection as L
+
+    v = np.array([[1.0, 0.0], [0.0, 2.0]])
+    w = L.min_norm_weights(v @ v.T)
+    assert w == pytest.approx([0.8, 0.2], abs=1e-4)
+    s = L.conflict_summary(np.array([[1.0, -0.5], [-0.5, 1.0]]))
+    assert s["negative_share"] == 1 and 1 < s["effective_rank"] <= 2
+    assert L.z_from_p(0.05) == pytest.approx(1.959964, abs=1e-5)
+    assert L.smooth_schedule({"a": 2, "b": 1}, 6).count("a") == 4
+
+
+def test_menu_and_mutation(spark):
+    from lodestat.operators import selection as L
+
+    df = spark.createDataFrame([(1, ["x", "y"], {"n": 10.0, "e": 0.5, "z": 3.0})], "id int, c array<string>, p map<string,double>")
+    r = df.select(L.menu(F.col("c"), F.col("id")).alias("m"), L.mutated(F.col("p"), F.col("id"), F.expr("map('n', 2.0d, 'e', 0.0d)"), F.expr("map('n', 100.0d, 'e', 1.0d)"), F.expr("map('n', true, 'e', false)")).alias("q")).first()
+    assert [x["label"] for x in r["m"]] == ["A", "B", "C"] and {x["method"] for x in r["m"]} == {"x", "y", "needs_clarification"}
+    assert r["q"]["z"] == 3.0 and r["q"]["n"] == round(r["q"]["n"]) and 0.04 <= abs(r["q"]["e"] - 0.5) <= 0.18
