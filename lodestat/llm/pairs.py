@@ -74,7 +74,7 @@ _TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_]+|\d+(?:[.,]\d+)*")
 
 
 class SuffixAutomaton:
-    """All substrings of a text; `copied` walks another text through it."""
+    """All substrings of a text; `spans` walks another text through it."""
 
     def __init__(self, s: str):
         self.next: list[dict[str, int]] = [{}]
@@ -104,9 +104,9 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = new
             last = cur
 
-    def copied(self, t: str, least: int) -> int:
-        """How many characters of t lie in stretches of at least `least` that the text also has."""
-        state = length = reach = total = 0
+    def spans(self, t: str, least: int) -> Iterator[tuple[int, int]]:
+        """Stretches of t of at least `least` characters that the text also has; ends rise."""
+        state = length = 0
         for i, c in enumerate(t):
             while state and c not in self.next[state]:
                 state = self.link[state]
@@ -115,10 +115,20 @@ class SuffixAutomaton:
                 state = self.next[state][c]
                 length += 1
             if length >= least:
-                start = max(i + 1 - length, reach)
-                total += i + 1 - start
-                reach = i + 1
-        return total
+                yield i + 1 - length, i + 1
+
+
+def copied(text: str, t: str, least: int, block: int = 100_000) -> int:
+    """How many characters of t lie in stretches of at least `least` that the text also has. The text is
+    indexed in blocks that overlap by `least`, so any such stretch shows and memory stays bounded."""
+    covered = bytearray(len(t))
+    for at in range(0, max(len(text), 1), block):
+        reach = 0
+        for i, j in SuffixAutomaton(text[at : at + block + least]).spans(t, least):
+            i = max(i, reach)
+            covered[i:j] = b"\x01" * (j - i)
+            reach = j
+    return sum(covered)
 
 
 @functools.cache
@@ -219,8 +229,8 @@ def is_copy(prompt: str, answer: str) -> bool:
     core, got = _letters(core_question(prompt)), _letters(a)
     if len(core) < 8 or len(got) < 0.85 * len(core):
         return False
-    copied = SuffixAutomaton(_letters(prompt)).copied(got, 6)
-    return copied >= 0.97 * len(got) and copied >= 0.85 * len(core)
+    n = copied(_letters(prompt), got, 6)
+    return n >= 0.97 * len(got) and n >= 0.85 * len(core)
 
 
 def is_refusal(answer: str) -> bool:

@@ -206,7 +206,7 @@ def test_suffix_automaton_against_brute_force():
             for j in range(i + least, len(b) + 1):
                 if b[i:j] in a:
                     covered.update(range(i, j))
-        assert pairs.SuffixAutomaton(a).copied(b, least) == len(covered)
+        assert pairs.copied(a, b, least) == pairs.copied(a, b, least, block=rng.randrange(1, 9)) == len(covered)
 
 
 def test_defective_pairs(spark):
