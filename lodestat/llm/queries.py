@@ -171,7 +171,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p6_found": _P6, "p7_found": _P7}
+    return {"p2_found": _P2, "p6_found": _P6, "p6_report": _P6_REPORT, "p7_found": _P7}
 
 
 _P2 = r"""
@@ -209,6 +209,25 @@ JOIN k ON k.f = a.f
 GROUP BY a.n, c.n, need HAVING count(*) = need
 """
 
+_P6_REPORT = r"""
+WITH b AS (SELECT lower(replace(trim(family_id), '-', '_')) AS f, parameter_name AS p, upper_bound - lower_bound AS w FROM family_bounds),
+k AS (SELECT f, count(*) AS need FROM b GROUP BY f),
+v AS (
+  SELECT scenario_row AS n, lower(trim(split)) AS s, source, b.f, b.p, b.w, parameters[b.p] AS x
+  FROM scenarios JOIN b ON b.f = lower(replace(trim(family_id), '-', '_'))
+  WHERE lower(trim(split)) IN ('train', 'valid', 'dev', 'final') AND parameters[b.p] IS NOT NULL AND isfinite(parameters[b.p])
+),
+r AS (SELECT n, s, source FROM v JOIN k USING (f) GROUP BY n, s, source, need HAVING count(*) = need),
+q AS (
+  SELECT a.n AS ra, c.n AS rb, bool_and(a.x = c.x) AS same
+  FROM v a JOIN v c ON a.f = c.f AND a.p = c.p AND a.s = 'train' AND c.s <> 'train' AND abs(a.x - c.x) / a.w <= 0.005
+  JOIN k ON k.f = a.f GROUP BY a.n, c.n, need HAVING count(*) = need
+),
+h AS (SELECT ra AS n, bool_or(same) AS same FROM q GROUP BY 1 UNION ALL SELECT rb, bool_or(same) FROM q GROUP BY 1)
+SELECT s AS split, source, count(*) AS n_rows, count(*) FILTER (same) AS n_exact, count(*) FILTER (NOT same) AS n_near
+FROM r LEFT JOIN h USING (n) GROUP BY s, source
+"""
+
 _P7 = r"""
 WITH n AS (
   SELECT lower(replace(trim(language), '-', '_')) AS l, lower(replace(trim(family_id), '-', '_')) AS f, count(DISTINCT task_id) AS have
