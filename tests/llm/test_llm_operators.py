@@ -356,3 +356,18 @@ def test_mojibake_round_trip(spark):
     assert mojibake.repaired(odd.where("false"), {}, "doc_id", "text", "lang").count() == 0
 
 
+
+
+def test_mojibake_runs_between_two_byte_encodings():
+    """Runs are read also where a lost character or a sound one outside the encoding stands in the sentence."""
+    clean = ["因为资料有界且同分很多，删除高杠杆点之后，斜率由 {} 变为 {}。", "二次检验对估计效果的影响为 {}，残差图显示离散程度增加 {}。"]
+    made = mojibake.dictionary([s.format(i, i * 7 % 50) for s in clean for i in range(300)])
+    lengths = mojibake.Lengths({"zh_hans": made})
+    run = "因为资料有界且同分很多"
+    bad = run.encode("gbk").decode("big5")
+    for other in ("�", "한"):
+        text, chain = mojibake.repair_sentence(f"{other} {bad} 0.", "zh_hans", lengths)
+        assert (text, chain) == (f"{other} {run} 0.", ["big5>gbk"])
+    # sound headings beside such a character stay, though their runs can be read in another way
+    for sound in ("� 斜率", "한 估计效果", "� 标准误差", "한 第二位审稿人"):
+        assert mojibake.repair_sentence(sound, "zh_hans", lengths) == (sound, [])
