@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import text as X
 from lodestat.operators.ordering import group_rank, running_total
+from lodestat.session import cut
 
 
 def ngram_overlap(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str, n: int = 8) -> DataFrame:
@@ -136,27 +137,50 @@ def chat_errors(messages: Column, metadata: Column, required: Sequence[str]) ->
 
 def mmr(df: DataFrame, group: str, key: str, text: str, score: str, k: int, penalty: float = 0.35, n: int = 3, pool: int = 400) -> DataFrame:
     """Maximal marginal relevance per group: next is the row with the largest score minus penalty times
-    its largest Jaccard similarity to those chosen (ties: larger key). The pool, the best-scored rows of
-    a group, bounds what one task holds; it is a parameter of the operator."""
-    d = df.select(group, key, X.word_ngrams(F.col(text), n).alias("grams"), F.col(score).alias("score"))
-    w = Window.partitionBy(group).orderBy(F.desc("score"), F.desc(key))
-    d = d.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
+    its largest Jaccard similarity to those chosen (ties: larger key; keys are unique in a group).
+
+    Exact over all rows, while one task holds only `pool` of a group: those with the largest value against
+    what is chosen already. A pick stands if its value is above that of the best row left out, which can
+    only fall; from the first pick that isn't, the next round values all rows of that group anew. The first
+    pick of a round always stands, so there are at most k rounds."""
+    if penalty < 0 or pool < 1:
+        raise ValueError("penalty must not be negative, pool must be positive")
+    kinds = dict(df.dtypes)
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, position int, mmr double, grams array<string>, more boolean"
+    d = df.select(group, key, X.word_ngrams(F.col(text), n).alias("grams"), F.col(score).cast("double").alias("score"))
+    w = Window.partitionBy(group).orderBy(F.desc("value"), F.desc(key))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r")
+        rest = (pdf["value"].iloc[pool], pdf[key].iloc[pool]) if len(pdf) > pool else None
+        name, had, pdf = pdf[group].iloc[0], int(pdf["had"].iloc[0]), pdf.iloc[:pool]
         sets = [frozenset(g) for g in pdf["grams"]]
-        near, left, out = [0.0] * len(sets), set(range(len(sets))), []
+        near, left, out = pdf["near"].tolist(), set(range(len(sets))), []
         keys, scores = pdf[key].tolist(), pdf["score"].tolist()
-        while left and len(out) < k:
+        while left and had + len(out) < k:
             i = max(left, key=lambda i: (scores[i] - penalty * near[i], keys[i]))
+            value = scores[i] - penalty * near[i]
+            if rest and out and (value, keys[i]) <= rest:
+                break
             left.discard(i)
-            out.append((pdf[group].iloc[0], keys[i], len(out) + 1, scores[i] - penalty * near[i]))
+            out.append((name, keys[i], had + len(out) + 1, value, list(sets[i])))
             for j in left:
                 u = len(sets[i] | sets[j])
                 near[j] = max(near[j], len(sets[i] & sets[j]) / u if u else 0.0)
-        return pd.DataFrame(out, columns=[group, key, "position", "mmr"])
-
-    kinds = dict(df.dtypes)
-    return d.groupBy(group).applyInPandas(choose, f"{group} {kinds[group]}, {key} {kinds[key]}, position int, mmr double")
+        more = rest is not None and had + len(out) < k
+        return pd.DataFrame([(*o, more) for o in out], columns=[group, key, "position", "mmr", "grams", "more"])
+
+    left, picked = d.withColumn("near", F.lit(0.0)).withColumn("had", F.lit(0)), None
+    while True:
+        pooled = left.withColumn("value", F.col("score") - F.lit(float(penalty)) * F.col("near")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool + 1)
+        made = cut(pooled.groupBy(group).applyInPandas(choose, schema))
+        picked = made if picked is None else picked.unionByName(made)
+        if made.where("more").isEmpty():
+            return picked.select(group, key, "position", "mmr")
+        unfinished = made.where("more").select(F.col(group).alias("__g")).distinct()
+        known = picked.join(unfinished, F.col(group).eqNullSafe(F.col("__g"))).groupBy("__g").agg(F.collect_list(key).alias("__keys"), F.collect_list("grams").alias("__sets"), F.count(F.lit(1)).cast("int").alias("had"))
+        nearest = F.aggregate("__sets", F.lit(0.0), lambda m, g: F.greatest(m, X.jaccard(F.col("grams"), g)))
+        left = d.join(known, F.col(group).eqNullSafe(F.col("__g"))).where(~F.array_contains("__keys", F.col(key))).withColumn("near", nearest).drop("__g", "__keys", "__sets")
 
 
 def selected_tokens(deltas: Column, offset: int, share: float, floor: float, last: int = 2) -> Column:

@@ -140,3 +140,27 @@ def test_menu_and_mutation(spark):
     r = df.select(L.menu(F.col("c"), F.col("id")).alias("m"), L.mutated(F.col("p"), F.col("id"), F.expr("map('n', 2.0d, 'e', 0.0d)"), F.expr("map('n', 100.0d, 'e', 1.0d)"), F.expr("map('n', true, 'e', false)")).alias("q")).first()
     assert [x["label"] for x in r["m"]] == ["A", "B", "C"] and {x["method"] for x in r["m"]} == {"x", "y", "needs_clarification"}
     assert r["q"]["z"] == 3.0 and r["q"]["n"] == round(r["q"]["n"]) and 0.04 <= abs(r["q"]["e"] - 0.5) <= 0.18
+
+
+def test_mmr_looks_at_the_whole_group(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in ("a", "b", None):
+        same = " ".join(rng.choice("pqrst") for _ in range(12))
+        rows += [(g, f"{g}{i:02}", same + (" u v w" if i % 3 else ""), round(0.9 - i / 1000, 2)) for i in range(40)]
+        rows += [(g, f"{g}x{i}", " ".join(rng.choice("pqrstuvwxyz") for _ in range(12)), round(0.8 - i / 100, 2)) for i in range(8)]
+    rows += [("few", "f1", "one two", 0.1), ("few", "f2", None, 0.1)]
+    df = spark.createDataFrame(rows, "g string, id string, t string, s double")
+    want = {}
+    for g in ("a", "b", None, "few"):
+        left = [(i, frozenset(zip(*[(t or "").split()[n:] for n in range(3)])), s) for h, i, t, s in rows if h == g]
+        chosen = []
+        while left and len(chosen) < 10:
+            near = lambda x: max((len(x & y) / len(x | y) if x | y else 0.0 for _, y, _ in chosen), default=0.0)  # noqa: B023, E731
+            best = max(left, key=lambda r: (r[2] - 0.35 * near(r[1]), r[0]))
+            want[g, len(chosen) + 1] = (best[0], pytest.approx(best[2] - 0.35 * near(best[1])))
+            left.remove(best)
+            chosen.append(best)
+    for pool in (4, 400):
+        got = {(r["g"], r["position"]): (r["id"], r["mmr"]) for r in U.mmr(df, "g", "id", "t", "s", 10, pool=pool).collect()}
+        assert got == want
