@@ -164,3 +164,18 @@ def test_mmr_looks_at_the_whole_group(spark):
     for pool in (4, 400):
         got = {(r["g"], r["position"]): (r["id"], r["mmr"]) for r in U.mmr(df, "g", "id", "t", "s", 10, pool=pool).collect()}
         assert got == want
+
+
+def _routed(spark, folder, rows):
+    from lodestat.queries.text import text_router_nb
+
+    spark.createDataFrame(rows, "canary_row bigint, text string, family_id string").write.parquet(str(folder / "routing_canary.parquet"))
+    return {(r["label"], r["predicted"]): r["n"] for r in text_router_nb(spark, str(folder)).collect()}
+
+
+def test_router_query_has_the_whole_vocabulary(spark, tmp_path):
+    rng = random.Random(5)
+    common = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(3000))  # over 3000 features in every text
+    rows = [(i, f"{common} {i} {'uvuv' if i % 2 else 'wzwz'}", "odd" if i % 2 else "even") for i in range(40)]
+    rows = [(i, t.replace(f" {i} ", f" {chr(0x4E00 + i)} "), f) for i, t, f in rows]
+    assert set(_routed(spark, tmp_path, rows)) == {("odd", "odd"), ("even", "even")}
