@@ -129,7 +129,7 @@ def method_tags(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_router_nb(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "routing_canary").where("text IS NOT NULL").select("canary_row", F.substring("text", 1, 100000).alias("text"), F.coalesce(code_key(F.col("family_id")), F.lit("none")).alias("family"))
+    c = table(s, d, "routing_canary").where("text IS NOT NULL").select("canary_row", "text", F.coalesce(code_key(F.col("family_id")), F.lit("none")).alias("family"))
     half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
     model = R.fit(c.where(half), "canary_row", "text", "family")
     return R.confusion(R.score(c.where(~half), model, "canary_row", "text"), c, "canary_row", "family")

@@ -179,3 +179,8 @@ def test_router_query_has_the_whole_vocabulary(spark, tmp_path):
     rows = [(i, f"{common} {i} {'uvuv' if i % 2 else 'wzwz'}", "odd" if i % 2 else "even") for i in range(40)]
     rows = [(i, t.replace(f" {i} ", f" {chr(0x4E00 + i)} "), f) for i, t, f in rows]
     assert set(_routed(spark, tmp_path, rows)) == {("odd", "odd"), ("even", "even")}
+
+
+def test_router_query_reads_long_texts_to_the_end(spark, tmp_path):
+    rows = [(i, "a" * 100_000 + f" {chr(0x4E00 + i)} {'uvuv' if i % 2 else 'wzwz'}", "odd" if i % 2 else "even") for i in range(16)]
+    assert set(_routed(spark, tmp_path, rows)) == {("odd", "odd"), ("even", "even")}
