@@ -61,10 +61,11 @@ def importance_weights(df: DataFrame, by: str, desired: Mapping[str, float]) ->
 
 
 def menu(candidates: Column, key: Column, seed: int = 0, clarify: str = "needs_clarification", most: int = 6) -> Column:
-    """Candidates and the request for clarification in a hash order, labelled A, B, ..."""
+    """Candidates and the request for clarification in a hash order, labelled A, B, ...; null if there are
+    more options than the `most` labels, as no option may be lost."""
     all_ = F.array_union(candidates, F.array(F.lit(clarify)))
     mixed = F.array_sort(F.transform(all_, lambda m: F.struct(hash_order(seed, key, m).alias("h"), m.alias("m"))))
-    return F.slice(F.transform(mixed, lambda s, i: F.struct(F.char(i + 65).alias("label"), s["m"].alias("method"))), 1, most)
+    return F.when(F.size(all_) <= most, F.transform(mixed, lambda s, i: F.struct(F.char(i + 65).alias("label"), s["m"].alias("method"))))
 
 
 def mutated(parameters: Column, key: Column, low: Column, high: Column, whole: Column, seed: int = 0) -> Column:

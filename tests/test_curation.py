@@ -184,3 +184,11 @@ def test_router_query_has_the_whole_vocabulary(spark, tmp_path):
 def test_router_query_reads_long_texts_to_the_end(spark, tmp_path):
     rows = [(i, "a" * 100_000 + f" {chr(0x4E00 + i)} {'uvuv' if i % 2 else 'wzwz'}", "odd" if i % 2 else "even") for i in range(16)]
     assert set(_routed(spark, tmp_path, rows)) == {("odd", "odd"), ("even", "even")}
+
+
+def test_menu_loses_no_option(spark):
+    from lodestat.operators import selection as L
+
+    df = spark.createDataFrame([(1, list("uvwxy")), (2, list("uvwxyz"))], "id int, c array<string>")
+    got = {r["id"]: r["m"] for r in df.select("id", L.menu(F.col("c"), F.col("id")).alias("m")).collect()}
+    assert [x["label"] for x in got[1]] == list("ABCDEF") and got[2] is None
