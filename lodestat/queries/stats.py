@@ -203,7 +203,7 @@ def posterior_predictive(s: SparkSession, d: str) -> DataFrame:
 
 
 def randomization_inference(s: SparkSession, d: str) -> DataFrame:
-    return rounded(L.randomization_inference(_valid(s, d), "normalized_regret", "valid", draws=500))
+    return rounded(L.randomization_inference(_valid(s, d), "normalized_regret", "valid"))
 
 
 def ipw(s: SparkSession, d: str) -> DataFrame:

@@ -156,3 +156,14 @@ def test_profile(spark):
 def test_singleton_group_gives_no_test(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "b")], "y double, g string")
     assert C.two_group_t(df, "y", "g").count() == 0
+
+
+def test_randomization_query_uses_the_default_draws(monkeypatch):
+    from lodestat.queries import stats as Q
+
+    given = {}
+    monkeypatch.setattr(Q, "_valid", lambda s, d: None)
+    monkeypatch.setattr(Q, "rounded", lambda df: df)
+    monkeypatch.setattr(Q.L, "randomization_inference", lambda *a, **more: given.update(more))
+    Q.randomization_inference(None, "")
+    assert given.get("draws", 2000) == 2000
