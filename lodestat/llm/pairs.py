@@ -1,24 +1,26 @@
 """Broken prompt and response pairs (problem 5).
 
 An answer is held against the nearest user message before it, by a suffix automaton of the prompt
-(how much of the answer is copied), an automaton of refusal phrases, a stack of delimiters and
-stopword votes for the language. Where only the last words can tell whether an answer breaks off,
-statistics over all answers decide: how often those words end a sentence or list item elsewhere.
+(how much of the answer is copied), automata over word classes for refusals (refusals.py), a stack of
+delimiters and stopword votes for the language. Where only the last words can tell whether an answer
+breaks off, statistics over all answers decide: how often those words end a sentence or list item elsewhere.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.lookalike import transducer
+from lodestat.llm.refusals import is_refusal as _declined
 
 #: Words that stand for "no answer" when nothing else is there.
 NOTHING = ["n/a", "na", "none", "null", "nil", "nan", "tbd", "todo", "無", "无", "空", "略"]
@@ -26,19 +28,6 @@ NOTHING = ["n/a", "na", "none", "null", "nil", "nan", "tbd", "todo", "無", "无
 LABELS = ["answer", "response", "reply", "final answer", "答", "回答", "答案", "解答", "antwort", "réponse"]
 #: Labels that may precede a repeated question.
 QUESTION_LABELS = ["question", "prompt", "問題", "问题", "題目", "题目", "提問", "提问", "frage"]
-#: Phrases that decline to answer.
-REFUSALS = [
-    "can't help", "cannot help", "can not help", "can't assist", "cannot assist", "can't answer", "cannot answer", "can't provide", "cannot provide", "can't comment", "cannot comment", "cannot discuss", "can't discuss", "cannot respond", "can't respond", "cannot offer", "cannot advise", "can't advise", "could not answer", "cannot comply", "can't comply", "cannot take on", "cannot fulfil",
-    "unable to help", "unable to assist", "unable to answer", "unable to provide", "unable to comment", "unable to discuss", "unable to respond", "unable to advise", "unable to offer", "unable to comply",
-    "not able to help", "not able to assist", "not able to answer", "not able to provide", "not able to comment", "not able to discuss", "not able to respond", "not able to advise", "won't be able to", "will not be able to",
-    "must decline", "have to decline", "i decline", "i refuse", "must refuse", "won't answer", "will not answer", "won't comment", "won't discuss", "no answer can be", "outside what i am allowed", "outside what i'm allowed", "beyond what i am allowed", "not allowed to", "not permitted to", "against my instructions", "against my guidelines", "against my rules", "against my policy", "my guidelines do not", "my guidelines don't", "my instructions do not", "topic is restricted", "rather not respond", "rather not answer", "rather not say", "rather not comment", "not in a position to", "i have to leave alone", "i must leave alone", "may weigh in on", "can weigh in on", "not comfortable",
-    "不能回答", "無法回答", "无法回答", "不能協助", "不能协助", "無法協助", "无法协助", "無法提供", "无法提供", "不能提供", "無法給出回答", "无法给出回答", "無法作答", "无法作答", "不便回答", "不便表示", "不方便表示", "不方便回答", "不適合對", "不适合对", "不適合回答", "不适合回答", "能處理的範圍", "能处理的范围", "可以討論的範圍", "可以讨论的范围", "守則不允許", "守则不允许", "幫不上忙", "帮不上忙", "受到限制", "恕不回覆", "恕不回复", "恕難", "恕难", "恕無法", "恕无法", "婉拒", "拒絕回答", "拒绝回答", "不予置評", "不予置评", "不予回答", "不允許我", "不允许我",
-]
-#: Openings and closings that add nothing to a refusal.
-AROUND = [
-    "hello", "hi", "thank you for", "thanks for", "i appreciate", "sorry", "i'm sorry", "i am sorry", "my apologies", "apologies", "regrettably", "unfortunately", "feel free to", "you are welcome to", "a local statistician", "please consult", "please contact", "please ask", "please reach out", "i would suggest consulting", "is there anything else", "let me know if", "i hope you understand", "happy to",
-    "您好", "你好", "很遺憾", "很遗憾", "很抱歉", "抱歉", "對不起", "对不起", "感謝提問", "感谢提问", "謝謝", "谢谢", "歡迎改問", "欢迎改问", "可以找", "請洽", "请洽", "請諮詢", "请咨询", "請諒解", "请谅解", "請見諒", "请见谅", "還有其他", "还有其他", "如有其他", "希望你", "希望您",
-]
 #: Frequent short words by language.
 STOPWORDS = {
     "en": "the of and to in is for that with on as are was be by it this from at or an not which we have has but were than its can should how what does do a if you i".split(),
@@ -58,13 +47,19 @@ ASKED = {
     "ja": ["japanese", "日文", "日語", "日语"],
     "es": ["spanish", "西班牙"],
 }
-_STOPSETS = {k: frozenset(v) for k, v in STOPWORDS.items()}
+_VOTES: dict[str, tuple[str, ...]] = {w: tuple(k for k, v in STOPWORDS.items() if w in v) for v in STOPWORDS.values() for w in v}
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z_][\w-]*>")
 _ID = re.compile(r"\b[A-Z]{1,4}-[A-Z0-9]+\b|\b\w+_\w+\b")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
+_QUOTED = re.compile(r"\{.*?\}|`[^`]*`", re.S)
+_LABEL = re.compile(rf"(?i)(?:{'|'.join(map(re.escape, LABELS))})\s*[:：]?\s*(.*)", re.S)
+_ASKED_AGAIN = re.compile(rf"(?i)^\W*(?:{'|'.join(QUESTION_LABELS)})\s*[:：]")
+_NO_LETTER = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: How many sights of the last word weigh as much as its rate against that of the last two words.
+PRIOR = 4.0
 _END = ".!?。！？"
 _CLOSERS = "\"'”’」』)）]】*_`»"
 _MENU = re.compile(r"\n\s*\n?[^\n]{0,24}[:：]\s*\n\s*[A-Za-zＡ-Ｚ][^\n]{0,3}?[.)．、:]")
@@ -131,13 +126,17 @@ def copied(text: str, t: str, least: int, block: int = 100_000) -> int:
     return sum(covered)
 
 
-@functools.cache
-def _phrases(which: str) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for p in {"refuse": REFUSALS, "around": AROUND}[which]:
-        a.add_word(p, p)
-    a.make_automaton()
-    return a
+def may_copy(text: str, t: str, least: int = 6, lost: float = 0.03) -> bool:
+    """False only if more than a share `lost` of t can't lie in stretches of `least` characters that the text
+    also has, so no automaton is needed. Of 2 * least characters that are covered as a whole, one of
+    the first least + 1 begins such a stretch; each block without one has a character uncovered."""
+    left = lost * len(t)
+    for at in range(0, len(t) - 2 * least + 1, 2 * least):
+        if not any(t[i : i + least] in text for i in range(at, at + least + 1)):
+            left -= 1
+            if left < 0:
+                return False
+    return True
 
 
 @functools.lru_cache(200_000)
@@ -155,12 +154,16 @@ def _variant(c: str) -> int:
 
 def language(text: str) -> str | None:
     """Language of the prose in a text by votes, null without enough of it."""
-    t = _ID.sub(" ", _TAG.sub(" ", _FENCE.sub(" ", text)))
-    t = re.sub(r"\{.*?\}|`[^`]*`", " ", t, flags=re.S)
+    t = _FENCE.sub(" ", text) if "```" in text else text
+    t = _TAG.sub(" ", t) if "<" in t else t
+    t = _ID.sub(" ", t)
+    t = _QUOTED.sub(" ", t) if "{" in t or "`" in t else t
     han = _HAN.findall(t)
-    words = [w.lower().replace("’", "'") for w in _WORD.findall(t) if not _HAN.search(w)]
-    split = [p for w in words for p in w.split("'")]
-    votes = {k: sum(w in s for w in split) for k, s in _STOPSETS.items()}
+    seen = Counter(p for w in _WORD.findall(t) for p in w.lower().replace("’", "'").split("'"))
+    votes = dict.fromkeys(STOPWORDS, 0)
+    for w, n in seen.items():
+        for k in _VOTES.get(w, ()):
+            votes[k] += n
     best = max(votes, key=lambda k: (votes[k], k))
     latin = votes[best]
     if len(han) >= 6 and len(han) > 2 * latin:
@@ -194,7 +197,7 @@ def core_question(prompt: str) -> str:
 
 
 def _letters(s: str) -> str:
-    return "".join(c for c in transducer()(s).casefold() if c.isalnum())
+    return _NO_LETTER.sub("", s.casefold())
 
 
 @functools.lru_cache(8)
@@ -210,7 +213,7 @@ def is_empty(answer: str) -> bool:
     a = re.sub(r"```[\w+-]*\s*```", " ", _bare(answer))
     a = _TAG.sub(" ", a).strip().strip("*_#>`~ \t\n").strip()
     a = re.sub(r"[*_`]", "", a).strip()
-    m = re.fullmatch(rf"(?i)(?:{'|'.join(map(re.escape, LABELS))})\s*[:：]?\s*(.*)", a, re.S)
+    m = _LABEL.fullmatch(a)
     if m and (a.rstrip().endswith((":", "：")) or re.match(r"(?i)[^:：]*[:：]", a)):
         a = m.group(1).strip()
     inner = a.strip("()（）[]【】.。-—–_ ").casefold()
@@ -218,6 +221,7 @@ def is_empty(answer: str) -> bool:
 
 
 def is_copy(prompt: str, answer: str) -> bool:
+    """`prompt` is in the common form of look-alikes, as the answer is brought to it."""
     a = _TAG.sub(" ", _bare(answer))
     kept = [x for x in a.split("\n") if not x.lstrip().startswith(">")]
     rest = "\n".join(kept)
@@ -225,25 +229,20 @@ def is_copy(prompt: str, answer: str) -> bool:
         if any(c.isalnum() for c in rest):
             return False  # a quoted question with an answer below
         a = re.sub(r"(?m)^\s*>+", " ", a)
-    a = re.sub(rf"(?i)^\W*(?:{'|'.join(QUESTION_LABELS)})\s*[:：]", "", a)
+    a = _ASKED_AGAIN.sub("", a)
     core, got = _letters(core_question(prompt)), _letters(a)
     if len(core) < 8 or len(got) < 0.85 * len(core):
         return False
-    n = copied(_letters(prompt), got, 6)
+    whole = _letters(prompt)
+    if not may_copy(whole, got):
+        return False
+    n = copied(whole, got, 6)
     return n >= 0.97 * len(got) and n >= 0.85 * len(core)
 
 
 def is_refusal(answer: str) -> bool:
-    a = _TAG.sub(" ", _FENCE.sub(" CODE_BLOCK_HERE ", _bare(answer))).replace("’", "'").lower()
-    a = "\n".join(x for x in a.split("\n") if not x.lstrip().startswith(">"))
-    sentences = [s.strip() for s in re.split(r"(?<=[.!?;])\s+|(?<=[。！？；])|\n+", a) if s and any(c.isalnum() for c in s)]
-    refused = False
-    for s in sentences:
-        if next(_phrases("refuse").iter(s), None) is not None:
-            refused = True
-        elif not any(s.lstrip("\"'*- ").startswith(p) for p in AROUND):
-            return False
-    return refused
+    a = _TAG.sub(" ", _FENCE.sub(" CODE_BLOCK_HERE ", _bare(answer)))
+    return _declined("\n".join(x for x in a.split("\n") if not x.lstrip().startswith(">")))
 
 
 def _open_end(answer: str) -> bool:
@@ -335,6 +334,7 @@ def judge(prompt: str | None, answer: str | None) -> tuple[str | None, list[str]
     """(defect, tokens to look up). At most one defect; without prompt text the prompt-bound ones don't apply."""
     if answer is None or is_empty(answer):
         return "empty_answer", []
+    prompt = transducer()(prompt) if prompt else prompt
     if prompt and is_copy(prompt, answer):
         return "copied_question", []
     if is_refusal(answer):
@@ -344,7 +344,7 @@ def judge(prompt: str | None, answer: str | None) -> tuple[str | None, list[str]
         return "truncated_answer", []
     if prompt:
         own = "\n".join(x for x in _bare(answer).split("\n") if not x.lstrip().startswith(">"))
-        q, a = language(transducer()(core_question(prompt))), language(own)
+        q, a = language(core_question(prompt)), language(own)
         if q and a and q != a and not ({q, a} & {"zh"} and q[:2] == a[:2]):
             asked = asked_languages(prompt)
             if a not in asked and not (a.startswith("zh") and "zh" in asked and not asked & {"zh_hant", "zh_hans"}):
@@ -381,11 +381,31 @@ def judged_pairs(records: DataFrame, key: str, messages: str = "messages") -> Da
     return records.select(key, messages).mapInArrow(run, f"{key} {kind}, message_pos int, defect string, tail2 string, tail1 string")
 
 
-def ending_counts(records: DataFrame, messages: str = "messages") -> DataFrame:
+def _slots(grams: list[str], bits: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for g in grams), np.int64, len(grams))
+
+
+def wanted_bits(wanted: DataFrame, gram: str, bits: int = 24) -> np.ndarray:
+    """A bitmap of the hashes of all wanted grams, 2 MB for 24 bits whatever their number. With very many
+    of them it is full and lets all pass, which only costs shuffle."""
+    at = (F.crc32(F.col(gram)) % (1 << bits)).cast("bigint") + 1  # bitmap positions count from 1
+    per = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << bits, bool)
+    for r in per.collect():  # at most 2 ** bits / 32768 lines of 4 kB
+        got = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        out[np.flatnonzero(got) + (r["bucket"] - 1) * 32768] = True
+    return out
+
+
+def ending_counts(records: DataFrame, messages: str = "messages", wanted: np.ndarray | None = None) -> DataFrame:
     """(gram, n, n_final): how often one or two words occur in answers and how often they end a
-    sentence or list item that another follows. Summed per batch before the shuffle."""
+    sentence or list item that another follows. Summed per batch before the shuffle; of the grams only
+    those go there that may be wanted (all without `wanted`)."""
+    bits = None if wanted is None else int(len(wanted)).bit_length() - 1
+    packed = None if wanted is None else np.packbits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = None if packed is None else np.unpackbits(packed).astype(bool)
         for b in batches:
             n, final = Counter(), Counter()
             for ms in b.column(0).to_pylist():
@@ -399,22 +419,27 @@ def ending_counts(records: DataFrame, messages: str = "messages") -> DataFrame:
                             if len(t) > 1:
                                 final[f"{t[-2]} {t[-1]}"] += 1
             grams = list(n)
+            if keep is not None:
+                grams = [grams[i] for i in np.flatnonzero(keep[_slots(grams, bits)])]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([n[g] for g in grams], pa.int64()), pa.array([final[g] for g in grams], pa.int64())], ["gram", "n", "n_final"])
 
     made = records.select(messages).mapInArrow(run, "gram string, n bigint, n_final bigint")
     return made.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
 
 
-def defective_pairs(records: DataFrame, judged: DataFrame, key: str, least: int = 8, share2: float = 0.05, share1: float = 0.02) -> DataFrame:
-    """(key, message_pos, defect). A tail of two words seen often enough breaks off if it ends
-    sentences rarely; otherwise its last word decides in the same way."""
+def defective_pairs(records: DataFrame, judged: DataFrame, key: str, prior: float = PRIOR, share: float = 0.035) -> DataFrame:
+    """(key, message_pos, defect). An open tail breaks off if its last two words end sentences more rarely than
+    `share`. The rate of the two words is drawn towards that of the last word alone, as if that had been
+    seen `prior` times, so rare pairs lean on the word and often seen ones on themselves, without a step.
+    `judged` is read twice: give it cut."""
     open_ = judged.where("defect IS NULL AND tail1 IS NOT NULL")
-    counts = ending_counts(records)
     wanted = open_.select(F.explode(F.array("tail1", "tail2")).alias("gram")).distinct()
-    counts = counts.join(wanted, "gram", "left_semi")
+    counts = ending_counts(records, wanted=wanted_bits(wanted, "gram"))
     two = counts.select(F.col("gram").alias("tail2"), F.col("n").alias("n2"), F.col("n_final").alias("f2"))
     one = counts.select(F.col("gram").alias("tail1"), F.col("n").alias("n1"), F.col("n_final").alias("f1"))
     d = open_.join(two, "tail2", "left").join(one, "tail1", "left")
-    broken = F.when(F.col("n2") >= least, F.col("f2") < share2 * F.col("n2")).otherwise((F.coalesce("f2", F.lit(0)) == 0) & (F.coalesce("f1", F.lit(0)) <= share1 * F.coalesce("n1", F.lit(0))))
-    late = d.where(broken).select(key, "message_pos", F.lit("truncated_answer").alias("defect"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    alone = zero("f1") / F.greatest(zero("n1"), F.lit(1))
+    rate = (zero("f2") + prior * alone) / (zero("n2") + prior)
+    late = d.where(rate < share).select(key, "message_pos", F.lit("truncated_answer").alias("defect"))
     return judged.where("defect IS NOT NULL").select(key, "message_pos", "defect").unionByName(late)

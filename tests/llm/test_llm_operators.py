@@ -196,6 +196,41 @@ def test_judge(prompt, answer, defect):
     assert pairs.judge(prompt, answer)[0] == defect
 
 
+#: Written after the classes were fixed (but for one word, leid), with none of the tables' wordings.
+_DECLINING = {
+    "en": ["As a language model I have no opinion to share on this.", "I'm afraid this is something I do not talk about.", "My policies prevent me from answering that.", "We are not allowed to comment on this request.", "I must abstain from giving advice on this topic.", "That is beyond what I can discuss. Try asking a specialist.", "I'm not comfortable answering this. Is there another question?", "It isn't possible for me to respond to this request.", "I don't give opinions on such matters.", "No comment.", "Sorry! I will not engage with this question."],
+    "fr": ["Désolé, je ne peux pas vous répondre.", "Je refuse de commenter ce sujet.", "Je préfère ne pas donner mon avis sur cette question.", "Il ne m'est pas possible de vous aider.", "Malheureusement, je ne suis pas autorisé à discuter de cela. Merci de consulter un spécialiste."],
+    "de": ["Dazu kann ich leider keine Auskunft geben.", "Diese Frage möchte ich nicht beantworten.", "Ich darf mich zu diesem Thema nicht äußern.", "Leider bin ich nicht in der Lage, Ihnen zu helfen.", "Es tut mir leid, das darf ich nicht kommentieren. Bitte fragen Sie einen Experten."],
+    "es": ["Lo siento, no puedo ayudarle con eso.", "Prefiero no comentar este tema.", "No estoy autorizado a responder a esa pregunta.", "Debo declinar esta solicitud."],
+    "zh": ["抱歉，我無法回應這個話題，不便討論。", "對不起，我不能就此發表意見。", "这个问题我不方便回答。", "这超出了我的权限，恕无法提供建议。", "本人拒絕回答此問題。", "我们不予评论。"],
+}
+_ANSWERING = ["Patients were not allowed to switch arms.", "Subjects are not permitted to cross over between arms.", "I can't answer this without knowing the number of sites.", "We cannot answer the causal question from these data.", "I would not report the p-value; report the interval.", "Do not comment on significance.", "The model does not allow random slopes.", "We do not reject the null hypothesis.", "Participants could not discuss their assignment with staff.", "Before I can help, please tell me how the arms were assigned.", "I can't recommend a t test, but a rank test holds up here.", "No.", "Ask a statistician.", "這份資料無法回答因果問題。", "需要先知道隨機化單位，才能建議方法。", "受試者不得討論分組。", "不建議使用普通迴歸，改用秩檢定。", "我無法建議使用普通最小平方法；逆傾向加權較好。", "Les patients n'ont pas été autorisés à changer de groupe.", "Die Probanden durften den Arm nicht wechseln.", "No se permite cambiar de grupo."]
+
+
+def test_refusals_by_word_classes():
+    found = {k: sum(pairs.judge(None, x)[0] == "refusal" for x in v) / len(v) for k, v in _DECLINING.items()}
+    assert min(found.values()) >= 0.8 and sum(pairs.judge(None, x)[0] == "refusal" for v in _DECLINING.values() for x in v) >= 0.9 * sum(map(len, _DECLINING.values())), found
+    assert [x for x in _ANSWERING if pairs.judge(None, x)[0] == "refusal"] == []
+
+
+def test_pretest_of_copies_is_safe():
+    rng = random.Random(8)
+    for _ in range(400):
+        text = "".join(rng.choices("abcd", k=60))
+        t = "".join(text[i : i + rng.randrange(5, 9)] for i in rng.choices(range(50), k=rng.randrange(1, 12)))
+        if pairs.copied(text, t, 6) >= 0.97 * len(t):
+            assert pairs.may_copy(text, t)
+    assert not pairs.may_copy("abc" * 20, "xyz" * 20)
+
+
+def test_wanted_bits(spark):
+    grams = ["a", "b c", "", "é", "x y"]
+    bits = pairs.wanted_bits(spark.createDataFrame([(g,) for g in grams], "gram string"), "gram", 16)
+    at = pairs._slots(grams, 16)
+    assert bits[at].all() and bits.sum() == len(set(at.tolist()))
+    assert not pairs.wanted_bits(spark.createDataFrame([], "gram string"), "gram", 16).any()
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(7)
     for _ in range(150):
