@@ -9,7 +9,7 @@ cluster first. Case, digits, superscripts and the presence of an accent stay as
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestat.operators.skew import LEAST, both_salted_join, hot_keys, salted_join, salted_on
+from lodestat.session import cut
+
 #: Cyrillic letters with the shape of a Latin letter, and those Latin letters.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХасеіјоруѕхһԁԛԝӏ", "ABESIJKMHOPCTYXaceijopysxhdqwl")
 #: Greek letters with the shape of a Latin letter, and those Latin letters.
@@ -131,25 +134,41 @@ def common_form(df: DataFrame, text: str, into: str = "common_form") -> DataFram
     return df.mapInArrow(run, schema)
 
 
-def look_classes(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, look, exact): digests of the common form and of the text itself. Null texts look like
+def look_classes(df: DataFrame, text: str, key: str, *keep: str) -> DataFrame:
+    """(keep, key, look, exact): digests of the common form and of the text itself. Null texts look like
     nothing and are left out; empty texts are texts."""
-    d = common_form(df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("__text")), "__text", "__form")
-    return d.select(key, F.unhex(F.sha2("__form", 256)).alias("look"), F.unhex(F.sha2("__text", 256)).alias("exact"))
-
-
-def same_look_groups(classes: DataFrame, key: str) -> DataFrame:
-    """(key, class_key, n_texts): one row per record whose look also occurs in another spelling;
-    class_key is the smallest key of its look. Copies are not expanded into pairs."""
-    g = classes.groupBy("look").agg(F.min(key).alias("class_key"), F.countDistinct("exact").alias("n_texts")).where("n_texts > 1")
-    return classes.join(g, "look").select(key, "class_key", "n_texts")
-
-
-def same_look_pairs(classes: DataFrame, key: str) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: equal look, different text. Only looks with at least two
-    spellings are joined."""
-    several = classes.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo != hi").select("look")
-    c = classes.join(several, "look", "left_semi")
-    a = c.select("look", F.col("exact").alias("ea"), F.col(key).alias("key_a"))
-    b = c.select("look", F.col("exact").alias("eb"), F.col(key).alias("key_b"))
-    return a.join(b, "look").where("ea != eb AND key_a < key_b").select("key_a", "key_b")
+    d = common_form(df.where(F.col(text).isNotNull()).select(*keep, key, F.col(text).alias("__text")), "__text", "__form")
+    return d.select(*keep, key, F.unhex(F.sha2("__form", 256)).alias("look"), F.unhex(F.sha2("__text", 256)).alias("exact"))
+
+
+def same_look_groups(classes: DataFrame, key: str, within: Sequence[str] = ()) -> DataFrame:
+    """(within, key, class_key, n_texts): one row per record whose look also occurs in another spelling;
+    class_key is the smallest key of its look. Copies are not expanded into pairs. `within`: columns that
+    must be equal as well."""
+    look = [*within, "look"]
+    per = classes.groupBy(*look, "exact").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("m"))
+    g = per.groupBy(*look).agg(F.min("k").alias("class_key"), F.count(F.lit(1)).alias("n_texts"), F.sum("m").alias("n")).where("n_texts > 1")
+    return salted_join(classes, g.drop("n"), look, F.col(key), counts=g.select(*look, "n")).select(*within, key, "class_key", "n_texts")
+
+
+def same_look_pairs(classes: DataFrame, key: str, within: Sequence[str] = (), least: int = LEAST) -> DataFrame:
+    """(within, key_a, key_b), key_a < key_b: equal look, different text. Texts are first brought to classes
+    of equal characters; classes of one look are paired, and the pairs are then spread over their members,
+    so no row meets a copy of itself. Looks with many spellings and texts with many copies are spread
+    over slots in each step; `least` is the number of rows from which on."""
+    look = [*within, "look"]
+    per = cut(classes.groupBy(*look, "exact").agg(F.count(F.lit(1)).alias("n")))
+    looks = per.groupBy(*look).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot_looks = hot_keys(looks, look, least=least)
+    several = salted_on(per, looks.select(*look), look, F.col("exact"), hot_looks, "left_semi")
+    a = several.select(*look, F.col("exact").alias("ea"), F.col("n").alias("na"))
+    b = several.select(*look, F.col("exact").alias("eb"))
+    pairs = salted_on(a, b, look, F.col("ea"), hot_looks).where("ea < eb")
+    loads = hot_keys(pairs.groupBy(*look, "eb").agg(F.sum("na").alias("n")), [*look, "eb"], least=least)
+    texts = hot_keys(per, [*look, "exact"], least=least)
+    as_ = lambda name: None if texts is None else texts.withColumnRenamed("exact", name)
+    m = classes.select(*look, F.col("exact").alias("ea"), F.col(key).alias("ka"))
+    first = salted_on(m, pairs.drop("na"), [*look, "ea"], F.col("ka"), as_("ea"))
+    m = classes.select(*look, F.col("exact").alias("eb"), F.col(key).alias("kb"))
+    met = both_salted_join(first.select(*look, "eb", "ka"), m, [*look, "eb"], F.col("ka"), F.col("kb"), loads, as_("eb"))
+    return met.select(*within, F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))

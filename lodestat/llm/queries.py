@@ -92,21 +92,18 @@ def p2_shares(s: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(total).join(table(s, d, "split_targets"), "split", "left").select("split", "n_rows", "n_groups", "target_share", (F.col("n_rows") / F.col("total")).alias("share"))
 
 
-def _looks(s: SparkSession, d: str) -> list[tuple[str, str, DataFrame]]:
-    return [
-        ("routing_canary", "canary_row", lookalike.look_classes(spread(table(s, d, "routing_canary").select("canary_row", "text")), "text", "canary_row")),
-        ("chat_records", "record_id", lookalike.look_classes(spread(table(s, d, "chat_records").select("record_id", F.expr("try_element_at(filter(messages, m -> m.role = 'user'), 1).content").alias("text"))), "text", "record_id")),
-    ]
+def _looks(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "routing_canary").select(F.lit("routing_canary").alias("table_name"), F.col("canary_row").alias("key"), "text")
+    b = table(s, d, "chat_records").select(F.lit("chat_records").alias("table_name"), F.col("record_id").alias("key"), F.expr("try_element_at(filter(messages, m -> m.role = 'user'), 1).content").alias("text"))
+    return cut(lookalike.look_classes(spread(a).unionByName(spread(b)), "text", "key", "table_name"))
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
-    a, b = (lookalike.same_look_pairs(cut(c), key).select(F.lit(name).alias("table_name"), "key_a", "key_b") for name, key, c in _looks(s, d))
-    return a.unionByName(b)
+    return lookalike.same_look_pairs(_looks(s, d), "key", ["table_name"])
 
 
 def p3_groups(s: SparkSession, d: str) -> DataFrame:
-    a, b = (lookalike.same_look_groups(cut(c), key).select(F.lit(name).alias("table_name"), F.col(key).alias("key"), "class_key", "n_texts") for name, key, c in _looks(s, d))
-    return a.unionByName(b)
+    return lookalike.same_look_groups(_looks(s, d), "key", ["table_name"])
 
 
 def p3_common_forms(s: SparkSession, d: str) -> DataFrame:

@@ -157,6 +157,17 @@ def test_same_look_pairs(spark):
     assert lookalike.same_look_pairs(c.where("false"), "k").count() == 0
 
 
+def test_same_look_pairs_of_many_copies(spark):
+    """Two texts with many copies, one with many spellings: all slots in use, each pair once."""
+    pad = ["", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"]
+    rows = [(i, "a b") for i in range(300)] + [(1000 + i, "a\u00a0b") for i in range(3)]
+    rows += [(2000 + i, "".join(pad[i // 6**j % 6] + c for j, c in enumerate("xyz"))) for i in range(80)]
+    c = lookalike.look_classes(spark.createDataFrame(rows, "k int, text string"), "text", "k")
+    want = [(i, 1000 + j) for i in range(300) for j in range(3)] + [(2000 + i, 2000 + j) for i in range(80) for j in range(i + 1, 80)]
+    assert rows_of(lookalike.same_look_pairs(c, "k", least=10)) == sorted(want, key=repr)
+    assert rows_of(lookalike.same_look_pairs(c, "k")) == sorted(want, key=repr)
+
+
 # 5 pairs
 
 _Q = "For study SQ-1 we have two arms and a continuous outcome. How should we compare the arms?\n\nOptions:\nA. ols\nB. welch_t"
