@@ -389,6 +389,7 @@ def test_mojibake_round_trip(spark):
     d = mojibake.train_dictionaries(docs, "text", "lang")
     assert set(d) == {"en", "de", "zh_hans"}
     assert mojibake.repaired(docs, d, "doc_id", "text", "lang").count() == 0
+    assert len(mojibake.train_dictionaries(docs, "text", "lang", most_languages=2)) == 2
     bad = [(lang, t, t.encode("utf-8").decode(wrong), wrong) for (lang, t), wrong in zip(clean[::7], ["latin-1", "cp437", "mac_roman"] * 100)]
     bad += [(lang, t, t.encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1"), "twice") for lang, t in clean[::11]]
     bad += [(lang, t, t.encode("gbk").decode("latin-1"), "gbk") for lang, t in clean if lang == "zh_hans"][::5]
@@ -403,6 +404,19 @@ def test_mojibake_round_trip(spark):
 
 
 
+def test_mojibake_usual_units():
+    """What is known is skipped, garbled words among sound ones are never known."""
+    clean = ["Für spätere Stichproben wäre die Näherung {} zulässig."] * 30 + ["An earlier memo from the station «Верхний луг» reports {}."] * 30
+    bad = [c.encode("utf-8").decode("gbk", "replace") for c in clean[:40:8]] + [c.encode("utf-8").decode("latin-1") for c in clean[:40:8]]
+    kept = mojibake.sound([c.format(i) for i, c in enumerate(clean)] + bad)
+    assert kept and all("Ã" not in x and "盲" not in x for x in kept)
+    known = mojibake.usual_units(kept)
+    assert {"Für", "spätere", "wäre", "«Верхний"} <= known and not known & {"w盲re", "fÃ¼r", "芦袙"}
+    repair = mojibake.Repair({"de": mojibake.Model(mojibake.dictionary(kept), known)})
+    assert repair.text("Für spätere Stichproben wäre 7.", "de") == ("Für spätere Stichproben wäre 7.", [], False)
+    assert repair.text("F眉r sp盲tere Stichproben wäre die Näherung.", "de")[0] == "Für spätere Stichproben wäre die Näherung."
+    assert repair.sentence.cache_info().currsize == 1
+
 
 def test_mojibake_runs_between_two_byte_encodings():
     """Runs are read also where a lost character or a sound one outside the encoding stands in the sentence."""
