@@ -1,8 +1,8 @@
 """From a question and a column profile to a ranked list of procedure requests.
 
-Works on the profile only: kinds of columns, columns the question names, wording cues. Every cue adds
-a score per procedure; the largest counts. A plan is ready if its roles are filled and its score
-reaches READY, otherwise it says what is missing.
+Works on the profile only: kinds of columns, columns the question names, wording cues in English and
+Chinese. The rules of rules.py score procedures by these facts. A plan is ready if its roles are filled
+and its score reaches READY, otherwise it says what is missing.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 
 from lodestat.operators.profile import profile
 from lodestat.plans.procedures import CATALOGUE, Request, missing_roles
+from lodestat.plans.rules import cues, scored
 
-READY = 0.86
-MOST_LEVELS = 12
+#: Score from which a plan is ready, levels of a categorical column, rows up to which a table of
+#: two by two counts as sparse, share of zeros that speaks for a floor.
+READY, MOST_LEVELS, FEW_ROWS, FLOOR_SHARE = 0.86, 12, 120, 0.08
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,7 @@ class Column:
     minimum: float | None = None
     zero_fraction: float | None = None
     levels: tuple[str, ...] = ()
+    rows: int = 0
 
 
 @dataclass
@@ -58,7 +61,7 @@ def kind_of(name: str, dtype: str, rows: int, unique: int, minimum: float | None
 def columns(df: DataFrame) -> list[Column]:
     """The profile with kinds; one row per column comes to the driver."""
     rows = df.count()
-    return [Column(r["name"], kind_of(r["name"], r["dtype"], rows, r["unique"], r["minimum"]), r["unique"], r["missing"], r["minimum"], r["zero_fraction"], tuple(r["levels"] or ())) for r in profile(df).collect()]
+    return [Column(r["name"], kind_of(r["name"], r["dtype"], rows, r["unique"], r["minimum"]), r["unique"], r["missing"], r["minimum"], r["zero_fraction"], tuple(r["levels"] or ()), rows) for r in profile(df).collect()]
 
 
 def mentioned(cols: Sequence[Column], question: str) -> list[Column]:
@@ -73,52 +76,24 @@ def mentioned(cols: Sequence[Column], question: str) -> list[Column]:
     return [c for _, _, c in sorted(hits, key=lambda h: h[:2])]
 
 
-#: Wording cues by topic.
-_CUES = {
-    "survival": r"surviv|hazard|time[- ]to|censor|kaplan|log-?rank",
-    "paired": r"paired|before and after|pre[- ]?post|within[- ]subject|same (units|patients)",
-    "cluster": r"cluster|repeated|nested|sites?\b|multilevel|random intercept",
-    "rank": r"median|rank|non-?parametric|ordinal|skew",
-    "mean": r"\bmean|average",
-    "instrument": r"instrument",
-    "joint": r"jointly|all coefficients|equal coefficients|overall f\b",
-    "count": r"\bcounts?\b|number of|how many|rate of events",
-    "censored": r"censored at|detection limit|bounded|floor|ceiling|tobit",
-    "sparse": r"small cell|sparse|rare|exact",
-    "association": r"associat|correlat|monoton",
-    "adjust": r"adjust|control(ling)? for|covariate|confound",
-    "causal": r"treatment effect|causal|randomi[sz]ed|assignment",
-    "forecast": r"forecast|time series|leak",
-    "calibrate": r"calibrat|overconfident|predicted (risk|probab)",
-    "missing": r"missing|imput",
-    "prior": r"posterior|prior\b|bayes",
-    "overdispersed": r"overdispers|negative binomial",
-    "separation": r"separation|firth",
-    "outlier": r"outlier|robust regression|huber",
-}
-
-
-def cues(question: str) -> set[str]:
-    q = question.lower()
-    return {k for k, p in _CUES.items() if re.search(p, q)}
-
-
 def null_probability(question: str) -> float | None:
-    m = re.search(r"(\d+(?:\.\d+)?)\s*%", question)
+    m = re.search(r"(\d+(?:\.\d+)?)\s*[%％]|百分之\s*(\d+(?:\.\d+)?)", question)
+    if m and m.group(2):
+        return float(m.group(2)) / 100
     if m:
         return float(m.group(1)) / 100
-    m = re.search(r"(?:probability|proportion|chance|rate)\s+(?:of|is|equals?|=)?\s*(0?\.\d+)", question.lower())
+    m = re.search(r"(?:probability|proportion|chance|rate|機率|概率|比例)\s*(?:of|is|equals?|=|為|为|是|等於|等于)?\s*(0?\.\d+)", question.lower())
     return float(m.group(1)) if m else None
 
 
 def alternative(question: str) -> str:
     q = question.lower()
-    if re.search(r"greater|more than|exceed|higher|above", q):
+    if re.search(r"greater|more than|exceed|higher|above|大於|大于|高於|高于|超過|超过|多於|多于", q):
         return "greater"
-    return "less" if re.search(r"less than|fewer|lower|below", q) else "two-sided"
+    return "less" if re.search(r"less than|fewer|lower|below|小於|小于|低於|低于|少於|少于|不足", q) else "two-sided"
 
 
-_CLAUSE = re.compile(r"[.;\n]|,\s*(?=(?:exclud|includ|only|restrict|drop|remov|and then|treat|cod))", re.I)
+_CLAUSE = re.compile(r"[.;\n。；]|，(?=(?:排除|剔除|只|僅|仅|去))|,\s*(?=(?:exclud|includ|only|restrict|drop|remov|and then|treat|cod))", re.I)
 
 
 def declared(cols: Sequence[Column], question: str) -> tuple[list[dict], list[dict]]:
@@ -131,20 +106,20 @@ def declared(cols: Sequence[Column], question: str) -> tuple[list[dict], list[di
         hits: dict[str, list[str]] = {}
         for c in cols:
             for lv in c.levels:
-                if len(lv) > 1 and not re.fullmatch(r"-?[\d.]+", lv) and re.search(rf"(?<!\w){re.escape(lv)}(?!\w)", clause):
+                if len(lv) > 1 and not re.fullmatch(r"-?[\d.]+", lv) and re.search(rf"(?<![A-Za-z0-9_]){re.escape(lv)}(?![A-Za-z0-9_])", clause):
                     hits.setdefault(lv, []).append(c.name)
         by: dict[str, list[str]] = {}
         for lv, names in hits.items():
             own = [n for n in names if n in named] or names
             if len(own) == 1:
                 by.setdefault(own[0], []).append(lv)
-        against = re.search(r"\b(?:vs\.?|versus|against)\s+(?:the\s+|all\s+)?(?:rest|others?|remaining)", clause, re.I)
+        against = re.search(r"\b(?:vs\.?|versus|against)\s+(?:the\s+|all\s+)?(?:rest|others?|remaining)|(?:對|对|相對於|相对于|相比|與|与)(?:其餘|其余|其他)", clause, re.I)
         for column, values in by.items():
             if against:
                 recodes.append({"column": column, "positive_values": sorted(values)})
-            elif re.search(r"\b(?:exclud\w*|drop\w*|remov\w*|without|except|omit\w*)\b", clause, re.I):
+            elif re.search(r"\b(?:exclud\w*|drop\w*|remov\w*|without|except|omit\w*)\b|排除|剔除|去除|不含|去掉", clause, re.I):
                 filters.append({"column": column, "operation": "exclude", "values": sorted(values)})
-            elif re.search(r"\b(?:only|restrict\w*|includ\w*|among|limit\w*)\b", clause, re.I):
+            elif re.search(r"\b(?:only|restrict\w*|includ\w*|among|limit\w*)\b|只看|僅限|仅限|限於|限于|只包含|只納入|只纳入", clause, re.I):
                 filters.append({"column": column, "operation": "include", "values": sorted(values)})
     return filters, recodes
 
@@ -226,81 +201,37 @@ def roles_of(cols: Sequence[Column], question: str) -> dict:
     return roles
 
 
-def scores(cols: Sequence[Column], roles: dict, question: str) -> dict[str, float]:
+def facts_of(cols: Sequence[Column], roles: dict, question: str) -> set[str]:
+    """What the rules ask about: roles filled, kinds of outcome and group, cues."""
     by = {x.name: x for x in cols}
-    c = cues(question)
-    out: dict[str, float] = {}
+    facts = {role for role, v in roles.items() if v} | {f"cue:{c}" for c in cues(question)}
+    if null_probability(question) is not None:
+        facts.add("null_probability")
+    if len(roles.get("predictors") or []) > 1:
+        facts.add("predictors:many")
+    y, g = by.get(str(roles.get("outcome"))), by.get(str(roles.get("group")))
+    for role, x in (("outcome", y), ("group", g)):
+        if x is None:
+            continue
+        facts.add(f"{role}:{x.kind}")
+        facts |= {f"{role}:levels"} if x.kind in ("binary", "categorical") else set()
+        facts |= {f"{role}:number"} if x.kind in ("continuous", "categorical") else set()
+        facts.add(f"{role}:two" if x.unique == 2 else f"{role}:many")
+    if y is not None and (y.minimum or 0) >= 0 and (y.zero_fraction or 0) >= FLOOR_SHARE:
+        facts.add("outcome:floor")
+    few = y is not None and 0 < y.rows <= FEW_ROWS
+    if {"outcome:two", "group:two"} <= facts and (few or "cue:sparse" in facts):
+        facts.add("sparse_table")
+    return facts
+
+
+def named_procedures(question: str) -> list[str]:
+    q = question.lower()
+    return [m for m in CATALOGUE if m != "inspect" and re.search(rf"(?<!\w){m.replace('_', '[_ -]')}(?!\w)", q)]
 
-    def add(**more: float) -> None:
-        for k, v in more.items():
-            out[k] = max(out.get(k, 0.0), v)
 
-    for m in CATALOGUE:
-        if m != "inspect" and re.search(rf"(?<!\w){m.replace('_', '[_ -]')}(?!\w)", question.lower()):
-            add(**{m: 0.995})
-    y, g = by.get(str(roles.get("outcome"))), by.get(str(roles.get("group")))
-    preds = list(roles.get("predictors") or [])
-    if roles.get("time") and roles.get("event"):
-        if g and len(preds) <= 1 and "adjust" not in c:
-            add(logrank=0.99, cox_ph=0.78)
-        else:
-            add(cox_ph=0.97, logrank=0.68)
-        return out
-    if roles.get("before"):
-        add(paired_t=0.91, wilcoxon_signed_rank=0.93 if "rank" in c else 0.82)
-    if y is None:
-        return out
-    if "count" in c and y.kind in ("continuous", "categorical"):
-        add(poisson_glm=0.91, negative_binomial_glm=0.93 if "overdispersed" in c else 0.79)
-    if null_probability(question) is not None and y.kind == "binary":
-        add(binomial_test=0.99)
-    if roles.get("instruments"):
-        add(iv_2sls=0.97)
-    if "joint" in c:
-        add(regression_f_test=0.96)
-    if roles.get("cluster"):
-        add(mixed_effects=0.90, gee=0.86)
-    if "forecast" in c and roles.get("time"):
-        add(blocked_time_series_cv=0.94)
-    if "causal" in c and roles.get("treatment"):
-        add(difference_in_means=0.93, randomization_inference=0.8, ancova=0.95 if "adjust" in c and preds else 0.7, ipw=0.9 if "confound" in question.lower() else 0.6)
-    if "missing" in c:
-        add(multiple_imputation=0.9)
-    if "calibrate" in c and y.kind == "binary":
-        add(calibrated_logistic=0.92)
-    if "prior" in c:
-        add(conjugate_bayes=0.92, posterior_predictive=0.9 if "check" in question.lower() else 0.7)
-    if g is not None:
-        if y.kind in ("binary", "categorical") and g.kind in ("binary", "categorical"):
-            if "sparse" in c and y.unique == 2 and g.unique == 2:
-                add(fisher_exact=0.91, chi_square=0.78)
-            else:
-                add(chi_square=0.88, fisher_exact=0.79)
-            if y.unique == 2 and g.unique == 2:
-                add(two_proportion=0.76)
-        elif y.kind == "continuous" and g.unique > 2:
-            add(kruskal_wallis=0.96, hc3_ols=0.73)
-        elif y.kind == "continuous":
-            if "rank" in c:
-                add(mann_whitney=0.96, welch_t=0.70)
-            elif "mean" in c:
-                add(welch_t=0.94, independent_t=0.78, mann_whitney=0.61)
-            else:
-                add(welch_t=0.84, mann_whitney=0.82)
-    if preds:
-        if y.kind == "binary":
-            add(logistic_glm=0.88, probit_glm=0.76, firth_logistic=0.93 if "separation" in c else 0.5)
-        elif y.kind == "continuous":
-            if g is None and roles.get("exposure"):
-                add(spearman_correlation=0.92 if "association" in c else 0.6)
-            add(hc3_ols=0.87, ols=0.71, huber_regression=0.92 if "outlier" in c else 0.5)
-            if "censored" in c:
-                add(tobit_regression=0.98)
-            elif (y.minimum or 0) >= 0 and (y.zero_fraction or 0) >= 0.08:
-                add(tobit_regression=0.93)
-    if not out:
-        add(conjugate_bayes=0.45, posterior_predictive=0.42)
-    return out
+def scores(cols: Sequence[Column], roles: dict, question: str) -> dict[str, float]:
+    return scored(facts_of(cols, roles, question), named_procedures(question))
 
 
 def plans(cols: Sequence[Column], question: str, most: int = 5) -> list[Plan]:

@@ -6,13 +6,13 @@ from lodestat.plans.procedures import CATALOGUE, Request, outcome_of, run
 
 
 def _survival():
-    return [K.Column("os_months", "continuous", 115, 0, 0.1), K.Column("os_event", "binary", 2, 0), K.Column("treatment", "binary", 2, 0)]
+    return [K.Column("weeks_in_use", "continuous", 88, 0, 0.5), K.Column("failed", "binary", 2, 0), K.Column("coating", "binary", 2, 0)]
 
 
 def test_survival_roles():
-    p = K.plans(_survival(), "Does survival time os_months with os_event differ by treatment?")[0]
+    p = K.plans(_survival(), "Does the survival of pumps, weeks_in_use until failed, differ by coating?")[0]
     assert p.request.method_id == "logrank" and p.ready
-    assert (p.request.roles["time"], p.request.roles["event"], p.request.roles["group"]) == ("os_months", "os_event", "treatment")
+    assert (p.request.roles["time"], p.request.roles["event"], p.request.roles["group"]) == ("weeks_in_use", "failed", "coating")
 
 
 def test_named_method_and_clarification():
@@ -38,17 +38,29 @@ def test_errors(spark):
 
 
 def test_declared_filters_and_recodes():
-    cols = [K.Column("status", "categorical", 3, 0, levels=("Driver", "Loss", "VUS")), K.Column("evaluable", "binary", 2, 0, levels=("NE", "OK")), K.Column("score", "continuous", 150, 0, 0.0)]
-    q = "Exclude NE patients. Does the mean score differ by status, Driver versus the rest?"
-    filters, recodes = K.declared(cols, q)
-    assert filters == [{"column": "evaluable", "operation": "exclude", "values": ["NE"]}]
-    assert recodes == [{"column": "status", "positive_values": ["Driver"]}]
-    p = K.plans(cols, q)[0]
-    assert p.request.method_id == "welch_t" and p.request.roles["group"] == "status" and p.request.binary_recodes
+    cols = [K.Column("grade", "categorical", 3, 0, levels=("Oak", "Pine", "Teak")), K.Column("stored", "binary", 2, 0, levels=("damp", "dry")), K.Column("strength", "continuous", 90, 0, 3.0)]
+    want = [{"column": "stored", "operation": "exclude", "values": ["damp"]}], [{"column": "grade", "positive_values": ["Teak"]}]
+    for q in ("Drop damp boards. Is the mean strength another by grade, Teak against the rest?", "排除 damp 的木板。strength 的平均值在 grade 之間是否不同，Teak 對其餘？"):
+        assert K.declared(cols, q) == want
+        p = K.plans(cols, q)[0]
+        assert p.request.method_id == "welch_t" and p.request.roles["group"] == "grade" and p.request.binary_recodes
 
 
 def test_declared_steps_run(spark):
-    rows = [(("Driver", "Loss", "VUS", None)[i % 4], "NE" if i % 7 == 0 else "OK", float(i % 11) + i / 100) for i in range(120)]
-    df = spark.createDataFrame(rows, "status string, evaluable string, score double")
-    r = K.analyze(df, "Exclude NE. Does the mean score differ by status, Driver versus the rest?")
-    assert r["status"] == "ok" and r["result"][0]["n1"] + r["result"][0]["n2"] == sum(s is not None and e == "OK" for s, e, _ in rows)
+    rows = [(("Teak", "Oak", "Pine", None)[i % 4], "damp" if i % 5 == 0 else "dry", float(i % 13) + i / 50) for i in range(140)]
+    df = spark.createDataFrame(rows, "grade string, stored string, strength double")
+    r = K.analyze(df, "Drop damp. Is the mean strength another by grade, Teak against the rest?")
+    assert r["status"] == "ok" and r["result"][0]["n1"] + r["result"][0]["n2"] == sum(g is not None and w == "dry" for g, w, _ in rows)
+
+
+def test_rules_by_the_table():
+    from lodestat.plans.rules import RULES, cues, scored
+
+    assert {m for r in RULES for m in r.gives} <= set(CATALOGUE) and all(0 < v < 1 for r in RULES for v in r.gives.values())
+    assert scored({"time", "event", "group", "outcome"}) == {"logrank": 0.99, "cox_ph": 0.78}
+    assert scored({"time", "event", "group", "cue:adjust"}) == {"cox_ph": 0.97, "logrank": 0.68}
+    assert scored({"outcome", "outcome:levels", "group", "group:levels", "outcome:two", "group:two", "sparse_table"})["fisher_exact"] == 0.91
+    assert scored({"outcome"}) == {"conjugate_bayes": 0.45, "posterior_predictive": 0.42} and scored(set()) == {}
+    assert {"rank", "association"} <= cues("兩者的等級相關") and cues("mean") == {"mean"} and "mean" not in cues("demeaned")
+    few = [K.Column("cured", "binary", 2, 0, rows=40), K.Column("arm", "binary", 2, 0, rows=40)]
+    assert K.plans(few, "Is cured tied to arm?")[0].request.method_id == "fisher_exact"
