@@ -9,30 +9,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import text as X
-from lodestat.operators.ordering import group_rank, running_total
+from lodestat.operators.ordering import group_rank, running_totals, value_slices
+from lodestat.operators.skew import hot_keys, salted_join, salted_on
 from lodestat.session import cut
 
 
 def ngram_overlap(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str, n: int = 8) -> DataFrame:
     """(key, n_grams, union_ratio, best_ratio): share of a document's distinct word n-grams found in the
-    union of the references and in the single best reference. N-grams meet in an equi-join; documents
-    with fewer than n words have ratio 0."""
-    d = docs.select(key, F.explode_outer(X.word_ngrams(F.col(text), n)).alias("gram"))
+    union of the references and in the single best reference. N-grams meet in an equi-join, frequent ones
+    in slots; documents with fewer than n words have ratio 0."""
+    d = cut(docs.select(key, F.explode_outer(X.word_ngrams(F.col(text), n)).alias("gram")))
     size = d.groupBy(key).agg(F.count("gram").alias("n_grams"))
     r = refs.select(F.col(ref_key).alias("__ref"), F.explode(X.word_ngrams(F.col(ref_text), n)).alias("gram")).distinct()
-    hits = d.join(r, "gram").groupBy(key, "__ref").agg(F.count(F.lit(1)).alias("h")).groupBy(key).agg(F.max("h").alias("best"))
-    union = d.join(r.select("gram").distinct(), "gram", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("any"))
+    r = cut(r)
+    held = d.where("gram IS NOT NULL")
+    hot = hot_keys(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ["gram"])
+    hits = salted_on(held, r, ["gram"], F.col(key), hot).groupBy(key, "__ref").agg(F.count(F.lit(1)).alias("h")).groupBy(key).agg(F.max("h").alias("best"))
+    union = salted_on(held, r.select("gram").distinct(), ["gram"], F.col(key), hot, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("any"))
     j = size.join(hits, key, "left").join(union, key, "left")
     ratio = lambda c: F.when(F.col("n_grams") > 0, F.coalesce(c, F.lit(0)) / F.col("n_grams")).otherwise(0.0)
     return j.select(key, "n_grams", ratio(F.col("any")).alias("union_ratio"), ratio(F.col("best")).alias("best_ratio"))
 
 
 def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kept_key): the smallest key of all documents with the same squeezed text. Two-step, so a
-    text with a third of all rows is no hot group: first the minimum, then a join on the digest."""
-    d = docs.select(key, F.sha2(X.squeeze(F.col(text)), 256).alias("h"))
-    least = d.groupBy("h").agg(F.min(key).alias("kept_key"))
-    return d.join(least, "h").select(key, "kept_key")
+    """(key, kept_key): the smallest key of all documents with the same normalised text. First the minimum per
+    digest, then a join in which digests of many copies are spread over slots."""
+    d = cut(docs.select(key, F.unhex(F.sha2(X.normalize_text(F.col(text)), 256)).alias("h")))
+    least = d.groupBy("h").agg(F.min(key).alias("kept_key"), F.count(F.lit(1)).alias("n"))
+    return salted_join(d, least.drop("n"), ["h"], F.col(key), counts=least.select("h", "n")).select(key, "kept_key")
 
 
 def hash_split(ids: Column, seed: int, parts: Sequence[tuple[str, int]]) -> Column:
@@ -90,32 +94,52 @@ def token_ratios(df: DataFrame, by: Sequence[str], tokens: str) -> DataFrame:
     return sets.crossJoin(total).select("level", *by, "n_rows", "tokens", F.round(F.col("tokens") / F.col("__all"), 4).alias("ratio"))
 
 
-def budget_trim(df: DataFrame, groups: Sequence[str], key: str, tokens: str, budget: int, repeats: int = 1, seed: int = 0) -> DataFrame:
+def budget_trim(df: DataFrame, groups: Sequence[str], key: str, tokens: str, budget: int, repeats: int = 1, seed: int = 0, pool: int = 10_000) -> DataFrame:
     """Greedy per group: in digest order a row is kept if it fits the budget left, skipped otherwise;
     the first row always stays. With repeats further passes follow over all rows, numbered.
-    A sequential rule: a prefix that fits as a whole is taken by running totals; only from the first
-    row that does not fit on, up to the budget, does a group go through one task."""
+
+    A sequential rule in rounds. A round takes, by running totals over slices, the rows in order that fit as a
+    whole; the next `pool` rows of a group behind these go through one task; of what follows only rows
+    not larger than the budget left go on. So a task holds `pool` rows of a group, whatever its size."""
     d = df.select(*groups, key, F.col(tokens).cast("bigint").alias("__n"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_index"))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
-    d = d.withColumn("__h", h).withColumn("__o", F.floor(F.col("__h") / 2 ** 53).cast("int") + F.col("repeat_index") * 1024)
-    d = d.withColumn("__k", F.col("repeat_index") * F.lit(0) + F.col("__h"))
-    run = running_total(d, groups, "__k", F.col("__n"), "__upto", tie=["repeat_index", key], slice_of=F.col("__o"))
-    fits = run.where((F.col("__upto") <= budget) | (F.col("__upto") == F.col("__n")))
-    rest = run.where((F.col("__upto") > budget) & (F.col("__upto") != F.col("__n")) & (F.col("__n") <= budget))
-    taken = fits.groupBy(*groups).agg(F.sum("__n").alias("__have"))
-    room = rest.join(taken, list(groups)).where(F.col("__n") <= F.lit(budget) - F.col("__have"))
+    d = d.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)).withColumn("__slice", F.floor(F.col("__h") / 2**53).cast("int") + F.col("repeat_index") * 1024)
+    kept = None
     cols = [*groups, key, "repeat_index", F.col("__n").alias("tokens")]
+    same = lambda a, b: _all_equal(a, b, groups)
+    rest = d.withColumn("__left", F.lit(budget).cast("bigint")).withColumn("__first", F.lit(True))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["repeat_index", "__h", key])
-        left, keep = budget - int(pdf["__have"].iloc[0]), []
+        left, keep = int(pdf["__room"].iloc[0]), []
         for n in pdf["__n"]:
             keep.append(n <= left)
             left -= n if n <= left else 0
-        return pdf[keep][[*groups, key, "repeat_index", "__n"]].rename(columns={"__n": "tokens"})
+        pdf["__keep"] = keep
+        return pdf[[*groups, key, "repeat_index", "__n", "__keep"]]
 
-    more = room.groupBy(*groups).applyInPandas(greedy, fits.select(*cols).schema)
-    return fits.select(*cols).unionByName(more)
+    while True:
+        run = running_totals(rest, groups, "__h", {"__upto": F.col("__n"), "__rank": F.lit(1).cast("bigint")}, tie=["repeat_index", key], slice_of=F.col("__slice"))
+        run = cut(run.withColumn("__whole", (F.col("__upto") <= F.col("__left")) | (F.col("__first") & (F.col("__rank") == 1))))
+        state = run.groupBy(*groups).agg(F.first("__left").alias("__had"), F.coalesce(F.sum(F.when(F.col("__whole"), F.col("__n"))), F.lit(0)).alias("__took"), F.count(F.when(F.col("__whole"), 1)).alias("__upto_rank"))
+        state = state.select(*[F.col(g).alias(f"__g_{g}") for g in groups], (F.col("__had") - F.col("__took")).alias("__room"), "__upto_rank")
+        behind = run.where("NOT __whole").join(state, same(run, state)).drop(*[f"__g_{g}" for g in groups])
+        now = behind.where((F.col("__rank") <= F.col("__upto_rank") + pool) & (F.col("__n") <= F.col("__room")))
+        judged = cut(now.groupBy(*groups).applyInPandas(greedy, run.select(*groups, key, "repeat_index", "__n").withColumn("__keep", F.lit(True)).schema))
+        new = run.where("__whole").select(*cols).unionByName(judged.where("__keep").select(*cols))
+        kept = new if kept is None else kept.unionByName(new)
+        used = judged.groupBy(*groups).agg(F.coalesce(F.sum(F.when(F.col("__keep"), F.col("__n"))), F.lit(0)).alias("__used")).select(*[F.col(g).alias(f"__g_{g}") for g in groups], "__used")
+        later = behind.where(F.col("__rank") > F.col("__upto_rank") + pool)
+        later = later.join(used, same(later, used), "left").drop(*[f"__g_{g}" for g in groups]).withColumn("__left", F.col("__room") - F.coalesce("__used", F.lit(0)))
+        rest = cut(later.where(F.col("__n") <= F.col("__left")).select(*groups, key, "__n", "repeat_index", "__h", "__slice", "__left").withColumn("__first", F.lit(False)))
+        if rest.isEmpty():
+            return kept
+
+
+def _all_equal(a: DataFrame, b: DataFrame, groups: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for g in groups:
+        out = out & a[g].eqNullSafe(b[f"__g_{g}"])
+    return out
 
 
 def chat_errors(messages: Column, metadata: Column, required: Sequence[str]) -> Column:
@@ -135,9 +159,19 @@ def chat_errors(messages: Column, metadata: Column, required: Sequence[str]) ->
     return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in checks]))
 
 
+def rank_scores(df: DataFrame, group: str, key: str, score: str) -> DataFrame:
+    """Replaces a score by 1 - (rank - 1) / (rows - 1) in its group, by (score descending, key); ranks go over
+    slices of the score, so no group is sorted in one task. Null scores rank last."""
+    worst = F.coalesce(-F.when(~F.isnan(score), F.col(score)), F.lit(float("inf")))
+    d, at = value_slices(df.withColumn("__worst", worst), "__worst")
+    d = running_totals(d, [group], "__worst", {"__rank": F.lit(1).cast("bigint")}, tie=[key], slice_of=at, whole={"__rank": "__rows"})
+    return d.withColumn(score, F.when(F.col("__rows") > 1, 1 - (F.col("__rank") - 1) / (F.col("__rows") - 1)).otherwise(1.0)).select(*df.columns)
+
+
 def mmr(df: DataFrame, group: str, key: str, text: str, score: str, k: int, penalty: float = 0.35, n: int = 3, pool: int = 400) -> DataFrame:
-    """Maximal marginal relevance per group: next is the row with the largest score minus penalty times
-    its largest Jaccard similarity to those chosen (ties: larger key; keys are unique in a group).
+    """Maximal marginal relevance per group: next is the row with the largest relevance minus penalty times
+    its largest Jaccard similarity to those chosen (ties: larger key; keys are unique in a group). The
+    relevance of a row is 1 - (rank - 1) / (rows - 1) by (score descending, key), 1 in a group of one row.
 
     Exact over all rows, while one task holds only `pool` of a group: those with the largest value against
     what is chosen already. A pick stands if its value is above that of the best row left out, which can
@@ -147,7 +181,8 @@ def mmr(df: DataFrame, group: str, key: str, text: str, score: str, k: int, pena
         raise ValueError("penalty must not be negative, pool must be positive")
     kinds = dict(df.dtypes)
     schema = f"{group} {kinds[group]}, {key} {kinds[key]}, position int, mmr double, grams array<string>, more boolean"
-    d = df.select(group, key, X.word_ngrams(F.col(text), n).alias("grams"), F.col(score).cast("double").alias("score"))
+    d = rank_scores(df.select(group, key, F.col(text).alias("__t"), F.col(score).cast("double").alias("score")), group, key, "score")
+    d = cut(d.select(group, key, X.word_ngrams(F.col("__t"), n).alias("grams"), "score"))
     w = Window.partitionBy(group).orderBy(F.desc("value"), F.desc(key))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -7,19 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.session import ensure_checkpoint_dir
+from lodestat.functions.keys import code_key
+from lodestat.session import shared_folder
 from lodestat.sources import files
 from lodestat.sources.tables import table
 
 
 def _place(s: SparkSession) -> str:
-    ensure_checkpoint_dir(s)
-    return s.sparkContext._jsc.sc().getCheckpointDir().get() + f"/files-{uuid.uuid4().hex}"
+    return shared_folder(s) + f"/files-{uuid.uuid4().hex}"
 
 
 def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     p = _place(s) + ".csv"
-    x = table(s, d, "orders").drop("o_orderdate")
+    x = table(s, d, "orders")
     files.write_csv(x, p)
     return files.read_table(s, p, x.schema)
 
@@ -46,21 +46,43 @@ def pending_work(s: SparkSession, d: str) -> DataFrame:
 
 
 def file_digests(s: SparkSession, d: str) -> DataFrame:
-    """Length and digest of a written manifest-sized file."""
+    """Length and digest of a text file per language with all canary texts of it."""
     p = _place(s)
-    table(s, d, "region").select("r_name").orderBy("r_name").coalesce(1).write.text(p)
-    return files.file_digests(s, p).where("path LIKE '%.txt'").select("length", "sha256")
+    t = table(s, d, "routing_canary").where("text IS NOT NULL").select(code_key(F.col("language")).alias("language"), F.col("canary_row"), F.regexp_replace("text", "[\r\n]+", " ").alias("value"))
+    t.where("language IS NOT NULL").repartition("language").sortWithinPartitions("language", "canary_row").select("language", "value").write.partitionBy("language").text(p)
+    out = files.file_digests(s, p).where("path LIKE '%.txt'")
+    return out.select(F.regexp_extract("path", "language=([^/]+)/", 1).alias("language"), "length", "sha256")
+
+
+def json_document(s: SparkSession, d: str) -> DataFrame:
+    """The fixed table of bounds as one JSON document over several lines, read back whole."""
+    p = _place(s) + ".json"
+    rows = [r.asDict() for r in table(s, d, "family_bounds").collect()]  # a fixed table
+    files.write_manifest(s, p, rows)
+    return files.read_table(s, p).select("family_id", "domain", "parameter_name", "lower_bound", "upper_bound", "is_integer")
+
+
+def fingerprint_work(s: SparkSession, d: str) -> DataFrame:
+    """Scenarios whose content under the present fingerprint has no result yet: results of half of them are kept
+    under a fingerprint that has since changed for every fifth."""
+    x = table(s, d, "scenarios").select("scenario_row", "blueprint_id", "family_id", "seed")
+    mark = lambda seed: F.sha2(F.concat_ws("|", F.coalesce("blueprint_id", F.lit("")), F.coalesce("family_id", F.lit("")), seed.cast("string")), 256)
+    work = x.select("scenario_row", mark(F.col("seed")).alias("fingerprint"))
+    done = x.where("scenario_row % 2 = 0").select("scenario_row", mark(F.when(F.col("scenario_row") % 5 == 0, F.col("seed") + 1).otherwise(F.col("seed"))).alias("fingerprint"))
+    return files.pending(work, done, ["scenario_row", "fingerprint"])
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (csv_round_trip, tsv_round_trip, jsonl_round_trip, pending_work, file_digests)}
+    return {f.__name__: f for f in (csv_round_trip, tsv_round_trip, jsonl_round_trip, json_document, pending_work, fingerprint_work, file_digests)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "csv_round_trip": "SELECT * EXCLUDE (o_orderdate) FROM orders",
+        "csv_round_trip": "SELECT * FROM orders",
         "tsv_round_trip": "SELECT * FROM part",
         "jsonl_round_trip": "SELECT record_id, len(messages)::INT AS n_messages, metadata.source_repo AS source_repo, metadata.token_count AS token_count, md5(messages[1].content) AS first_digest FROM chat_records",
         "pending_work": "SELECT scenario_row, blueprint_id FROM scenarios s WHERE NOT EXISTS (FROM predictions p WHERE p.blueprint_id = s.blueprint_id)",
-        "file_digests": "SELECT length(t)::BIGINT AS length, sha256(t) AS sha256 FROM (SELECT string_agg(r_name || chr(10), '' ORDER BY r_name) AS t FROM region)",
+        "file_digests": r"SELECT language, octet_length(encode(t))::BIGINT AS length, sha256(t) AS sha256 FROM (SELECT lower(replace(trim(language), '-', '_')) AS language, string_agg(regexp_replace(text, '[\r\n]+', ' ', 'g') || chr(10), '' ORDER BY canary_row) AS t FROM routing_canary WHERE text IS NOT NULL AND language IS NOT NULL GROUP BY 1)",
+        "json_document": "SELECT family_id, domain, parameter_name, lower_bound, upper_bound, is_integer FROM family_bounds",
+        "fingerprint_work": "WITH m AS (SELECT scenario_row, sha256(coalesce(blueprint_id, '') || '|' || coalesce(family_id, '') || '|' || seed) AS fingerprint, sha256(coalesce(blueprint_id, '') || '|' || coalesce(family_id, '') || '|' || (seed + 1)) AS other FROM scenarios) SELECT scenario_row, fingerprint FROM m WHERE scenario_row % 2 = 1 OR scenario_row % 5 = 0",
     }

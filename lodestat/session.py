@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,23 @@ def local_session(cpus: int | str = "*", name: str = "lodestat") -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is named
-    (single-machine tests) a temporary folder serves."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Only a local session without one (tests) gets a
+    temporary folder; on a cluster, whose executors could not read that, its absence is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("name a folder all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestat-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder as a path for files all executors read."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor costs no re-computation
     of earlier rounds."""
@@ -44,8 +53,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Before an operator that works long on every row: more partitions, if a scan has fewer than
-    `per_core` per core. Scans of large tables have far more and stay as they are, without a shuffle.
-    Only for scans and projections of them, as the number of partitions is taken from the plan."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= per_core * cores else df.repartition(per_core * cores)
+    """Before an operator that works long on every row: more partitions, by a round of shuffle. The setting
+    spark.lodestat.spread says when: "always", "never", or "auto" (unset), if a scan has fewer than
+    `per_core` per core. Results are the same; only for scans and projections of them, as the number of
+    partitions is taken from the plan."""
+    how = df.sparkSession.conf.get("spark.lodestat.spread", "auto")
+    if how not in ("auto", "always", "never"):
+        raise ValueError("spark.lodestat.spread must be auto, always or never")
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    if how == "never" or (how == "auto" and df.rdd.getNumPartitions() >= want):
+        return df
+    return df.repartition(want)

@@ -15,7 +15,7 @@ from lodestat.streaming import incremental as S
 
 def test_quotas_and_split(spark):
     assert U.quotas(50, [("train", 90), ("valid", 5), ("test", 5)]) == {"train": 44, "valid": 3, "test": 3}
-    df = spark.createDataFrame([("problem-123",)] * 2, "id string")
+    df = spark.createDataFrame([("lot 77/b",)] * 2, "id string")
     got = {r[0] for r in df.select(U.hash_split(F.col("id"), 42, [("train", 90), ("valid", 5), ("test", 5)])).collect()}
     assert len(got) == 1 and got <= {"train", "valid", "test"}
 
@@ -24,8 +24,8 @@ def test_budget_trim_against_greedy(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), i, rng.randrange(1, 60)) for i in range(120)]
     df = spark.createDataFrame(rows, "g string, id bigint, n bigint")
-    for repeats in (1, 3):
-        got = sorted(tuple(r) for r in U.budget_trim(df, ["g"], "id", "n", 700, repeats).select("g", "id", "repeat_index").collect())
+    for repeats, pool in ((1, 10_000), (3, 10_000), (3, 4)):
+        got = sorted(tuple(r) for r in U.budget_trim(df, ["g"], "id", "n", 700, repeats, pool=pool).select("g", "id", "repeat_index").collect())
         order = {r["id"]: r["h"] for r in df.select("id", F.shiftrightunsigned(F.xxhash64(F.lit(0), "id"), 1).alias("h")).collect()}
         want = []
         for g in "ab":
@@ -39,6 +39,24 @@ def test_budget_trim_against_greedy(spark):
         assert got == sorted(want)
 
 
+def test_slices_by_value_are_even(spark):
+    from lodestat.operators.ordering import value_slices
+
+    d = spark.range(40_000).select(F.exp(4 * F.randn(3)).alias("v")).union(spark.createDataFrame([(float("inf"),), (0.0,)], "v double"))
+    x, at = value_slices(d, "v", 64)
+    most = x.groupBy(at.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("s").collect()
+    assert max(r["n"] for r in most) < 1500 and all(a["hi"] < b["lo"] for a, b in zip(most, most[1:]))
+    assert value_slices(d.where("false"), "v")[0].count() == 0
+
+
+def test_duplicates_and_overlap_use_compatibility_forms(spark):
+    docs = spark.createDataFrame([(1, "Ａ  b ｃ d"), (2, "a B c D"), (3, None), (4, "x")] + [(10 + i, "same") for i in range(30)], "id int, t string")
+    got = {r["id"]: r["kept_key"] for r in U.exact_duplicates(docs.where("t IS NOT NULL"), "id", "t").collect()}
+    assert got[1] == got[2] == 1 and got[4] == 4 and {got[10 + i] for i in range(30)} == {10}
+    refs = spark.createDataFrame([(1, "ａ b c")], "r int, u string")
+    assert {r["id"] for r in U.ngram_overlap(docs, refs, "id", "t", "r", "u", 2).where("best_ratio > 0").collect()} == {1, 2}
+
+
 def test_chat_errors(spark):
     msg = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
     schema = T.StructType([T.StructField("messages", msg), T.StructField("metadata", T.StructType([T.StructField("a", T.StringType())]))])
@@ -48,11 +66,11 @@ def test_chat_errors(spark):
 
 
 def test_largest_remainder_and_tokens(spark):
-    df = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", 0.25)], "k string, w double")
-    assert {r["k"]: r["n"] for r in U.largest_remainder(df, "k", "w", 52).collect()} == {"a": 26, "b": 13, "c": 13}
-    t = spark.createDataFrame([([-1.0, 0.2, 0.9, 0.3, -0.1, 0.1],)], "d array<double>")
-    got = t.select(U.selected_tokens(F.col("d"), 5, 0.5, 0.0)).first()[0]
-    assert 6 in got and got[-2:] == [8, 9]
+    df = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 2.0)], "k string, w double")
+    assert {r["k"]: r["n"] for r in U.largest_remainder(df, "k", "w", 30).collect()} == {"a": 13, "b": 9, "c": 8}
+    t = spark.createDataFrame([([0.7, -2.0, 0.0, 1.5, 0.4, -0.3, 0.6],)], "d array<double>")
+    got = t.select(U.selected_tokens(F.col("d"), 11, 0.5, 0.0)).first()[0]
+    assert got == [10, 13, 15, 16]
 
 
 def test_overlap(spark):
@@ -111,7 +129,25 @@ def test_files_and_streams(spark, tmp_path):
     assert files.read_records(spark, str(tmp_path / "r"), df.schema).count() == 2
     assert len(files.file_digests(spark, str(tmp_path / "doc.json")).first()["sha256"]) == 64
     assert files.fingerprint({"b": 1, "a": 2}) == files.fingerprint({"a": 2, "b": 1})
-    files.write_manifest(str(tmp_path / "m.json"), {"a": 1})
+    m = str(tmp_path / "m.json")
+    for _ in range(2):
+        files.write_manifest(spark, m, {"a": 1})
+    assert files.read_manifest(spark, m) == {"a": 1} and files.read_manifest(spark, m + "x") is None
+    made = [files.unless_done(spark, m, {"v": v}, lambda: {"files": []})[1] for v in (1, 1, 2)]
+    assert made == [True, False, True]
+    none = files.file_digests(spark, str(tmp_path / "doc.json")).where("false")
+    files.check_shard(spark, m, none, {"v": 2})
+    with pytest.raises(AnalysisError):
+        files.check_shard(spark, m, none, {"v": 1})
+    assert files.check_inputs(spark, [m]) == [m]
+    for bad in ([], [m] * 4, ["x.exe"], [m + "l"]):
+        with pytest.raises(AnalysisError):
+            files.check_inputs(spark, bad)
+    with pytest.raises(AnalysisError):
+        files.check_inputs(spark, [m], most_bytes=3)
+    lines = spark.createDataFrame([(1, "a\nb")], "id int, t string")
+    files.write_csv(lines, str(tmp_path / "n.csv"))
+    assert files.read_table(spark, str(tmp_path / "n.csv"), lines.schema, multi_line=True).first()["t"] == "a\nb"
     df.write.parquet(str(tmp_path / "in"))
     s = S.file_stream(spark, str(tmp_path / "in"), df.schema)
     for _ in range(2):
@@ -153,7 +189,9 @@ def test_mmr_looks_at_the_whole_group(spark):
     df = spark.createDataFrame(rows, "g string, id string, t string, s double")
     want = {}
     for g in ("a", "b", None, "few"):
-        left = [(i, frozenset(zip(*[(t or "").split()[n:] for n in range(3)])), s) for h, i, t, s in rows if h == g]
+        own = sorted((-s, i) for h, i, t, s in rows if h == g)
+        relevance = {i: 1 - k / (len(own) - 1) for k, (_, i) in enumerate(own)}
+        left = [(i, frozenset(zip(*[(t or "").split()[n:] for n in range(3)])), relevance[i]) for h, i, t, _ in rows if h == g]
         chosen = []
         while left and len(chosen) < 10:
             near = lambda x: max((len(x & y) / len(x | y) if x | y else 0.0 for _, y, _ in chosen), default=0.0)  # noqa: B023, E731

@@ -24,17 +24,20 @@ def test_distributions():
 
 
 def test_binomial(spark):
-    df = spark.createDataFrame([(1,), (1,), (1,), (0,)], "event int")
+    df = spark.createDataFrame([("no",)] * 2 + [("yes",)] * 6, "event string")
     r = C.binomial_test(df, "event").first()
-    assert (r["n"], r["successes"], r["estimate"]) == (4, 3, 0.75)
-    assert r["p_value"] == pytest.approx(0.625) and r["ci_low"] == pytest.approx(0.1941204, abs=1e-6)
+    assert (r["n"], r["successes"], r["estimate"]) == (8, 6, 0.75)
+    assert r["p_value"] == pytest.approx(74 / 256)
+    for side, k in (("ci_low", 6), ("ci_high", 7)):  # Clopper-Pearson: the tail at the bound is 2.5 %
+        tail = sum(math.comb(8, j) * r[side] ** j * (1 - r[side]) ** (8 - j) for j in range(k, 9))
+        assert tail == pytest.approx(0.025 if side == "ci_low" else 0.975)
 
 
 def test_filters_keep_nulls_on_exclude(spark):
-    df = spark.createDataFrame([("Driver", 1), (None, 2), ("Loss", 3)], "status string, aux int")
-    assert P.row_filters(df, [{"column": "status", "operation": "exclude", "values": ["Loss"]}]).count() == 2
-    assert P.row_filters(df, [{"column": "status", "operation": "include", "values": ["Loss"]}]).count() == 1
-    assert [r[0] for r in P.recode_binary(df, [{"column": "status", "positive_values": ["Driver"]}]).orderBy("aux").select("status").collect()] == [1, None, 0]
+    df = spark.createDataFrame([("oak", 1), (None, 2), ("elm", 3)], "status string, aux int")
+    assert P.row_filters(df, [{"column": "status", "operation": "exclude", "values": ["elm"]}]).count() == 2
+    assert P.row_filters(df, [{"column": "status", "operation": "include", "values": ["elm"]}]).count() == 1
+    assert [r[0] for r in P.recode_binary(df, [{"column": "status", "positive_values": ["oak"]}]).orderBy("aux").select("status").collect()] == [1, None, 0]
     with pytest.raises(P.AnalysisError):
         P.row_filters(df, [{"column": "nope", "operation": "include", "values": [1]}])
     with pytest.raises(P.AnalysisError):
