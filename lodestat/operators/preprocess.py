@@ -81,8 +81,8 @@ def two_levels(df: DataFrame, column: str) -> list:
     return got
 
 
-#: Most levels of a categorical predictor that become columns.
-MOST_LEVELS = 200
+#: Most levels of a categorical predictor that become columns; the driver solves systems of the terms' number.
+MOST_LEVELS = 2000
 
 
 def design(df: DataFrame, predictors: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import dist
-from lodestat.operators.ordering import running_total
+from lodestat.operators.ordering import running_total, value_slices
 from lodestat.operators.preprocess import AnalysisError, complete_cases, number, two_levels
 
 
@@ -47,12 +47,10 @@ def paired_t(df: DataFrame, before: str, after: str, alpha: float = 0.05) -> Dat
 
 def mid_ranks(df: DataFrame, value: str, into: str = "mid_rank") -> DataFrame:
     """(value, n, mid_rank) per distinct value: ties share the mean of their ranks. The running count
-    goes over slices of the distinct values by size, so no task sorts all of them."""
+    goes over slices of the distinct values between their quantiles, so no task sorts all of them."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    lo, hi = counts.agg(F.min(value), F.max(value)).first()
-    width = (hi - lo) / 512 if lo is not None and hi > lo else 1.0
-    cut = F.least(F.floor((F.col(value) - F.lit(lo or 0.0)) / F.lit(width)), F.lit(512)).cast("int")
-    ranked = running_total(counts.withColumn("__one", F.lit(1)), ["__one"], value, F.col("n"), "upto", slice_of=cut)
+    sliced, at = value_slices(counts.withColumn("__one", F.lit(1)), value)
+    ranked = running_total(sliced, ["__one"], value, F.col("n"), "upto", slice_of=at)
     return ranked.select(value, "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias(into))
 
 
@@ -63,21 +61,43 @@ def _ranked_groups(df: DataFrame, value: str, group: str) -> DataFrame:
     return cells.join(r, "v")
 
 
+#: Largest smaller group for which the exact law of U is used, and largest larger group.
+EXACT_SMALL, EXACT_LARGE = 8, 20_000
+
+
+def exact_u_tail(u: float, m: int, n: int) -> float:
+    """Two-sided exact probability of U without ties: twice the tail beyond the larger of U and m * n - U. The
+    numbers of arrangements are the coefficients of the Gaussian binomial, in whole numbers."""
+    size = m * n + 1
+    ways = [0] * size
+    ways[0] = 1
+    for i in range(1, m + 1):
+        for k in range(size - 1, n + i - 1, -1):  # times 1 - q ** (n + i)
+            ways[k] -= ways[k - n - i]
+        for k in range(i, size):  # over 1 - q ** i
+            ways[k] += ways[k - i]
+    big = math.ceil(max(u, m * n - u))
+    return min(1.0, 2 * sum(ways[big:]) / math.comb(m + n, m))
+
+
 def mann_whitney(df: DataFrame, outcome: str, group: str) -> DataFrame:
-    """U of the first level, normal approximation with tie and continuity correction. Exact
-    probabilities for small samples without ties are not tabulated."""
+    """U of the first level. Exact if the smaller group has at most eight rows and nothing is tied, else the
+    normal approximation with tie and continuity correction (also beyond EXACT_LARGE rows in the larger one,
+    where the two agree)."""
     d = complete_cases(df, [outcome, group])
     a, b = two_levels(d, group)
     c = _ranked_groups(d, outcome, group)
     is_a = F.col("g") == a
     t = F.col("ties")
-    s = c.agg(F.sum(F.when(is_a, F.col("c")).otherwise(0)).alias("n1"), F.sum(F.when(is_a, 0).otherwise(F.col("c"))).alias("n2"), F.sum(F.when(is_a, F.col("c") * F.col("mid_rank")).otherwise(0.0)).alias("r1"), F.sum(F.col("c") * (t.cast("double") * t - 1)).alias("tie_term"))
-    n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
-    s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("tie_term") / (n * (n - 1))))
-    dev = F.abs(F.col("u") - n1 * n2 / 2) - 0.5
-    s = s.withColumn("z", F.greatest(dev, F.lit(0.0)) / sd)
-    return s.select(F.lit(str(a)).alias("first_level"), F.lit(str(b)).alias("second_level"), "n1", "n2", F.col("u").alias("statistic"), "z", F.least(dist.z_p(F.col("z")), F.lit(1.0)).alias("p_value"))
+    r = c.agg(F.sum(F.when(is_a, F.col("c")).otherwise(0)).alias("n1"), F.sum(F.when(is_a, 0).otherwise(F.col("c"))).alias("n2"), F.sum(F.when(is_a, F.col("c") * F.col("mid_rank")).otherwise(0.0)).alias("r1"), F.sum(F.col("c") * (t.cast("double") * t - 1)).alias("tie_term")).first()
+    n1, n2, n = r["n1"], r["n2"], r["n1"] + r["n2"]
+    u = r["r1"] - n1 * (n1 + 1) / 2
+    sd = math.sqrt(n1 * n2 / 12 * (n + 1 - r["tie_term"] / (n * (n - 1))))
+    z = max(abs(u - n1 * n2 / 2) - 0.5, 0.0) / sd if sd > 0 else None
+    exact = min(n1, n2) <= EXACT_SMALL and max(n1, n2) <= EXACT_LARGE and r["tie_term"] == 0
+    p = exact_u_tail(u, min(n1, n2), max(n1, n2)) if exact else None if z is None else min(1.0, 2 * dist.norm_sf(z))
+    row = (str(a), str(b), n1, n2, u, z, p, exact)
+    return df.sparkSession.createDataFrame([row], "first_level string, second_level string, n1 bigint, n2 bigint, statistic double, z double, p_value double, exact boolean")
 
 
 def wilcoxon_signed_rank(df: DataFrame, before: str, after: str) -> DataFrame:
@@ -142,19 +162,34 @@ def chi_square(df: DataFrame, group: str, outcome: str, yates: bool = False) ->
 
 
 def fisher_exact(df: DataFrame, group: str, outcome: str) -> DataFrame:
-    """Two by two, two-sided: the probabilities not above that of the table. Sample odds ratio."""
+    """Two by two, two-sided: the probabilities not above that of the table. Sample odds ratio. The law is summed
+    from the mode outwards until its terms no longer matter, some tens of standard deviations."""
     d = complete_cases(df, [group, outcome])
     (g1, _), (o1, _) = two_levels(d, group), two_levels(d, outcome)
     at = lambda same_g, same_o: F.sum(((F.col(group) == g1) == F.lit(same_g)).cast("int") * ((F.col(outcome) == o1) == F.lit(same_o)).cast("int"))
     r = d.agg(at(True, True).alias("a"), at(True, False).alias("b"), at(False, True).alias("c"), at(False, False).alias("d")).first()
     a, b, c, e = r["a"], r["b"], r["c"], r["d"]
-    lc = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    row1, col1, n = a + b, a + c, a + b + c + e
-    lp = lambda k: lc(row1, k) + lc(n - row1, col1 - k) - lc(n, col1)
-    own = lp(a)
-    p = math.fsum(math.exp(v) for v in map(lp, range(max(0, col1 - (n - row1)), min(row1, col1) + 1)) if v <= own + 1e-7)
     odds = a * e / (b * c) if b * c else (math.inf if a * e else math.nan)
-    return df.sparkSession.createDataFrame([(a, b, c, e, None if math.isinf(odds) or math.isnan(odds) else odds, min(1.0, p))], "a bigint, b bigint, c bigint, d bigint, odds_ratio double, p_value double")
+    return df.sparkSession.createDataFrame([(a, b, c, e, None if math.isinf(odds) or math.isnan(odds) else odds, fisher_p(a, b, c, e))], "a bigint, b bigint, c bigint, d bigint, odds_ratio double, p_value double")
+
+
+def fisher_p(a: int, b: int, c: int, e: int, matters: float = 1e-18) -> float:
+    """Ratios of neighbouring terms are exact, so nothing but the terms relative to the mode is needed."""
+    row, col, n = a + b, a + c, a + b + c + e
+    lo, hi = max(0, col - (n - row)), min(row, col)
+    mode = min(max((row + 1) * (col + 1) // (n + 2), lo), hi)
+    up = lambda k: (row - k) * (col - k) / ((k + 1) * (n - row - col + k + 1))
+    terms = {mode: 1.0}
+    for step, end in ((1, hi), (-1, lo)):
+        v, k = 1.0, mode
+        while k != end and (v > matters or (k - a) * step < 0):
+            v = v * up(k) if step > 0 else v / up(k - 1)
+            k += step
+            terms[k] = v
+            if v == 0.0:
+                break
+    own = terms.get(a, 0.0) * (1 + 1e-7)
+    return min(1.0, math.fsum(v for v in terms.values() if v <= own) / math.fsum(terms.values()))
 
 
 def binomial_test(df: DataFrame, outcome: str, null: float = 0.5, alternative: str = "two-sided", alpha: float = 0.05) -> DataFrame:

@@ -11,24 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions import dist
-from lodestat.operators.ordering import hash_order, running_total, running_totals
+from lodestat.operators.ordering import group_rank, hash_order, running_total, running_totals, value_slices
 from lodestat.operators.preprocess import AnalysisError, complete_cases, levels, number, two_levels
 from lodestat.operators.stats.models import _dot, _frame, _inverse, _matrix, _newton, _products, _vector, term_rows
 
 
 def _risk_sums(per_time: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
-    """Sums over all rows with the same or a later time, per distinct time; slices by time."""
-    lo, hi = per_time.agg(F.min("t"), F.max("t")).first()
-    width = (hi - lo) / 512 if lo is not None and hi > lo else 1.0
-    back = per_time.withColumn("__neg", -F.col("t"))
-    cut = F.least(F.floor((F.lit(hi or 0.0) - F.col("t")) / F.lit(width)), F.lit(512)).cast("int")
-    return running_totals(back, groups, "__neg", {f"r_{v}": F.col(v) for v in values}, slice_of=cut).drop("__neg")
+    """Sums over all rows with the same or a later time, per distinct time; slices between quantiles of the times."""
+    back, at = value_slices(per_time.withColumn("__neg", -F.col("t")), "__neg")
+    return running_totals(back, groups, "__neg", {f"r_{v}": F.col(v) for v in values}, slice_of=at).drop("__neg")
 
 
-def logrank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
-    """Chi-square of the log-rank test over any number of groups."""
+def logrank(df: DataFrame, time: str, event: str, group: str, most_groups: int = 1000) -> DataFrame:
+    """Chi-square of the log-rank test. The driver inverts a matrix of the groups' number; more than
+    `most_groups` are an error."""
     d = complete_cases(df, [time, event, group]).select(number(time).alias("t"), number(event).alias("e"), F.col(group).alias("g"))
-    names = levels(d, "g", 50)
+    names = levels(d, "g", most_groups)
     k = len(names)
     if k < 2:
         raise AnalysisError("the log-rank test needs two groups")
@@ -99,13 +97,15 @@ def _by_size(c: DataFrame, k: int) -> pd.DataFrame:
 
 def _weighted(t: pd.DataFrame, k: int, shrink) -> tuple[np.ndarray, np.ndarray, float]:
     """X'WX, X'Wy and y'Wy for W = I - shrink(n) 11' inside clusters."""
-    a, b, yy = np.zeros((k, k)), np.zeros(k), 0.0
-    for _, r in t.iterrows():
-        c = shrink(r["n"])
-        a += _matrix(r, k) - c * _matrix(r, k, "o")
-        b += _vector(r, k) - c * _vector(r, k, "c")
-        yy += r["syy"] - c * r["sy2"]
-    return a, b, yy
+    a, b = np.zeros((k, k)), np.zeros(k)
+    c = shrink(t["n"].to_numpy(float)) * np.ones(len(t))
+    sums = lambda col, w: float(t[col].to_numpy(float) @ w)
+    one = np.ones(len(t))
+    for i in range(k):
+        for j in range(i, k):
+            a[i, j] = a[j, i] = sums(f"a{i}_{j}", one) - sums(f"o{i}_{j}", c)
+        b[i] = sums(f"b{i}", one) - sums(f"c{i}", c)
+    return a, b, sums("syy", one) - sums("sy2", c)
 
 
 def gee(df: DataFrame, outcome: str, predictors: Sequence[str], cluster: str, rounds: int = 60) -> DataFrame:
@@ -122,7 +122,8 @@ def gee(df: DataFrame, outcome: str, predictors: Sequence[str], cluster: str, ro
         new = _inverse(a) @ xy
         plain_a, plain_b, yy = _weighted(t, k, lambda m: 0.0)
         e2 = yy - 2 * new @ plain_b + new @ plain_a @ new
-        s2 = sum(r["sy2"] - 2 * new @ _vector(r, k, "c") + new @ _matrix(r, k, "o") @ new for _, r in t.iterrows())
+        outer_a, outer_b, outer_yy = _weighted(t, k, lambda m: 1.0)  # the plain sums less those of clusters
+        s2 = (yy - outer_yy) - 2 * new @ (plain_b - outer_b) + new @ (plain_a - outer_a) @ new
         phi = e2 / (n - k)
         nxt = (s2 - e2) / 2 / ((pairs - k) * phi) if pairs > k and phi > 0 else 0.0
         done = np.max(np.abs(new - b)) < 1e-10 * max(1.0, np.max(np.abs(new))) and abs(nxt - alpha) < 1e-10
@@ -191,10 +192,46 @@ def conjugate_bayes(df: DataFrame, outcome: str, prior_mean: float = 0.0, prior_
 
 
 _BLOCK = 20_000
+#: Rows of a block times draws held at once.
+_CHUNK = 8_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int, size: int | None = None) -> np.ndarray:
+    """Exact up to 10 ** 9 rows, the bound of the generator; beyond, the normal law with the same mean and
+    variance, rounded and kept inside the support (they differ by less than one in 10 ** 4 there)."""
+    n = good + bad
+    if n < 1_000_000_000:
+        return rng.hypergeometric(good, bad, take, size)
+    p = good / n
+    sd = math.sqrt(take * p * (1 - p) * (n - take) / (n - 1))
+    return np.clip(np.rint(rng.normal(take * p, sd, size)), max(0, take - bad), min(take, good)).astype(np.int64)
+
+
+def _shares(rng: np.random.Generator, sizes: Sequence[int], take: int, draws: int) -> np.ndarray:
+    """How many of the `take` chosen rows fall into each block, per draw: halves of the blocks in turn."""
+    out = np.zeros((draws, len(sizes)), np.int64)
+
+    def part(lo: int, hi: int, took: np.ndarray) -> None:
+        if hi - lo == 1:
+            out[:, lo] = took
+            return
+        mid = (lo + hi) // 2
+        left, right = int(sum(sizes[lo:mid])), int(sum(sizes[mid:hi]))
+        values, at = np.unique(took, return_inverse=True)
+        first = np.zeros(len(took), np.int64)
+        for i, v in enumerate(values):
+            where = at == i
+            first[where] = hypergeometric(rng, left, right, int(v), int(where.sum())) if left + right else 0
+        part(lo, mid, first)
+        part(mid, hi, took - first)
+
+    part(0, len(sizes), np.full(draws, take, np.int64))
+    return out
 
 
 def _block_sizes(d: DataFrame, seed: int, *cols: str) -> tuple[DataFrame, list[int]]:
-    """Rows in blocks by hash, at most 4096 of them, about _BLOCK rows each."""
+    """Rows in blocks by hash, about _BLOCK rows each (the driver holds one number per block and draw, so at
+    most 4096 blocks; larger blocks are then worked in chunks)."""
     n = d.count()
     blocks = max(1, min(4096, math.ceil(n / _BLOCK)))
     d = d.withColumn("__block", F.pmod(hash_order(seed, *cols), F.lit(blocks)).cast("int"))
@@ -232,25 +269,31 @@ def posterior_predictive(df: DataFrame, outcome: str, draws: int = 2000, seed: i
     return tail.select(F.lit(n).alias("n"), F.lit(float(obs)).alias("observed_skewness"), F.lit(draws).alias("draws"), "p_value")
 
 
-def randomization_inference(df: DataFrame, outcome: str, treatment: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+#: Fixed value: most permutations.
+MOST_DRAWS = 5000
+
+
+def randomization_inference(df: DataFrame, outcome: str, treatment: str, draws: int = 2000, seed: int = 0, key: str | None = None) -> DataFrame:
     """Labels permuted with their number kept: how many of a block are treated follows the multivariate
-    hypergeometric law, which of them a permutation inside the block. p = (1 + hits) / (1 + draws)."""
-    draws = min(draws, 5000)
-    d = complete_cases(df, [outcome, treatment])
+    hypergeometric law, which of them a permutation inside the block. p = (1 + hits) / (1 + draws), with at most
+    MOST_DRAWS draws. Blocks are by the hash of `key`, so equal seeds give equal results for any partitioning;
+    without a key they depend on it, as rows have no name then."""
+    draws = min(draws, MOST_DRAWS)
+    d = complete_cases(df, [outcome, treatment, *([key] if key else [])])
     a, b = two_levels(d, treatment)
-    d = d.select(number(outcome).alias("y"), (F.col(treatment) == b).alias("t"))
+    d = d.select(number(outcome).alias("y"), (F.col(treatment) == b).alias("t"), (F.col(key) if key else F.monotonically_increasing_id()).alias("__id"))
     n, n1, s, s1 = d.agg(F.count(F.lit(1)), F.sum(F.col("t").cast("int")), F.sum("y"), F.sum(F.when(F.col("t"), F.col("y")).otherwise(0.0))).first()
     obs = s1 / n1 - (s - s1) / (n - n1)
-    blocked, sizes = _block_sizes(d.withColumn("__id", F.monotonically_increasing_id()), seed, "__id")
-    take = np.random.default_rng(seed).multivariate_hypergeometric(sizes, n1, size=draws, method="marginals")
+    blocked, sizes = _block_sizes(d, seed, "__id")
+    take = _shares(np.random.default_rng(seed), sizes, n1, draws)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = np.sort(pdf["y"].to_numpy())
-        rng = np.random.default_rng((seed, int(key[0])))
-        sums = [y[rng.permutation(len(y))[: take[r, key[0]]]].sum() for r in range(draws)]
+        rng = np.random.default_rng((seed, int(key_[0])))
+        sums = [y[rng.choice(len(y), take[r, key_[0]], replace=False, shuffle=False)].sum() for r in range(draws)]
         return pd.DataFrame({"r": np.arange(draws, dtype="int32"), "s": sums})
 
-    sums = blocked.groupBy("__block").applyInPandas(run, "r int, s double").groupBy("r").agg(F.sum("s").alias("s"))
+    sums = blocked.select("y", "__block").groupBy("__block").applyInPandas(run, "r int, s double").groupBy("r").agg(F.sum("s").alias("s"))
     null = F.col("s") / n1 - (F.lit(s) - F.col("s")) / (n - n1)
     hits = sums.agg(F.count(F.when(F.abs(null) >= abs(obs) - 1e-12, 1)).alias("h"))
     return hits.select(F.lit(n).alias("n"), F.lit(float(obs)).alias("effect"), F.lit(draws).alias("draws"), ((F.col("h") + 1) / F.lit(draws + 1.0)).alias("p_value"))
@@ -272,10 +315,9 @@ def blocked_time_series_cv(df: DataFrame, time: str, outcome: str, predictors: S
     k = len(terms)
     stamp = F.col(time).cast("timestamp").cast("double") if dict(df.dtypes)[time].startswith("timestamp") else number(time)
     d = d.withColumn("__t", stamp)
-    n, lo, hi = d.agg(F.count(F.lit(1)), F.min("__t"), F.max("__t")).first()
-    width = (hi - lo) / 1024 if n and hi > lo else 1.0
-    cut = F.least(F.floor((F.col("__t") - F.lit(lo or 0.0)) / F.lit(width)), F.lit(1024)).cast("int")
-    d = running_total(d.withColumn("__one", F.lit(1)), ["__one"], "__t", F.lit(1).cast("long"), "rn", tie=tie, slice_of=cut)
+    n = d.count()
+    d, at = value_slices(d.withColumn("__one", F.lit(1)), "__t", 1024)
+    d = running_total(d, ["__one"], "__t", F.lit(1).cast("long"), "rn", tie=tie, slice_of=at)
     size = n // (splits + 1)
     if size < 1:
         raise AnalysisError("too few observations for the splits")
@@ -294,12 +336,14 @@ def blocked_time_series_cv(df: DataFrame, time: str, outcome: str, predictors: S
     return d.where("fold > 0").groupBy(F.col("fold").alias("split")).agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(e**2)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
-def calibrated_logistic(df: DataFrame, outcome: str, predictors: Sequence[str], key: str, folds: int = 5, seed: int = 0) -> DataFrame:
-    """Scores from fits on the other folds (folds by hash inside each class); Brier score and AUC."""
-    from lodestat.operators.stats.compare import brier_auc
+def held_out_scores(df: DataFrame, outcome: str, predictors: Sequence[str], key: str, folds: int = 5, seed: int = 0) -> DataFrame:
+    """(y, score): scores from ridge fits on the other folds. Folds are stratified: inside each class rows are
+    dealt out in turn, in hash order of the key."""
     from lodestat.operators.stats.models import glm
 
-    d = complete_cases(df, [outcome, key, *predictors]).withColumn("__fold", F.pmod(hash_order(seed, F.col(key)), F.lit(folds)).cast("int")).cache()
+    d = complete_cases(df, [outcome, key, *predictors]).withColumn("__h", hash_order(seed, F.col(key)))
+    d = group_rank(d, [outcome], "__h", "__turn", tie=[key])
+    d = d.withColumn("__fold", F.pmod(F.col("__turn") - 1, F.lit(folds)).cast("int")).drop("__h", "__turn").cache()
     x, _ = _frame(d, outcome, predictors, ["__fold"])
     score = None
     for f in range(folds):
@@ -307,7 +351,21 @@ def calibrated_logistic(df: DataFrame, outcome: str, predictors: Sequence[str],
         c.unpersist()
         s = 1 / (1 + F.exp(-_dot(b)))
         score = F.when(F.col("__fold") == f, s) if score is None else score.when(F.col("__fold") == f, s)
-    return brier_auc(x.withColumn("score", score), "score", "y")
+    return x.withColumn("score", score).select("y", "score", F.col("__fold").alias("fold"))
+
+
+def calibrated_logistic(df: DataFrame, outcome: str, predictors: Sequence[str], key: str, folds: int = 5, seed: int = 0) -> DataFrame:
+    """Brier score and AUC of held-out scores."""
+    from lodestat.operators.stats.compare import brier_auc
+
+    return brier_auc(held_out_scores(df, outcome, predictors, key, folds, seed), "score", "y")
+
+
+def calibration_curve(df: DataFrame, outcome: str, predictors: Sequence[str], key: str, folds: int = 5, seed: int = 0, bins: int = 10) -> DataFrame:
+    """Mean score and observed rate of held-out scores between their quantiles."""
+    from lodestat.operators.stats.compare import calibration_bins
+
+    return calibration_bins(held_out_scores(df, outcome, predictors, key, folds, seed), "score", "y", bins)
 
 
-__all__ = ["blocked_time_series_cv", "calibrated_logistic", "conjugate_bayes", "cox_ph", "gee", "logrank", "mixed_effects", "multiple_imputation", "posterior_predictive", "randomization_inference"]
+__all__ = ["blocked_time_series_cv", "calibrated_logistic", "calibration_curve", "conjugate_bayes", "cox_ph", "gee", "held_out_scores", "logrank", "mixed_effects", "multiple_imputation", "posterior_predictive", "randomization_inference"]

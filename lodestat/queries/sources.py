@@ -63,13 +63,12 @@ def json_document(s: SparkSession, d: str) -> DataFrame:
 
 
 def fingerprint_work(s: SparkSession, d: str) -> DataFrame:
-    """Scenarios whose content under the present fingerprint has no result yet: results of half of them are kept
-    under a fingerprint that has since changed for every fifth."""
-    x = table(s, d, "scenarios").select("scenario_row", "blueprint_id", "family_id", "seed")
-    mark = lambda seed: F.sha2(F.concat_ws("|", F.coalesce("blueprint_id", F.lit("")), F.coalesce("family_id", F.lit("")), seed.cast("string")), 256)
-    work = x.select("scenario_row", mark(F.col("seed")).alias("fingerprint"))
-    done = x.where("scenario_row % 2 = 0").select("scenario_row", mark(F.when(F.col("scenario_row") % 5 == 0, F.col("seed") + 1).otherwise(F.col("seed"))).alias("fingerprint"))
-    return files.pending(work, done, ["scenario_row", "fingerprint"])
+    """Scenario rows without predictions under their present fingerprint (blueprint and family as spelled): a
+    result kept under another spelling of the family counts as out of date."""
+    mark = F.sha2(F.concat_ws("|", F.coalesce("blueprint_id", F.lit("")), F.coalesce("family_id", F.lit(""))), 256).alias("fingerprint")
+    work = table(s, d, "scenarios").select("scenario_row", "blueprint_id", mark)
+    done = table(s, d, "predictions").select("blueprint_id", mark)
+    return files.pending(work, done, ["blueprint_id", "fingerprint"]).select("scenario_row", "fingerprint")
 
 
 def queries() -> dict:
@@ -84,5 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "pending_work": "SELECT scenario_row, blueprint_id FROM scenarios s WHERE NOT EXISTS (FROM predictions p WHERE p.blueprint_id = s.blueprint_id)",
         "file_digests": r"SELECT language, octet_length(encode(t))::BIGINT AS length, sha256(t) AS sha256 FROM (SELECT lower(replace(trim(language), '-', '_')) AS language, string_agg(regexp_replace(text, '[\r\n]+', ' ', 'g') || chr(10), '' ORDER BY canary_row) AS t FROM routing_canary WHERE text IS NOT NULL AND language IS NOT NULL GROUP BY 1)",
         "json_document": "SELECT family_id, domain, parameter_name, lower_bound, upper_bound, is_integer FROM family_bounds",
-        "fingerprint_work": "WITH m AS (SELECT scenario_row, sha256(coalesce(blueprint_id, '') || '|' || coalesce(family_id, '') || '|' || seed) AS fingerprint, sha256(coalesce(blueprint_id, '') || '|' || coalesce(family_id, '') || '|' || (seed + 1)) AS other FROM scenarios) SELECT scenario_row, fingerprint FROM m WHERE scenario_row % 2 = 1 OR scenario_row % 5 = 0",
+        "fingerprint_work": "SELECT scenario_row, sha256(coalesce(blueprint_id, '') || '|' || coalesce(family_id, '')) AS fingerprint FROM scenarios s WHERE NOT EXISTS (FROM predictions p WHERE p.blueprint_id = s.blueprint_id AND coalesce(p.family_id, '') = coalesce(s.family_id, ''))",
     }

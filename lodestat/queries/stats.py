@@ -203,7 +203,7 @@ def posterior_predictive(s: SparkSession, d: str) -> DataFrame:
 
 
 def randomization_inference(s: SparkSession, d: str) -> DataFrame:
-    return rounded(L.randomization_inference(_valid(s, d), "normalized_regret", "valid"))
+    return rounded(L.randomization_inference(_valid(s, d), "normalized_regret", "valid", key="prediction_id"))
 
 
 def ipw(s: SparkSession, d: str) -> DataFrame:
@@ -218,6 +218,16 @@ def calibrated_logistic(s: SparkSession, d: str) -> DataFrame:
     return rounded(L.calibrated_logistic(_valid(s, d), "valid", ["normalized_regret"], "prediction_id"), 5)
 
 
+def calibration_curve(s: SparkSession, d: str) -> DataFrame:
+    return rounded(L.calibration_curve(_valid(s, d), "valid", ["normalized_regret"], "prediction_id"), 5)
+
+
+def stratified_folds(s: SparkSession, d: str) -> DataFrame:
+    """Rows and positives per fold of the calibration: both differ by at most one between folds."""
+    x = L.held_out_scores(_valid(s, d), "valid", ["normalized_regret"], "prediction_id")
+    return x.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("n_valid"))
+
+
 def brier_auc(s: SparkSession, d: str) -> DataFrame:
     return rounded(C.brier_auc(_valid(s, d).withColumn("score", 1 - F.col("normalized_regret")), "score", "valid"))
 
@@ -230,7 +240,7 @@ def blocked_time_series_cv(s: SparkSession, d: str) -> DataFrame:
     return rounded(L.blocked_time_series_cv(table(s, d, "orders").select("o_orderdate", "o_totalprice", "o_custkey", "o_orderkey"), "o_orderdate", "o_totalprice", ["o_custkey"], tie=["o_orderkey"]), 4)
 
 
-_ALL = [welch_t, independent_t, difference_in_means, paired_t, wilcoxon_signed_rank, mann_whitney, kruskal_wallis, spearman_correlation, chi_square, two_proportion, fisher_exact, binomial_test, contingency_table, mid_ranks, profile_columns, profile_predictions, duplicate_rows, row_filter_recode, ols, hc3_ols, ancova, regression_f_test, iv_2sls, huber_regression, logistic_glm, probit_glm, firth_logistic, poisson_glm, negative_binomial_glm, tobit_regression, gee, mixed_effects, logrank, cox_ph, conjugate_bayes, posterior_predictive, randomization_inference, ipw, multiple_imputation, calibrated_logistic, brier_auc, calibration_bins, blocked_time_series_cv]
+_ALL = [welch_t, independent_t, difference_in_means, paired_t, wilcoxon_signed_rank, mann_whitney, kruskal_wallis, spearman_correlation, chi_square, two_proportion, fisher_exact, binomial_test, contingency_table, mid_ranks, profile_columns, profile_predictions, duplicate_rows, row_filter_recode, ols, hc3_ols, ancova, regression_f_test, iv_2sls, huber_regression, logistic_glm, probit_glm, firth_logistic, poisson_glm, negative_binomial_glm, tobit_regression, gee, mixed_effects, logrank, cox_ph, conjugate_bayes, posterior_predictive, randomization_inference, ipw, multiple_imputation, calibrated_logistic, calibration_curve, stratified_folds, brier_auc, calibration_bins, blocked_time_series_cv]
 
 
 def queries() -> dict:
@@ -319,7 +329,12 @@ SELECT n AS n_pairs, round(m, 6) AS mean_difference, round(se, 6) AS std_error,
 WITH {_rank_sql(_FLAGS, 'l_quantity', 'l_returnflag')},
 s AS (SELECT count(*) FILTER (g = 'A')::DOUBLE AS n1, count(*) FILTER (g = 'R')::DOUBLE AS n2, sum(r) FILTER (g = 'A') AS r1, sum(t * t - 1) AS tie FROM r),
 z AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM s)
-SELECT 'A' AS first_level, 'R' AS second_level, n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 6) AS statistic, round(greatest(z, 0), 6) AS z, round({_z_p('greatest(z, 0)')}, 6) AS p_value FROM z""",
+SELECT 'A' AS first_level, 'R' AS second_level, n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 6) AS statistic, round(greatest(z, 0), 6) AS z, round({_z_p('greatest(z, 0)')}, 6) AS p_value, false AS exact FROM z""",
+        "stratified_folds": """
+WITH d AS (SELECT valid::INT AS y FROM predictions WHERE valid IS NOT NULL AND normalized_regret IS NOT NULL AND NOT isnan(normalized_regret)),
+c AS (SELECT y, count(*) AS n FROM d GROUP BY y),
+f AS (SELECT y, k AS fold, n // 5 + (k < n % 5)::INT AS m FROM c, range(5) x(k))
+SELECT fold::INT AS fold, sum(m)::BIGINT AS n, sum(m) FILTER (y = 1)::BIGINT AS n_valid FROM f GROUP BY fold""",
         "wilcoxon_signed_rank": f"""
 WITH d AS (SELECT abs(b - a) AS v, b > a AS g FROM {_PAIRS} WHERE a <> b),
 r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY v)::DOUBLE AS t FROM d),

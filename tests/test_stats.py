@@ -33,6 +33,60 @@ def test_binomial(spark):
         assert tail == pytest.approx(0.025 if side == "ci_low" else 0.975)
 
 
+def test_small_exact_laws(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    for m, n in ((2, 3), (3, 5), (4, 4)):
+        every = [sum(c) - m * (m + 1) / 2 for c in combinations(range(1, m + n + 1), m)]
+        for u in range(m * n + 1):
+            want = min(1.0, 2 * sum(v >= max(u, m * n - u) for v in every) / len(every))
+            assert C.exact_u_tail(u, m, n) == pytest.approx(want)
+    v = rng.sample(range(1000), 9)
+    df = spark.createDataFrame([(float(x), "a" if i < 4 else "b") for i, x in enumerate(v)], "v double, g string")
+    r = C.mann_whitney(df, "v", "g").first()
+    assert r["exact"] and r["statistic"] == sum(a > b for a in v[:4] for b in v[4:])
+    assert not C.mann_whitney(df.union(df), "v", "g").first()["exact"]
+    assert L.hypergeometric(np.random.default_rng(1), 7 * 10**8, 7 * 10**8, 1000, 2000).mean() == pytest.approx(500, abs=2)
+    sizes = [5, 0, 9, 4]
+    take = L._shares(np.random.default_rng(2), sizes, 7, 3000)
+    assert (take.sum(1) == 7).all() and (take <= np.array(sizes)).all() and take.mean(0) == pytest.approx([35 / 18, 0, 63 / 18, 28 / 18], abs=0.08)
+
+
+def test_array_functions():
+    x = np.array([1e-3, 0.3, 1.0, 2.5, 7.7, 60.0, 1e4])
+    assert M._lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-11, abs=1e-11)
+    z = np.array([-6.0, -3.1, -0.2, 0.0, 0.5, 2.9, 3.0, 3.1, 6.0, 20.0, 40.0])
+    assert M._erfc(z) == pytest.approx([math.erfc(v) for v in z], rel=1e-9)
+
+
+def test_fisher_against_the_whole_law():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b, c, e = (rng.randrange(0, 30) for _ in range(4))
+        row, col, n = a + b, a + c, a + b + c + e
+        p = {k: math.comb(row, k) * math.comb(n - row, col - k) / math.comb(n, col) for k in range(max(0, col - n + row), min(row, col) + 1)}
+        assert C.fisher_p(a, b, c, e) == pytest.approx(min(1.0, sum(v for v in p.values() if v <= p[a] * (1 + 1e-7))))
+    assert C.fisher_p(10**6, 10**6, 10**6, 10**6 + 9) > 0.98 and C.fisher_p(10**6, 10**6, 10**6, 2 * 10**6) < 1e-300
+
+
+def test_exact_median(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 7, 1000, 5001):
+        v = [math.exp(rng.gauss(0, 3)) if i % 3 else 1.0 for i in range(n)]
+        df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+        assert M.exact_median(df, "v", 200) == pytest.approx(float(np.median(v)))
+    assert M.exact_median(df.where("false"), "v") == 0.0
+
+
+def test_held_out_scores_are_stratified(spark):
+    df, *_ = _data(spark)
+    keyed = df.withColumn("id", F.monotonically_increasing_id())
+    r = L.held_out_scores(keyed, "b", ["x"], "id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()
+    assert len(r) == 5 and max(x["p"] for x in r) - min(x["p"] for x in r) <= 1 and max(x["n"] for x in r) - min(x["n"] for x in r) <= 2
+    assert L.calibration_curve(keyed, "b", ["x"], "id").count() == 10
+
+
 def test_filters_keep_nulls_on_exclude(spark):
     df = spark.createDataFrame([("oak", 1), (None, 2), ("elm", 3)], "status string, aux int")
     assert P.row_filters(df, [{"column": "status", "operation": "exclude", "values": ["elm"]}]).count() == 2
@@ -142,8 +196,9 @@ def test_clusters(spark):
 def test_permutations_and_bayes(spark):
     df, *_ = _data(spark)
     two = df.where("g IN ('a', 'b')")
-    a, b = (L.randomization_inference(two, "y", "g", draws=200).first() for _ in range(2))
-    assert 0 < a["p_value"] <= 1 and a == b
+    named = two.withColumn("id", F.concat_ws("|", "x", "y"))
+    a, b = (L.randomization_inference(named.repartition(n), "y", "g", draws=200, key="id").first() for n in (3, 7))
+    assert 0 < a["p_value"] <= 1 and a["p_value"] == b["p_value"] and 0 < L.randomization_inference(two, "y", "g", draws=50).first()["p_value"] <= 1
     assert 0 <= L.posterior_predictive(df, "y", draws=50).first()["p_value"] <= 1
     assert L.conjugate_bayes(df, "y").first()["posterior_sd"] > 0
 
