@@ -33,23 +33,36 @@ def macro_mean(df: DataFrame, outer: Sequence[str], inner: str, value: Column) -
     return m.groupBy(*outer).agg(F.count("m").alias("n_groups"), F.round(F.avg("m"), 6).alias("macro_mean"))
 
 
-def paired(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Full outer pairing: difference a - b and whether both sides have the key."""
+def paired(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, whole: bool = False) -> DataFrame:
+    """Full outer pairing: difference a - b and whether both sides have the key. With `whole`, a key that only
+    one side has is an error when the result is read."""
     x = a.select(*keys, F.col(value).alias("__a"))
     y = b.select(*keys, F.col(value).alias("__b"))
-    return x.join(y, list(keys), "full_outer").select(*keys, (F.col("__a") - F.col("__b")).alias("difference"), (F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("paired"))
+    x, y = x.withColumn("__in_a", F.lit(True)), y.withColumn("__in_b", F.lit(True))
+    j = x.join(y, list(keys), "full_outer")
+    both = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()
+    if whole:
+        both = F.when(both, True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("only one side has"), *[F.col(k).cast("string") for k in keys])).cast("boolean"))
+    return j.select(*keys, (F.col("__a") - F.col("__b")).alias("difference"), (both & F.col("__a").isNotNull() & F.col("__b").isNotNull()).alias("paired"))
 
 
-def paired_bootstrap(df: DataFrame, difference: str, key: str, draws: int = 2000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def paired_bootstrap(df: DataFrame, difference: str, key: str, draws: int = 10_000, seed: int = 0, low: float = 0.025, high: float = 0.975, held: int = 4_000_000) -> DataFrame:
     """Mean difference with a percentile interval. Resamples by Poisson(1) weights per row and draw, made
-    in batches of a hash block: no resample is ever gathered, and equal seeds give equal results."""
+    in batches of a hash block: no resample is ever gathered, and equal seeds give equal results. A task
+    holds `held` weights at once, however large a block is."""
     d = df.where(F.col(difference).isNotNull() & ~F.isnan(F.col(difference))).select(F.col(key).cast("string").alias("k"), F.col(difference).cast("double").alias("d"))
     d = d.withColumn("block", F.pmod(hash_order(seed, "k"), F.lit(4096)).cast("int"))
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["k", "d"])
-        w = np.random.default_rng((seed, int(k[0]))).poisson(1.0, (draws, len(pdf)))
-        return pd.DataFrame({"r": np.arange(draws, dtype="int32"), "s": w @ pdf["d"].to_numpy(), "w": w.sum(1).astype(float)})
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(["k", "d"])["d"].to_numpy()
+        rng, step = np.random.default_rng((seed, int(k[0]))), max(1, held // draws)
+        total, weight = np.zeros(draws), np.zeros(draws)
+        for at in range(0, len(y), step):
+            part = y[at : at + step]
+            w = rng.poisson(1.0, (draws, len(part))).astype(float)
+            total += w @ part
+            weight += w.sum(1)
+        return pd.DataFrame({"r": np.arange(draws, dtype="int32"), "s": total, "w": weight})
 
     sums = d.groupBy("block").applyInPandas(run, "r int, s double, w double").groupBy("r").agg((F.sum("s") / F.sum("w")).alias("m"))
     ci = sums.agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("q"))

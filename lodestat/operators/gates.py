@@ -29,14 +29,46 @@ def check_table(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return counts.select("n", F.explode(pairs).alias("p")).select("p.check_name", F.col("n").alias("n_rows"), "p.n_failed")
 
 
-def role_picks(df: DataFrame, by: Sequence[str], hard: Sequence[Column], easy: Sequence[Column], n_hard: int, n_easy: int) -> DataFrame:
+def role_picks(df: DataFrame, by: Sequence[str], key: str, hard: Sequence[Column], easy: Sequence[Column], n_hard: int, n_easy: int) -> DataFrame:
     """Per group the n first in the hard order are `repair`, of the rest the n first in the easy order
-    `anchor`. Both orders keep only the top of a group, which Spark limits per task before the shuffle."""
+    `anchor`. Both orders keep only the top of a group ahead of the shuffle: the anchors are among the
+    n_hard + n_easy first in the easy order, from which the repairs are taken out."""
     w = Window.partitionBy(*by)
-    d = df.withColumn("__hard", F.row_number().over(w.orderBy(*hard)))
-    repair = d.where(F.col("__hard") <= n_hard).withColumn("role", F.lit("repair"))
-    anchor = d.where(F.col("__hard") > n_hard).withColumn("__easy", F.row_number().over(w.orderBy(*easy))).where(F.col("__easy") <= n_easy).withColumn("role", F.lit("anchor")).drop("__easy")
-    return repair.unionByName(anchor).drop("__hard")
+    top = lambda order, n: df.withColumn("__r", F.row_number().over(w.orderBy(*order))).where(F.col("__r") <= n)
+    repair = top(hard, n_hard).drop("__r")
+    left = top(easy, n_hard + n_easy).join(repair.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti")
+    anchor = left.withColumn("__e", F.row_number().over(w.orderBy("__r"))).where(F.col("__e") <= n_easy).drop("__r", "__e")
+    return repair.withColumn("role", F.lit("repair")).unionByName(anchor.withColumn("role", F.lit("anchor")))
+
+
+def least_over_groups(metrics: DataFrame, *values: str) -> DataFrame:
+    """The worst group of each metric: smallest value, one row."""
+    return metrics.agg(*[F.min(v).alias(v) for v in values])
+
+
+def eligible_best(candidates: DataFrame, gates: Mapping[str, Column], order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """Of the candidates that pass all gates the first in the order, per group (`by`) or over all; all candidates
+    come out, with the gates they failed and `chosen`. A null gate fails; without an eligible one none is chosen.
+    Candidates are few (a grid, adapters, families), rows are not."""
+    d = gate_vector(candidates, gates)
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("passed"), *order)
+    return d.withColumn("chosen", F.col("passed") & (F.row_number().over(w) == 1)).drop(*gates)
+
+
+def guard_grid(df: DataFrame, truth: Column, score: Column, by: Sequence[str], grid: Sequence[float]) -> DataFrame:
+    """(threshold, sensitivity, specificity, min_sensitivity, min_specificity): pooled and in the worst group, for a
+    guard that fires from a threshold on. One pass per group with a column per threshold."""
+    d = df.select(*by, truth.alias("t"), score.alias("s")).where("t IS NOT NULL AND s IS NOT NULL")
+    hits = [F.count(F.when(F.col("t") & (F.col("s") >= g), 1)).alias(f"h{i}") for i, g in enumerate(grid)]
+    quiet = [F.count(F.when(~F.col("t") & (F.col("s") < g), 1)).alias(f"q{i}") for i, g in enumerate(grid)]
+    per = d.groupBy(*by).agg(F.count(F.when(F.col("t"), 1)).alias("p"), F.count(F.when(~F.col("t"), 1)).alias("n"), *hits, *quiet)
+    line = lambda i, g: F.struct(F.lit(float(g)).alias("threshold"), F.col(f"h{i}").alias("h"), F.col(f"q{i}").alias("q"))
+    long = per.select("p", "n", F.explode(F.array(*[line(i, g) for i, g in enumerate(grid)])).alias("x")).select("p", "n", "x.*")
+    rate = lambda a, b: F.when(b > 0, a / b)
+    return long.groupBy("threshold").agg(
+        F.round(F.sum("h") / F.sum("p"), 6).alias("sensitivity"), F.round(F.sum("q") / F.sum("n"), 6).alias("specificity"),
+        F.round(F.min(rate(F.col("h"), F.col("p"))), 6).alias("min_sensitivity"), F.round(F.min(rate(F.col("q"), F.col("n"))), 6).alias("min_specificity"),
+    )
 
 
 def hash_picks(df: DataFrame, by: Sequence[str], key: str, k: int, seed: int = 0) -> DataFrame:

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,13 +111,136 @@ def _normal(seed: int, keys: Sequence[str]) -> Column:
     return F.sqrt(-2 * F.log(u("radius"))) * F.cos(2 * F.pi() * u("angle"))
 
 
+def _ranges(ranges: Mapping[str, Mapping[str, float]]) -> Column:
+    return F.create_map(*[x for f, r in ranges.items() for x in (F.lit(f), F.create_map(*[y for k, v in r.items() for y in (F.lit(k), F.lit(float(v)))]))])
+
+
+def nearest(points: DataFrame, refs: DataFrame, family: str, key: str, parameters: str, ranges: Mapping[str, Mapping[str, float]], largest: bool = False, blocks: int = 64) -> DataFrame:
+    """(key, novelty, nearest): least normalised distance of each point to the other references of its family, and
+    the reference there (ties: smallest key): root mean square over the parameters, or with `largest` the largest
+    difference. A parameter one side lacks counts as a whole range.
+
+    A stated set of points is held against all references, in `blocks` of these by hash, so a family with a
+    third of all references is worked by all tasks; only the best of a block goes on."""
+    a = points.select(F.col(family).alias("f"), F.col(key).alias("key"), F.col(parameters).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    b = refs.select(F.col(family).alias("f"), F.col(key).alias("ref"), F.col(parameters).alias("q"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    d = a.join(b, ["f", "block"]).where("key != ref").withColumn("r", _ranges(ranges)[F.col("f")])
+    gap = F.transform(F.map_keys("r"), lambda k: F.coalesce(F.abs(F.try_element_at("p", k) - F.try_element_at("q", k)) / F.col("r")[k], F.lit(1.0)))
+    dist = F.array_max(gap) if largest else F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x) / F.size("r"))
+    best = F.min(F.struct(dist.alias("novelty"), F.col("ref").alias("nearest")))
+    per = d.groupBy("key", "block").agg(best.alias("m"))
+    return per.groupBy("key").agg(F.min("m").alias("m")).select("key", "m.novelty", "m.nearest")
+
+
 def novelty(points: DataFrame, refs: DataFrame, family: str, key: str, parameters: str, ranges: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """Least normalised root-mean-square distance of each point to the references of its family. The
-    references are a set of bounded size, checked by the caller."""
-    table = F.create_map(*[x for f, r in ranges.items() for x in (F.lit(f), F.create_map(*[y for k, v in r.items() for y in (F.lit(k), F.lit(float(v)))]))])
-    a = points.select(F.col(family).alias("f"), F.col(key).alias("key"), F.col(parameters).alias("p"))
-    b = refs.select(F.col(family).alias("f"), F.col(parameters).alias("q"))
-    d = a.join(b, "f").withColumn("r", table[F.col("f")])
-    parts = F.transform(F.map_keys("r"), lambda k: F.pow((F.try_element_at("p", k) - F.try_element_at("q", k)) / F.col("r")[k], 2))
-    dist = F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(1.0))) / F.size("r"))
-    return d.groupBy("key").agg(F.min(dist).alias("novelty"))
+    """(key, novelty): least root-mean-square distance to the other references of the family."""
+    return nearest(points, refs, family, key, parameters, ranges).select("key", "novelty")
+
+
+def raw_regret(m: Callable[[str], Column]) -> Column:
+    """Of metrics by name (type1_error, coverage, invalidity, bias, rmse, calibration_error, power, cost). Validity goes
+    first: from .25 on a method is worse than any valid one. All numbers are fixed values."""
+    over = lambda x, scale: F.greatest(F.lit(0.0), x) / scale
+    invalid = F.greatest(m("invalidity"), over(m("type1_error") - 0.06, 0.19), over(0.90 - m("coverage"), 0.35))
+    part = lambda x, most, weight: weight * F.least(x, F.lit(most)) / most
+    error = part(F.abs(m("bias")), 1.0, 0.42) + part(m("rmse"), 1.5, 0.34) + part(m("calibration_error"), 0.5, 0.24)
+    return F.when(invalid >= 0.25, 2.0 + invalid + 0.10 * error + 0.02 * m("cost")).otherwise(error + 0.18 * (1.0 - m("power")) + 0.05 * m("cost"))
+
+
+def learning_signal(parent: Column, candidate: Column) -> Column:
+    """A half plus a quarter of the squashed relative gain over the parent's regret (fixed values)."""
+    gain = (parent - candidate) / F.greatest(F.lit(0.05), parent)
+    return 0.5 + 0.25 * F.tanh(gain / 0.25)
+
+
+def frontier_reward(regret: Column, target: float, sigma: float, *more: Column) -> Column:
+    """Bell around a target regret, times further factors."""
+    out = F.exp(-((regret - target) ** 2) / (2.0 * sigma * sigma))
+    for m in more:
+        out = out * m
+    return out
+
+
+def relative_improvement(before: Column, after: Column) -> Column:
+    """(before - after) / before, 0 where before is 0."""
+    return F.when(before != 0, (before - after) / before).otherwise(0.0)
+
+
+def excess_loss(student: Column, teacher: Column) -> Column:
+    """Of two arrays of token losses: a struct of the mean losses, the mean difference, the mean of its positive part
+    (mass), the share of tokens above, and utility = mass / (1 + teacher) + .02 * student (fixed values).
+    Arrays of unequal length or without tokens give null."""
+    n = F.size(student)
+    delta = F.zip_with(student, teacher, lambda s, t: s - t)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / n
+    mass, s, t = mean(F.transform(delta, lambda x: F.greatest(x, F.lit(0.0)))), mean(student), mean(teacher)
+    share = F.size(F.filter(delta, lambda x: x > 0)) / n
+    made = F.struct(s.alias("student"), t.alias("teacher"), mean(delta).alias("mean_excess"), mass.alias("mass"), share.alias("positive_share"), (mass / (1 + t) + 0.02 * s).alias("utility"))
+    return F.when((n > 0) & (n == F.size(teacher)), made)
+
+
+def triggered_target(df: DataFrame, keys: Sequence[str], parent: str, oracle: str, regret: str, valid: str, role: str, threshold: float, floor: float, ceiling: float, invalid_pull: float) -> DataFrame:
+    """Parent probabilities drawn to the oracle's where the role is `repair` and the oracle expects less regret. The pull
+    rises from floor to ceiling between the threshold and regret 1 of the parent's expected regret; it is at
+    least invalid_pull where the parent's most probable candidate (first by method) is invalid, and never
+    above the ceiling. Anchors keep the parent. Adds `pull` and `target`; one line per key and `method`."""
+    w = _over(*keys)
+    total = lambda c: F.sum(c).over(w)
+    p, q = F.col(parent) / total(F.col(parent)), F.col(oracle) / total(F.col(oracle))
+    d = df.withColumns({"__p": p, "__q": q})
+    mine, best = total(F.col("__p") * F.col(regret)), total(F.col("__q") * F.col(regret))
+    top = F.first(valid).over(w.orderBy(F.desc("__p"), "method").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    progress = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mine - threshold) / (1 - threshold)))
+    pull = floor + (ceiling - floor) * progress
+    pull = F.least(F.lit(ceiling), F.when(~top, F.greatest(pull, F.lit(invalid_pull))).otherwise(pull))
+    d = d.withColumn("pull", F.when((F.col(role) == "repair") & (best < mine - 1e-12), pull).otherwise(0.0))
+    return d.withColumn("target", (1 - F.col("pull")) * F.col("__p") + F.col("pull") * F.col("__q")).drop("__p", "__q")
+
+
+def kept_if_no_worse(df: DataFrame, keys: Sequence[str], parent: str, target: str, regret: str, slack: float = 1e-10) -> DataFrame:
+    """Per key the target, or the parent where the target's expected regret is larger by more than the slack; adds
+    `taken` and the probability `kept`."""
+    w = _over(*keys)
+    taken = F.sum(F.col(target) * F.col(regret)).over(w) <= F.sum(F.col(parent) * F.col(regret)).over(w) + slack
+    return df.withColumn("taken", taken).withColumn("kept", F.when(F.col("taken"), F.col(target)).otherwise(F.col(parent)))
+
+
+def trigger_summary(df: DataFrame, group: str, view: str, family: str, expected: str, invalid: str, views: int = 4) -> DataFrame:
+    """(group, n_views, n_families, most_expected, any_invalid, complete): complete groups have exactly `views`
+    different views, each once, of one family."""
+    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(view).alias("n_views"), F.countDistinct(family).alias("n_families"), F.max(expected).alias("most_expected"), F.max(F.col(invalid)).alias("any_invalid"))
+    return g.withColumn("complete", (F.col("n_rows") == views) & (F.col("n_views") == views) & (F.col("n_families") == 1)).drop("n_rows")
+
+
+def arms(df: DataFrame, target_of: Mapping[str, Column], regret: str, keys: Sequence[str], weight: str) -> DataFrame:
+    """Every record under every arm: its target, the expected regret of that target, and the weight. Few arms."""
+    per = F.array(*[F.struct(F.lit(a).alias("arm"), t.cast("double").alias("target")) for a, t in target_of.items()])
+    d = df.withColumn("__a", F.explode(per)).select(*df.columns, "__a.arm", "__a.target")
+    return d.withColumn("expected_regret", F.sum(F.col("target") * F.col(regret)).over(_over(*keys, "arm"))).withColumn("arm_weight", F.col(weight))
+
+
+def regret_vector(ids: Column, regrets: Column, clarify: str = "needs_clarification") -> Column:
+    """Regrets in the order of a menu; the request for clarification costs 1, a candidate without one null."""
+    return F.transform(ids, lambda i: F.when(i == clarify, 1.0).otherwise(F.try_element_at(regrets, i)))
+
+
+#: Points of a parameter's range that a level pushes to (the main key, a second one), and of the
+#: sample's size, from above.
+BOUNDARY = {1: (0.82, 0.82, 0.20), 2: (0.96, 0.82, 0.08)}
+
+
+def boundary(parameters: Column, low: Column, high: Column, whole: Column, level: int, key: Column, second: Column, low_risk: Sequence[str], size: Column) -> Column:
+    """A point moved to the boundary of what a family assumes: the main key, and the second where there is one, to
+    high points of their ranges (to low ones for parameters of which low values are the risk), the size of
+    the sample to a low one. Whole numbers are rounded, at least 2. Other parameters stay."""
+    main, other, small = BOUNDARY[level]
+
+    def push(k: Column, v: Column) -> Column:
+        lo, hi = F.try_element_at(low, k), F.try_element_at(high, k)
+        at = F.when(k == size, 1 - small).when(k == second, other).when(k == key, main)
+        at = F.when(k.isin(list(low_risk)), 1 - at).otherwise(at)
+        new = lo + at * (hi - lo)
+        new = F.when(F.coalesce(F.try_element_at(whole, k), F.lit(False)), F.greatest(F.round(new), F.lit(2.0))).otherwise(new)
+        return F.when(at.isNull() | lo.isNull(), v).otherwise(new)
+
+    return F.transform_values(parameters, push)

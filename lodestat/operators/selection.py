@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestat.functions.dist import norm_ppf
 from lodestat.operators.ordering import hash_order
@@ -21,8 +24,8 @@ def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
 
 
 def temperature_choice(df: DataFrame, score: str, correct: Column, grid: Sequence[float]) -> DataFrame:
-    """(temperature, nll, n): mean negative log-likelihood of a two-sided score logit / T per temperature,
-    in one pass with a column per temperature; the best is the smallest (nll, temperature)."""
+    """(temperature, nll, accuracy, n, chosen): mean negative log-likelihood of a two-sided score logit / T per
+    temperature, in one pass with a column per temperature; chosen is the least (nll, -accuracy, temperature)."""
     p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col(score)))
     z = F.log(p / (1 - p))
     hit = correct.cast("double")
@@ -30,9 +33,11 @@ def temperature_choice(df: DataFrame, score: str, correct: Column, grid: Sequenc
     for i, t in enumerate(grid):
         q = 1 / (1 + F.exp(-z / t))
         cols.append(F.avg(-(hit * F.log(F.greatest(q, F.lit(1e-300))) + (1 - hit) * F.log(F.greatest(1 - q, F.lit(1e-300))))).alias(f"t{i}"))
-    row = df.where(F.col(score).isNotNull() & hit.isNotNull()).agg(F.count(F.lit(1)).alias("n"), *cols)
-    pairs = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.round(f"t{i}", 6).alias("nll")) for i, t in enumerate(grid)])
-    return row.select("n", F.explode(pairs).alias("p")).select("p.temperature", "p.nll", "n")
+    right = F.avg(((F.col(score) >= 0.5) == (hit == 1)).cast("double")).alias("accuracy")
+    row = df.where(F.col(score).isNotNull() & hit.isNotNull()).agg(F.count(F.lit(1)).alias("n"), right, *cols)
+    pairs = F.array(*[F.struct(F.round(f"t{i}", 6).alias("nll"), F.lit(float(t)).alias("temperature")) for i, t in enumerate(grid)])
+    rows = row.select("n", F.round("accuracy", 6).alias("accuracy"), F.array_min(pairs).alias("best"), F.explode(pairs).alias("p"))
+    return rows.select("p.temperature", "p.nll", "accuracy", "n", (F.col("p") == F.col("best")).alias("chosen"))
 
 
 def complete_groups(df: DataFrame, group: str, slot: str, slots: Sequence[str]) -> DataFrame:
@@ -68,25 +73,68 @@ def menu(candidates: Column, key: Column, seed: int = 0, clarify: str = "needs_c
     return F.when(F.size(all_) <= most, F.transform(mixed, lambda s, i: F.struct(F.char(i + 65).alias("label"), s["m"].alias("method"))))
 
 
-def mutated(parameters: Column, key: Column, low: Column, high: Column, whole: Column, seed: int = 0) -> Column:
-    """Every parameter moved by 4 to 18 % of its range, up or down, clipped; whole numbers stay whole.
-    low, high, whole: maps by parameter name. Names without bounds stay as they are."""
-    u = lambda tag, k: hash_order(seed, F.lit(tag), key, k).cast("double") / float(1 << 63)
+def mutated(parameters: Column, key: Column, low: Column, high: Column, whole: Column, seed: int = 0, two: float = 0.35) -> Column:
+    """One parameter, or with probability `two` two of them, moved by 4 to 18 % of its range, up or down, clipped;
+    whole numbers stay whole and at least 2. Which ones, by hash. low, high, whole: maps by parameter name;
+    names without bounds stay as they are."""
+    u = lambda tag, *k: hash_order(seed, F.lit(tag), key, *k).cast("double") / float(1 << 63)
+    bounded = F.filter(F.map_keys(parameters), lambda k: F.try_element_at(low, k).isNotNull() & F.try_element_at(parameters, k).isNotNull())
+    order = F.array_sort(F.transform(bounded, lambda k: F.struct(hash_order(seed, F.lit("which"), key, k).alias("h"), k.alias("k"))))
+    chosen = F.transform(F.slice(order, 1, F.when(u("two") < two, 2).otherwise(1)), lambda s: s["k"])
 
     def move(k: Column, v: Column) -> Column:
         lo, hi = F.try_element_at(low, k), F.try_element_at(high, k)
         step = (0.04 + 0.14 * u("size", k)) * F.when(u("sign", k) < 0.5, -1.0).otherwise(1.0) * (hi - lo)
         new = F.greatest(lo, F.least(hi, v + step))
-        return F.when(lo.isNull(), v).when(F.try_element_at(whole, k), F.round(new)).otherwise(F.round(new, 6))
+        new = F.when(F.coalesce(F.try_element_at(whole, k), F.lit(False)), F.greatest(F.round(new), F.lit(2.0))).otherwise(new)
+        return F.when(F.array_contains(chosen, k), new).otherwise(v)
 
     return F.transform_values(parameters, move)
 
 
-def capped_picks(df: DataFrame, family: str, method: str, key: str, reward: str, family_cap: int, method_cap: int) -> DataFrame:
-    """Best rows by (reward, key) with at most family_cap per family and method_cap per method inside it."""
+def capped_picks(df: DataFrame, family: str, method: str, key: str, reward: str, count: int, family_cap: int | None = None, method_cap: int | None = None) -> DataFrame:
+    """`count` rows: first, in the order of the families' names, the best row of each by (reward, key) whose method
+    is not at its cap; then the best of all, with at most family_cap per family and method_cap per method
+    over the whole selection. Adds `rank`, the order of the picks.
+
+    A row can only be taken if fewer than the smaller cap of rows of its family and method are better, so
+    what is left of each such cell, at most that many rows, goes through one task: families x methods x cap
+    rows, whatever the table's size."""
+    if count < 0 or any(c is not None and c <= 0 for c in (family_cap, method_cap)):
+        raise ValueError("count must not be negative, caps must be positive")
+    most = min(count, *(c for c in (family_cap, method_cap) if c is not None)) if family_cap or method_cap else count
     w = Window.partitionBy(family, method).orderBy(F.desc(reward), key)
-    d = df.withColumn("__m", F.row_number().over(w)).where(F.col("__m") <= method_cap)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy(family).orderBy(F.desc(reward), key))).where(F.col("rank") <= family_cap).drop("__m")
+    d = df.withColumn("__m", F.row_number().over(w)).where(F.col("__m") <= most).drop("__m")
+    schema = T.StructType([*d.schema.fields, T.StructField("rank", T.IntegerType())])
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([reward, key], ascending=[False, True], kind="stable").reset_index(drop=True)
+        families, methods = pdf[family].tolist(), pdf[method].tolist()
+        per_family: Counter = Counter()
+        per_method: Counter = Counter()
+        taken: list[int] = []
+
+        def take(i: int) -> bool:
+            full = (family_cap is not None and per_family[families[i]] >= family_cap) or (method_cap is not None and per_method[methods[i]] >= method_cap)
+            if full or len(taken) >= count:
+                return False
+            taken.append(i)
+            per_family[families[i]] += 1
+            per_method[methods[i]] += 1
+            return True
+
+        for f in sorted(set(families), key=str):
+            any(take(i) for i in range(len(families)) if families[i] == f)
+        chosen = set(taken)
+        for i in range(len(families)):
+            if i not in chosen:
+                take(i)
+        out = pdf.loc[taken].copy()
+        out["rank"] = range(1, len(taken) + 1)
+        return out
+
+    columns = d.columns
+    return d.groupBy(F.lit(1).alias("__one")).applyInPandas(lambda pdf: pick(pdf[columns]), schema)
 
 
 def min_norm_weights(gram: np.ndarray, rounds: int = 2000, tol: float = 1e-10) -> np.ndarray:

@@ -175,7 +175,11 @@ def test_menu_and_mutation(spark):
     df = spark.createDataFrame([(1, ["x", "y"], {"n": 10.0, "e": 0.5, "z": 3.0})], "id int, c array<string>, p map<string,double>")
     r = df.select(L.menu(F.col("c"), F.col("id")).alias("m"), L.mutated(F.col("p"), F.col("id"), F.expr("map('n', 2.0d, 'e', 0.0d)"), F.expr("map('n', 100.0d, 'e', 1.0d)"), F.expr("map('n', true, 'e', false)")).alias("q")).first()
     assert [x["label"] for x in r["m"]] == ["A", "B", "C"] and {x["method"] for x in r["m"]} == {"x", "y", "needs_clarification"}
-    assert r["q"]["z"] == 3.0 and r["q"]["n"] == round(r["q"]["n"]) and 0.04 <= abs(r["q"]["e"] - 0.5) <= 0.18
+    assert r["q"]["z"] == 3.0 and r["q"]["n"] == round(r["q"]["n"])
+    many = spark.range(400).select("id", F.expr("map('n', 10.0d, 'e', 0.5d, 'z', 3.0d)").alias("p"))
+    moved = [x[0] for x in many.select(L.mutated(F.col("p"), F.col("id"), F.expr("map('n', 2.0d, 'e', 0.0d)"), F.expr("map('n', 100.0d, 'e', 1.0d)"), F.expr("map('n', true, 'e', false)"))).collect()]
+    both = sum(m["n"] != 10.0 and m["e"] != 0.5 for m in moved)
+    assert all(m["e"] == 0.5 or 0.04 <= abs(m["e"] - 0.5) <= 0.18 for m in moved) and all(m["n"] != 10.0 or m["e"] != 0.5 for m in moved) and 0.25 < both / 400 < 0.45
 
 
 def test_mmr_looks_at_the_whole_group(spark):
@@ -224,6 +228,84 @@ def test_router_query_reads_long_texts_to_the_end(spark, tmp_path):
     assert set(_routed(spark, tmp_path, rows)) == {("odd", "odd"), ("even", "even")}
 
 
+@pytest.mark.parametrize("caps", [(3, 4), (None, 2), (2, None), (None, None)])
+def test_capped_picks_against_the_rule(spark, caps):
+    from lodestat.operators import selection as L
+
+    rng = random.Random(sum(c or 0 for c in caps))
+    rows = [(i, rng.choice("fgh"), rng.choice("mno"), round(rng.random(), 2)) for i in range(60)]
+    got = [r["id"] for r in L.capped_picks(spark.createDataFrame(rows, "id int, f string, m string, r double"), "f", "m", "id", "r", 9, *caps).orderBy("rank").collect()]
+    left, want = sorted(rows, key=lambda r: (-r[3], r[0])), []
+    free = lambda r: all(c is None or sum(w[k] == r[k] for w in want) < c for k, c in zip((1, 2), caps))
+    for f in "fgh":
+        first = next((r for r in left if r[1] == f and free(r)), None)
+        want += [first] if first else []
+    for r in left:
+        if len(want) < 9 and r not in want and free(r):
+            want.append(r)
+    assert got == [r[0] for r in want]
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("fg"), {"a": rng.random(), "b": rng.random() * 10} if i % 9 else {"a": rng.random()}) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, f string, p map<string,double>")
+    w = {"f": {"a": 1.0, "b": 10.0}, "g": {"a": 1.0, "b": 10.0}}
+    for largest in (False, True):
+        got = {r["key"]: (r["novelty"], r["nearest"]) for r in O.nearest(df.where("id < 20"), df, "f", "id", "p", w, largest, 5).collect()}
+        for i, f, p in rows[:20]:
+            far = lambda q: [abs(p[k] - q[k]) / v if k in p and k in q else 1.0 for k, v in w[f].items()]  # noqa: B023, E731
+            d = {j: max(far(q)) if largest else (sum(x * x for x in far(q)) / 2) ** 0.5 for j, g, q in rows if g == f and j != i}
+            assert got[i] == (pytest.approx(min(d.values())), min(d, key=lambda j: (d[j], j)))
+
+
+def test_targets_and_losses(spark):
+    df = spark.createDataFrame([(1, "a", 0.6, 0.1, 0.9, False, "repair"), (1, "b", 0.4, 0.9, 0.1, True, "repair"), (2, "a", 0.6, 0.1, 0.9, False, "anchor"), (2, "b", 0.4, 0.9, 0.1, True, "anchor")], "k int, method string, p double, q double, r double, valid boolean, role string")
+    t = O.triggered_target(df, ["k"], "p", "q", "r", "valid", "role", 0.2, 0.1, 0.5, 0.4).collect()
+    pull = {r["k"]: r["pull"] for r in t}
+    assert pull == {1: pytest.approx(0.4), 2: 0.0}  # the climb gives .1 + .4 * (.58 - .2) / .8 = .29, an invalid choice at least .4
+    assert all(sum(r["target"] for r in t if r["k"] == k) == pytest.approx(1) for k in (1, 2))
+    kept = O.kept_if_no_worse(O.triggered_target(df, ["k"], "p", "q", "r", "valid", "role", 0.2, 0.1, 0.5, 0.4), ["k"], "p", "target", "r")
+    assert all(r["taken"] for r in kept.collect())
+    x = spark.createDataFrame([([2.0, 1.0, 3.0], [1.0, 2.0, 1.0]), ([1.0], [1.0, 2.0]), (None, [1.0])], "s array<double>, t array<double>").select(O.excess_loss(F.col("s"), F.col("t")).alias("e")).collect()
+    assert x[0]["e"]["mass"] == pytest.approx(1.0) and x[0]["e"]["utility"] == pytest.approx(1.0 / (1 + 4 / 3) + 0.04) and x[1]["e"] is None and x[2]["e"] is None
+
+
+def test_text_rules(spark):
+    from lodestat.functions import text as X
+
+    rows = ["What is a median?", "用中位數？", "write a python function", "see ```x```", "the class of patients", "The report is def final", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(X.route(F.col("t"))).collect()] == ["base", "adapter", "adapter", "adapter", "base", "base", "base"]
+    assert {r[0] for r in df.select(X.route(F.col("t"), " Base ")).collect()} == {"base"}
+    with pytest.raises(Exception, match="unknown route"):
+        df.select(X.route(F.col("t"), "elsewhere")).collect()
+    assert [r[0] for r in df.select(X.statistics_route(F.concat(F.col("t"), F.lit(" regression")), F.lit(0))).collect()][:2] == ["stats", "stats"]
+    assert df.select(X.statistics_route(F.lit("hi"), F.lit(2))).first()[0] == "stats" and df.select(X.statistics_route(F.lit("hi"), F.lit(0), "adapter")).first()[0] == "stats"
+    m = spark.createDataFrame([("a $$y=2$$ then $x = 1$ and \\(z=3\\) `k` ```c\nd``` 5",), ("plain",), ("",)], "t string")
+    text, spans = X.protect(F.col("t"), "q")
+    p = m.select("t", text.alias("p"), spans.alias("s"))
+    got = p.select("t", "p", "s", X.restored(F.col("p"), F.col("s"), "q").alias("back"), X.restored(F.regexp_replace("p", "<CA_q_0001>", ""), F.col("s"), "q").alias("lost")).collect()
+    assert all(r["back"] == r["t"] for r in got) and got[0]["lost"] is None and got[1]["lost"] == "plain" and len(got[0]["s"]) == 5 and "$" not in got[0]["p"]
+    assert m.select(X.formulas(F.col("t"))).first()[0] == ["y=2", "x=1", "z=3"]
+    v = spark.createDataFrame([([0, 3, 7, 7], [3, 7, 7, 9])], "a array<int>, b array<int>")
+    assert v.select(X.interval_mask(F.col("a"), F.col("b"), F.lit(2), F.lit(7))).first()[0] == [True, True, False, False]
+    assert [r[0] for r in spark.createDataFrame([(1,), (33,), (500,)], "n int").select(X.padding_bucket(F.col("n"), [64, 32])).collect()] == [32, 64, None]
+    assert df.select(X.strip_label(F.lit("Problem 3. What?"))).first()[0] == "What?" and df.select(X.strip_label(F.lit("3 apples"))).first()[0] == "3 apples"
+
+
+def test_guards_and_choices(spark):
+    from lodestat.operators import gates as G
+
+    df = spark.createDataFrame([("x", i % 2 == 0, i / 20) for i in range(20)] + [("y", True, 0.9), ("y", False, 0.2)], "g string, t boolean, s double")
+    grid = {r["threshold"]: r for r in G.guard_grid(df, F.col("t"), F.col("s"), ["g"], [0.1, 0.5, 0.95]).collect()}
+    assert grid[0.5]["min_sensitivity"] == 0.5 and grid[0.95]["min_sensitivity"] == 0.0 and grid[0.1]["sensitivity"] == round(10 / 11, 6)
+    best = G.eligible_best(G.guard_grid(df, F.col("t"), F.col("s"), ["g"], [0.1, 0.5, 0.95]), {"quiet": F.col("specificity") >= 0.4}, [F.desc("sensitivity"), F.col("threshold")]).collect()
+    assert {r["threshold"]: (r["passed"], r["chosen"]) for r in best} == {0.1: (False, False), 0.5: (True, True), 0.95: (True, False)}
+    with pytest.raises(Exception, match="only one side"):
+        E.paired(df.select("g", "s").distinct(), df.where("g = 'x'").select("g", "s").distinct(), ["g"], "s", whole=True).collect()
+
+
 def test_menu_loses_no_option(spark):
     from lodestat.operators import selection as L
 
