@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,10 +56,17 @@ def quotas(total: int, parts: Sequence[tuple[str, int]]) -> dict[str, int]:
     return {parts[0][0]: total - sum(rest.values())} | rest
 
 
+def digest_order(seed: int, *cols: Column | str) -> Column:
+    """A stable order key from the digest of seed and columns (joined by colons): 60 bits, as a non-negative
+    63-bit number, so that running totals can slice it. The same anywhere sha256 is."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in cols]
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in parts])
+    return F.shiftleft(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint"), 3)
+
+
 def split_quota(df: DataFrame, groups: Sequence[str], key: str, split: str, quota: dict[str, int], seed: int = 0) -> DataFrame:
     """The first rows of each group and split by digest order, up to the split's quota."""
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
-    d = group_rank(df.withColumn("__h", order), [*groups, split], "__h", "position", tie=[key])
+    d = group_rank(df.withColumn("__h", digest_order(seed, key)), [*groups, split], "__h", "position", tie=[key])
     limit = F.lit(None).cast("int")
     for name, n in quota.items():
         limit = F.when(F.col(split) == name, n).otherwise(limit)
@@ -71,9 +78,70 @@ def stable_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.withColumn("order_hash", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)).orderBy("order_hash", key).limit(n)
 
 
+def digest_sorted(df: DataFrame, seed: int, cols: Sequence[str], tie: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in the order of a digest of seed and columns, with their place: the order of a final mix,
+    read from its front."""
+    d = df.withColumn("__h", F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]), 256)).orderBy("__h", *tie).limit(n)
+    return d.withColumn("place", F.row_number().over(Window.orderBy("__h", *tie))).drop("__h")
+
+
+def allocate_disjoint(ids: DataFrame, used: DataFrame, key: str, parts: Sequence[tuple[str, int]], seed: int) -> DataFrame:
+    """(key, part, place): ids not used yet, in digest order, the first count to the first part and so on."""
+    d = digest_sorted(ids.join(used, key, "left_anti"), seed, [key], [key], sum(n for _, n in parts))
+    part, upto = F.lit(None).cast("string"), sum(n for _, n in parts)
+    for name, n in reversed(parts):
+        part = F.when(F.col("place") <= upto, name).otherwise(part)
+        upto -= n
+    return d.select(key, part.alias("part"), "place")
+
+
+def tiered(df: DataFrame, tier: str, key: str, seed: int) -> DataFrame:
+    """Adds `place`: higher tiers first, digest order inside. Tiers are few; inside them ranks go over slices."""
+    d = group_rank(df.withColumn("__h", digest_order(seed, key)), [tier], "__h", "__r", tie=[key])
+    n = df.groupBy(F.col(tier).alias("__t")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, -1)
+    base = n.select("__t", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__b"))
+    return d.join(base, F.col(tier) == F.col("__t")).withColumn("place", F.col("__b") + F.col("__r")).drop("__h", "__r", "__t", "__b")
+
+
+def interleaved(df: DataFrame, fresh: Column, key: str, every: int, seed: int) -> DataFrame:
+    """(key, fresh, place): `every` fresh rows, one other, and so on, each kind in digest order; when one kind is used
+    up the other goes on alone. Places are counted, not sorted: a row's place is its rank plus how many of the
+    other kind come before it."""
+    d = group_rank(df.select(key, fresh.alias("fresh")).withColumn("__h", digest_order(seed, key)), ["fresh"], "__h", "__r", tie=[key])
+    n = df.agg(F.count(F.when(fresh, 1)).alias("__f"), F.count(F.when(~fresh, 1)).alias("__o"))
+    d = d.crossJoin(F.broadcast(n))
+    before = F.when(F.col("fresh"), F.least(F.floor((F.col("__r") - 1) / every), F.col("__o"))).otherwise(F.least(F.col("__r") * every, F.col("__f")))
+    return d.select(key, "fresh", (F.col("__r") + before).cast("bigint").alias("place"))
+
+
+def compensation(own: DataFrame, other: DataFrame, category: str, tokens: str, ratio: float, shares: Mapping[str, float]) -> DataFrame:
+    """Per category (wanted, available, scale, budget): what `own` has to give so that it makes up `ratio` of all tokens
+    with the categories in the given shares. Deficits are scaled by one factor, at most 1, that the scarcest
+    category allows. One line per category."""
+    want = other.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{category} string, __share double")
+    total = other.agg(F.round(F.coalesce(F.sum(tokens), F.lit(0)) / (1.0 - ratio)).alias("__total"))
+    there = other.groupBy(category).agg(F.sum(tokens).alias("__there"))
+    have = own.groupBy(category).agg(F.sum(tokens).alias("__have"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    d = want.crossJoin(total).join(there, category, "left").join(have, category, "left")
+    d = d.withColumns({"wanted": F.greatest(F.lit(0), F.round(F.col("__total") * F.col("__share")) - zero("__there")).cast("bigint"), "available": zero("__have").cast("bigint")})
+    scale = F.least(F.lit(1.0), F.min(F.when(F.col("wanted") > 0, F.col("available") / F.col("wanted"))).over(Window.partitionBy(F.lit(1))))
+    d = d.withColumn("__scale", scale)
+    return d.select(category, "wanted", "available", F.round("__scale", 6).alias("scale"), F.round(F.col("wanted") * F.col("__scale")).cast("bigint").alias("budget"))
+
+
+def least_budget(df: DataFrame, slice_: str, by: Sequence[str], tokens: str) -> DataFrame:
+    """Per group the smallest total over all slices (0 where a slice has nothing there), and how many slices it has."""
+    per = df.groupBy(*by, slice_).agg(F.sum(tokens).alias("n"))
+    k = df.agg(F.countDistinct(slice_).alias("__k"))
+    g = per.groupBy(*by).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("n_slices"))
+    return g.crossJoin(k).select(*by, F.when(F.col("n_slices") == F.col("__k"), F.col("least")).otherwise(0).cast("bigint").alias("budget"), "n_slices")
+
+
 def round_robin(df: DataFrame, strata: Sequence[str], key: str, seed: int = 0) -> DataFrame:
     """Adds the turn of each row in its stratum: turn 1 of all strata first, then turn 2, and so on."""
-    d = df.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1))
+    d = df.withColumn("__h", digest_order(seed, key))
     return group_rank(d, strata, "__h", "turn", tie=[key]).drop("__h")
 
 
@@ -102,7 +170,7 @@ def budget_trim(df: DataFrame, groups: Sequence[str], key: str, tokens: str, bud
     whole; the next `pool` rows of a group behind these go through one task; of what follows only rows
     not larger than the budget left go on. So a task holds `pool` rows of a group, whatever its size."""
     d = df.select(*groups, key, F.col(tokens).cast("bigint").alias("__n"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_index"))
-    d = d.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)).withColumn("__slice", F.floor(F.col("__h") / 2**53).cast("int") + F.col("repeat_index") * 1024)
+    d = d.withColumn("__h", digest_order(seed, key)).withColumn("__slice", F.floor(F.col("__h") / 2**53).cast("int") + F.col("repeat_index") * 1024)
     kept = None
     cols = [*groups, key, "repeat_index", F.col("__n").alias("tokens")]
     same = lambda a, b: _all_equal(a, b, groups)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions.dist import norm_ppf
-from lodestat.operators.ordering import hash_order
+from lodestat.operators.ordering import hash_order, running_totals, value_slices
+from lodestat.operators.skew import salted_join
+from lodestat.session import cut
 
 
 def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -23,6 +25,26 @@ def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
+def admitted(df: DataFrame, key: str, early: Sequence[tuple[str, Column]], cell: Sequence[str], quota: int, digest: str, benchmark: DataFrame, late: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Adds `reason`: the first of the early rules that holds; `quota` beyond the first rows, by key, of a cell among those
+    left; `duplicate` behind the first row with the same digest; `benchmark_overlap` where the benchmark has it; the
+    first late rule; else `admitted`. `benchmark` has one column of distinct digests, named as in df.
+
+    Quota is counted before copies are taken out, as rows are met one by one. Places in a cell and among copies
+    come from running counts over slices of the keys, so neither is sorted in one task."""
+    d = df.withColumn("__early", first_reason(early))
+    free = F.when(F.col("__early").isNull(), 1).otherwise(0)
+    d, at = value_slices(d, key)
+    d = running_totals(d, list(cell), key, {"__place": free}, slice_of=at)
+    inside = F.col("__early").isNull() & (F.col("__place") <= quota)
+    d, at = value_slices(d.withColumn("__inside", inside), key)
+    d = running_totals(d, [digest], key, {"__copy": F.when(F.col("__inside"), 1).otherwise(0)}, slice_of=at)
+    known = benchmark.withColumn("__known", F.lit(True))
+    d = salted_join(cut(d), known, [digest], F.col(key), "left")
+    rest = [("quota", ~F.col("__inside")), ("duplicate", F.col("__copy") > 1), ("benchmark_overlap", F.col("__known")), *late]
+    return d.withColumn("reason", F.coalesce("__early", first_reason(rest), F.lit("admitted"))).drop("__early", "__place", "__inside", "__copy", "__known")
+
+
 def temperature_choice(df: DataFrame, score: str, correct: Column, grid: Sequence[float]) -> DataFrame:
     """(temperature, nll, accuracy, n, chosen): mean negative log-likelihood of a two-sided score logit / T per
     temperature, in one pass with a column per temperature; chosen is the least (nll, -accuracy, temperature)."""

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestat.operators.profile import profile
 from lodestat.plans.procedures import CATALOGUE, Request, missing_roles
@@ -76,6 +77,13 @@ def mentioned(cols: Sequence[Column], question: str) -> list[Column]:
     return [c for _, _, c in sorted(hits, key=lambda h: h[:2])]
 
 
+def owners(names: DataFrame, column: str, file: str) -> DataFrame:
+    """(column, file, n_files): the file of each column name, null where several files have it, as a role may not
+    rest on such a name."""
+    g = names.select(column, file).distinct().groupBy(column).agg(F.count(F.lit(1)).alias("n_files"), F.min(file).alias("one"))
+    return g.select(column, F.when(F.col("n_files") == 1, F.col("one")).alias(file), "n_files")
+
+
 def null_probability(question: str) -> float | None:
     m = re.search(r"(\d+(?:\.\d+)?)\s*[%％]|百分之\s*(\d+(?:\.\d+)?)", question)
     if m and m.group(2):

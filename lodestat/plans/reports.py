@@ -59,11 +59,11 @@ def candidates(nodes: DataFrame) -> DataFrame:
     d = _rows(nodes, [_CAND, f"{_CAND}[]"], _METRICS).where("kind = 'object'")
     # an entry of a candidate array hangs on the array node, that on the cycle
     arrays = nodes.where((F.col("path") == _CAND) & (F.col("kind") == "array")).select("report_id", F.col("node").alias("array_node"), F.col("parent_node").alias("array_parent"))
-    c = cycles(nodes).select("report_id", "cycle_node", "cycle")
+    c = cycles(nodes).select("report_id", "cycle_node", "cycle_pos", "cycle")
     up = arrays.select("report_id", F.col("array_node").alias("parent_node"), "array_parent")
     d = d.join(up, ["report_id", "parent_node"], "left").withColumn("cycle_node", F.coalesce("array_parent", "parent_node"))
     numeric = F.col("normalized_regret_kind").isin("number", "string")
-    return d.join(c, ["report_id", "cycle_node"]).select("report_id", "cycle_node", "cycle", F.col("node").alias("candidate_node"), "pos", F.when(numeric, _number("normalized_regret")).alias("normalized_regret"), *[_number(m).alias(m) for m in ("accuracy", "invalid_selection_rate")], "checkpoint")
+    return d.join(c, ["report_id", "cycle_node"]).select("report_id", "cycle_node", "cycle_pos", "cycle", F.col("node").alias("candidate_node"), "pos", F.when(numeric, _number("normalized_regret")).alias("normalized_regret"), *[_number(m).alias(m) for m in ("accuracy", "invalid_selection_rate")], "checkpoint")
 
 
 def surfaces(nodes: DataFrame) -> DataFrame:

@@ -157,6 +157,27 @@ def logistic_glm(s: SparkSession, d: str) -> DataFrame:
     return rounded(M.logistic_glm(_binary(s, d), "valid", ["regret", "domain"]), 5)
 
 
+def logistic_regret(s: SparkSession, d: str) -> DataFrame:
+    """One predictor: SQL can follow the Newton steps."""
+    return rounded(M.logistic_glm(_binary(s, d), "valid", ["regret"]).select("term", "estimate", "std_error", "statistic", "p_value"), 5)
+
+
+def poisson_regret(s: SparkSession, d: str) -> DataFrame:
+    return rounded(M.poisson_glm(_user_counts(s, d), "n", ["mean_value"]).select("term", "estimate", "std_error", "statistic", "p_value"), 5)
+
+
+def logrank_two(s: SparkSession, d: str) -> DataFrame:
+    """Users who came by a click against all others."""
+    x = _survival(s, d).withColumn("by_click", F.coalesce(F.col("first_type") == "click", F.lit(False)).cast("string"))
+    return rounded(L.logrank(x, "hours", "event", "by_click"))
+
+
+def ancova_flag(s: SparkSession, d: str) -> DataFrame:
+    """Adjusted difference of two groups with one covariate."""
+    x = _two_flags(s, d, "l_extendedprice", "l_quantity").withColumn("g", (F.col("l_returnflag") == "R").cast("int"))
+    return rounded(M.ols(x, "l_extendedprice", ["g", "l_quantity"], "hc3").select("term", "estimate", "std_error"), 3)
+
+
 def probit_glm(s: SparkSession, d: str) -> DataFrame:
     return rounded(M.probit_glm(_binary(s, d), "valid", ["regret", "domain"]), 5)
 
@@ -240,7 +261,7 @@ def blocked_time_series_cv(s: SparkSession, d: str) -> DataFrame:
     return rounded(L.blocked_time_series_cv(table(s, d, "orders").select("o_orderdate", "o_totalprice", "o_custkey", "o_orderkey"), "o_orderdate", "o_totalprice", ["o_custkey"], tie=["o_orderkey"]), 4)
 
 
-_ALL = [welch_t, independent_t, difference_in_means, paired_t, wilcoxon_signed_rank, mann_whitney, kruskal_wallis, spearman_correlation, chi_square, two_proportion, fisher_exact, binomial_test, contingency_table, mid_ranks, profile_columns, profile_predictions, duplicate_rows, row_filter_recode, ols, hc3_ols, ancova, regression_f_test, iv_2sls, huber_regression, logistic_glm, probit_glm, firth_logistic, poisson_glm, negative_binomial_glm, tobit_regression, gee, mixed_effects, logrank, cox_ph, conjugate_bayes, posterior_predictive, randomization_inference, ipw, multiple_imputation, calibrated_logistic, calibration_curve, stratified_folds, brier_auc, calibration_bins, blocked_time_series_cv]
+_ALL = [welch_t, independent_t, difference_in_means, paired_t, wilcoxon_signed_rank, mann_whitney, kruskal_wallis, spearman_correlation, chi_square, two_proportion, fisher_exact, binomial_test, contingency_table, mid_ranks, profile_columns, profile_predictions, duplicate_rows, row_filter_recode, ols, hc3_ols, ancova, regression_f_test, iv_2sls, huber_regression, logistic_glm, logistic_regret, poisson_regret, logrank_two, ancova_flag, probit_glm, firth_logistic, poisson_glm, negative_binomial_glm, tobit_regression, gee, mixed_effects, logrank, cox_ph, conjugate_bayes, posterior_predictive, randomization_inference, ipw, multiple_imputation, calibrated_logistic, calibration_curve, stratified_folds, brier_auc, calibration_bins, blocked_time_series_cv]
 
 
 def queries() -> dict:
@@ -363,6 +384,41 @@ WITH a AS (SELECT count(c_acctbal) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal
 SELECT n, round(pm, 6) AS posterior_mean, round(ps, 6) AS posterior_sd, round(pm - 1.9599639845400545 * ps, 6) AS ci_low, round(pm + 1.9599639845400545 * ps, 6) AS ci_high FROM b""",
         "multiple_imputation": "SELECT count(*) AS n, count(*) FILTER (language IS NOT NULL AND normalized_regret IS NOT NULL AND valid IS NOT NULL) AS complete_cases, sum((language IS NULL)::INT + (normalized_regret IS NULL)::INT + (valid IS NULL)::INT)::BIGINT AS missing_cells, 3 AS n_columns FROM predictions",
     }
+    newton = """WITH RECURSIVE d AS ({data}), f AS (SELECT 0 AS i, {a0}::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2 UNION ALL
+SELECT i + 1, a + (t2 * u0 - t1 * u1) / (t0 * t2 - t1 * t1), b + (t0 * u1 - t1 * u0) / (t0 * t2 - t1 * t1), t0, t1, t2 FROM
+  (SELECT i, a, b, sum({w}) AS t0, sum({w} * x) AS t1, sum({w} * x * x) AS t2, sum(y - m) AS u0, sum(x * (y - m)) AS u1 FROM (SELECT f.i, f.a, f.b, x, y, {m} AS m FROM f, d) GROUP BY i, a, b) WHERE i < 25),
+v AS (SELECT 'const' AS term, a AS est, sqrt(s2 / (s0 * s2 - s1 * s1)) AS se FROM f WHERE i = 25 UNION ALL SELECT '{x}', b, sqrt(s0 / (s0 * s2 - s1 * s1)) FROM f WHERE i = 25)
+SELECT term, round(est, 5) AS estimate, round(se, 5) AS std_error, round(est / se, 5) AS statistic, round({p}, 5) AS p_value FROM v"""
+    z = _z_p("(est / se)")
+    out["logistic_regret"] = newton.format(data=f"SELECT regret AS x, valid AS y FROM {_PRED} WHERE regret IS NOT NULL AND valid IS NOT NULL", a0="0.0", w="m * (1 - m)", m="1 / (1 + exp(-(f.a + f.b * x)))", x="regret", p=z)
+    out["poisson_regret"] = newton.format(data="SELECT avg(value) AS x, count(*) AS y FROM events GROUP BY user_id, event_type HAVING avg(value) IS NOT NULL", a0="1.0", w="m", m="exp(f.a + f.b * x)", x="mean_value", p=z)
+    out["logrank_two"] = f"""WITH t AS (SELECT user_id, min(epoch_us(ts)) AS t0, max(epoch_us(ts)) AS t1, min(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END) AS tp, arg_min(event_type, row(epoch_us(ts), event_id)) AS first_type FROM events GROUP BY 1),
+u AS (SELECT round((coalesce(tp, t1) - t0) / 3.6e9, 3) AS t, tp IS NOT NULL AS e, coalesce(first_type = 'click', false) AS g FROM t),
+k AS (SELECT t, count(*) AS n, count(*) FILTER (g) AS n1, count(*) FILTER (e) AS d, count(*) FILTER (e AND g) AS d1 FROM u GROUP BY t),
+r AS (SELECT *, sum(n) OVER (ORDER BY t DESC)::DOUBLE AS rn, sum(n1) OVER (ORDER BY t DESC)::DOUBLE AS r1 FROM k),
+s AS (SELECT sum(d1 - d * r1 / rn) AS u, sum(CASE WHEN rn > 1 THEN d * (rn - d) / (rn - 1) * r1 / rn * (1 - r1 / rn) ELSE 0 END) AS v, sum(n)::BIGINT AS n FROM r)
+SELECT n, 2 AS n_groups, round(u * u / v, 6) AS statistic, 1 AS df, round({_z_p('(u / sqrt(v))')}, 6) AS p_value FROM s"""
+    out["ancova_flag"] = f"""WITH d AS (SELECT l_extendedprice AS y, (l_returnflag = 'R')::INT::DOUBLE AS g, l_quantity::DOUBLE AS q FROM {_FLAGS}),
+c AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my, avg(g) AS mg, avg(q) AS mq, regr_sxx(g, g) AS gg, regr_sxx(q, q) AS qq, regr_sxy(q, g) AS gq, regr_sxy(y, g) AS gy, regr_sxy(y, q) AS qy FROM d),
+b AS (SELECT *, gg * qq - gq * gq AS det, (qq * gy - gq * qy) / (gg * qq - gq * gq) AS bg, (gg * qy - gq * gy) / (gg * qq - gq * gq) AS bq FROM c),
+l AS (SELECT (y - my - bg * (g - mg) - bq * (q - mq)) AS e, (qq * (g - mg) - gq * (q - mq)) / det AS zg, (gg * (q - mq) - gq * (g - mg)) / det AS zq, (g - mg) AS cg, (q - mq) AS cq, n, mg, mq FROM d, b),
+h AS (SELECT *, 1 / n + cg * zg + cq * zq AS h FROM l),
+w AS (SELECT *, pow(e / (1 - h), 2) AS w, 1 / n - mg * zg - mq * zq AS zc FROM h),
+v AS (SELECT sqrt(sum(w * zc * zc)) AS sc, sqrt(sum(w * zg * zg)) AS sg, sqrt(sum(w * zq * zq)) AS sq FROM w)
+SELECT 'const' AS term, round(my - bg * mg - bq * mq, 3) AS estimate, round(sc, 3) AS std_error FROM b, v UNION ALL SELECT 'g', round(bg, 3), round(sg, 3) FROM b, v UNION ALL SELECT 'l_quantity', round(bq, 3), round(sq, 3) FROM b, v"""
+    out["fisher_exact"] = f"""WITH t AS (SELECT min(l_returnflag) AS g, (SELECT min(l_linestatus) FROM {_FLAGS}) AS o FROM {_FLAGS}),
+c AS (SELECT count(*) FILTER (l_returnflag = g AND l_linestatus = o) AS a, count(*) FILTER (l_returnflag = g AND l_linestatus <> o) AS b, count(*) FILTER (l_returnflag <> g AND l_linestatus = o) AS c, count(*) FILTER (l_returnflag <> g AND l_linestatus <> o) AS d FROM {_FLAGS}, t),
+k AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS k FROM c),
+p AS (SELECT *, -lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) AS lp, -lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) AS own FROM k),
+m AS (SELECT max(lp) AS m FROM p)
+SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, round(any_value(CASE WHEN b * c > 0 THEN a * d / (b * c)::DOUBLE END), 6) AS odds_ratio, round(least(1, sum(exp(lp - m)) FILTER (lp <= own + 1e-7) / sum(exp(lp - m))), 6) AS p_value FROM p, m"""
+    tail = "list_sum(list_transform(range({lo}, {hi}), lambda j : exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({q}) + (n - j) * ln(1 - {q}))))"
+    out["binomial_test"] = f"""WITH RECURSIVE c AS (SELECT count(valid) AS n, count(*) FILTER (valid) AS k FROM predictions),
+f AS (SELECT 0 AS i, n, k, 1e-9::DOUBLE AS a, k / n::DOUBLE AS b, k / n::DOUBLE AS c, 1 - 1e-9::DOUBLE AS d FROM c UNION ALL
+  SELECT i + 1, n, k, CASE WHEN l THEN (a + b) / 2 ELSE a END, CASE WHEN l THEN b ELSE (a + b) / 2 END, CASE WHEN h THEN (c + d) / 2 ELSE c END, CASE WHEN h THEN d ELSE (c + d) / 2 END FROM
+  (SELECT *, {tail.format(lo='k', hi='n + 1', q='((a + b) / 2)')} < 0.025 AS l, {tail.format(lo='0', hi='k + 1', q='((c + d) / 2)')} > 0.025 AS h FROM f) WHERE i < 40),
+p AS (SELECT n, k, list_transform(range(0, n + 1), lambda j : lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + n * ln(0.5)) AS lp FROM c)
+SELECT n, k AS successes, round(k / n, 6) AS estimate, round(least(1, list_sum(list_transform(list_filter(lp, lambda x : x <= lp[k + 1] + 1e-7), lambda x : exp(x)))), 6) AS p_value, (SELECT round(a, 6) FROM f WHERE i = 40) AS ci_low, (SELECT round(d, 6) FROM f WHERE i = 40) AS ci_high FROM p"""
     for name, source, y, g, pooled in (("welch_t", _FLAGS, "l_extendedprice", "l_returnflag", False), ("independent_t", _FLAGS, "l_extendedprice", "l_returnflag", True), ("difference_in_means", _PRED, "regret", "valid", False)):
         q = _t_q("df")
         out[name] = _t_sql(source, y, g, pooled, f"{p_t}, round(m2 - m1 - {q} * se, 6) AS ci_low, round(m2 - m1 + {q} * se, 6) AS ci_high")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from lodestat.operators import evaluate as E
 from lodestat.operators import policy as O
 from lodestat.operators import router as R
 from lodestat.queries.stats import rounded
+from lodestat.session import shared_folder
 from lodestat.sources.tables import table
 
 _PARTS = [("train", 90), ("valid", 5), ("test", 5)]
@@ -22,12 +26,13 @@ def _docs(s: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def normalized_text(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", F.md5(X.squeeze(F.col("text"))).alias("digest"), F.length(X.squeeze(F.col("text"))).alias("n"))
+    t = _docs(s, d).select("doc_id", X.normalize_text(F.col("text")).alias("t"))
+    return t.select("doc_id", F.md5("t").alias("digest"), F.length("t").alias("n"))
 
 
 def word_ngrams(s: SparkSession, d: str) -> DataFrame:
     g = _docs(s, d).select("doc_id", F.explode(X.word_ngrams(F.col("text"), 3)).alias("gram"))
-    return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_grams"), F.min("gram").alias("first_gram"))
+    return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_grams"), F.md5(F.array_join(F.array_sort(F.collect_list("gram")), "|")).alias("digest"))
 
 
 def ngram_document_frequency(s: SparkSession, d: str) -> DataFrame:
@@ -37,13 +42,17 @@ def ngram_document_frequency(s: SparkSession, d: str) -> DataFrame:
 
 
 def ngram_overlap(s: SparkSession, d: str) -> DataFrame:
-    """Documents against the canary prompts as references."""
+    """Documents against the canary prompts as references, by four words."""
     refs = table(s, d, "routing_canary").select("canary_row", F.col("text").alias("ref_text"))
     return rounded(U.ngram_overlap(_docs(s, d), refs, "doc_id", "text", "canary_row", "ref_text", 4))
 
 
 def contamination_flags(s: SparkSession, d: str) -> DataFrame:
-    return ngram_overlap(s, d).select("doc_id", (F.col("best_ratio") >= 0.05).alias("contaminated"))
+    """First user prompts against the canary prompts: eight words, half of them in one reference."""
+    u = F.try_element_at(F.filter("messages", lambda x: x["role"] == "user"), F.lit(1))["content"]
+    c = table(s, d, "chat_records").select("record_id", u.alias("text"))
+    refs = table(s, d, "routing_canary").select("canary_row", F.col("text").alias("ref_text"))
+    return U.ngram_overlap(c, refs, "record_id", "text", "canary_row", "ref_text", 8).select("record_id", "n_grams", F.round("best_ratio", 6).alias("best_ratio"), (F.col("best_ratio") >= 0.5).alias("contaminated"))
 
 
 def exact_dedup(s: SparkSession, d: str) -> DataFrame:
@@ -59,8 +68,9 @@ def split_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def split_quota(s: SparkSession, d: str) -> DataFrame:
-    x = hash_split(s, d).join(table(s, d, "documents").select("doc_id", id_key(F.col("source")).alias("source")), "doc_id")
-    return U.split_quota(x, ["source"], "doc_id", "split", U.quotas(50, _PARTS)).groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
+    """The feature is the quota: per source and split the first rows in digest order."""
+    x = table(s, d, "documents").select("doc_id", id_key(F.col("source")).alias("source"), U.hash_split(F.col("doc_id"), 42, _PARTS).alias("split"))
+    return U.split_quota(x, ["source"], "doc_id", "split", U.quotas(50, _PARTS)).select("doc_id", "source", "split", "position")
 
 
 def stable_sample(s: SparkSession, d: str) -> DataFrame:
@@ -68,7 +78,7 @@ def stable_sample(s: SparkSession, d: str) -> DataFrame:
 
 
 def round_robin_strata(s: SparkSession, d: str) -> DataFrame:
-    return U.round_robin(table(s, d, "documents").select("doc_id", code_key(F.col("lang")).alias("lang")), ["lang"], "doc_id").groupBy("lang").agg(F.max("turn").alias("turns"), F.count(F.lit(1)).alias("n"))
+    return U.round_robin(table(s, d, "documents").select("doc_id", code_key(F.col("lang")).alias("lang")), ["lang"], "doc_id").select("doc_id", "lang", "turn")
 
 
 def largest_remainder(s: SparkSession, d: str) -> DataFrame:
@@ -104,7 +114,7 @@ def message_counts(s: SparkSession, d: str) -> DataFrame:
 
 def extract_numbers(s: SparkSession, d: str) -> DataFrame:
     n = X.numbers(F.col("text"))
-    return _docs(s, d).where(F.col("text").isNotNull()).select("doc_id", F.size(n).alias("n_numbers"))
+    return _docs(s, d).where(F.col("text").isNotNull()).select("doc_id", F.size(n).alias("n_numbers"), F.md5(F.array_join(n, "|")).alias("digest"))
 
 
 def code_blocks(s: SparkSession, d: str) -> DataFrame:
@@ -114,12 +124,36 @@ def code_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 def preservation(s: SparkSession, d: str) -> DataFrame:
-    """Each canary prompt beside the next one: what differs."""
-    from pyspark.sql import Window
+    """First prompt and first answer of each record as source and rendering: what differs in blocks of code, formulas
+    and numbers."""
+    first = lambda role: F.try_element_at(F.filter("messages", lambda x: x["role"] == role), F.lit(1))["content"]
+    c = table(s, d, "chat_records").select("record_id", first("user").alias("a"), first("assistant").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return c.select("record_id", F.array_join(X.preservation_errors(F.col("a"), F.col("b")), "; ").alias("errors"))
+
+
+def canary_routes(s: SparkSession, d: str) -> DataFrame:
+    """Canary prompts by the three kinds of route."""
+    c = table(s, d, "routing_canary").where("text IS NOT NULL")
+    t = F.col("text")
+    return c.select("canary_row", X.route(t).alias("route"), X.statistics_route(t, F.lit(0)).alias("stats_route"), X.fixed_route(code_key(F.col("family_id")), code_key(F.col("language")), ["survival"], ["zh_hant"]).alias("fixed_route"))
+
+
+def protected_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Chat contents with their code and mathematics behind marks, and whether they come back whole."""
+    m = table(s, d, "chat_records").select("record_id", F.posexplode("messages").alias("pos", "m")).select("record_id", "pos", F.col("m.content").alias("t")).where("t IS NOT NULL")
+    text, spans = X.protect(F.col("t"), "doc")
+    p = m.select("record_id", "pos", "t", text.alias("p"), spans.alias("s"))
+    return p.select("record_id", "pos", F.size("s").alias("n_spans"), F.coalesce(X.restored(F.col("p"), F.col("s"), "doc") == F.col("t"), F.lit(False)).alias("whole"))
+
 
-    r = table(s, d, "routing_canary").select("canary_row", "text", "family_id")
-    w = Window.partitionBy("family_id").orderBy("canary_row")
-    return r.withColumn("other", F.lead("text").over(w)).where("text IS NOT NULL AND other IS NOT NULL").select("canary_row", F.array_join(X.preservation_errors(F.col("text"), F.col("other")), "; ").alias("errors"))
+def token_windows(s: SparkSession, d: str) -> DataFrame:
+    """Words of the canary prompts as spans; how many overlap the characters from 10 to 40, and the bucket of the
+    prompt's length."""
+    c = table(s, d, "routing_canary").where("text IS NOT NULL").select("canary_row", "text", F.split(F.col("text"), " ", -1).alias("w"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.length(F.array_join(F.slice(F.col("w"), F.lit(1), i), " ")))
+    spans = c.withColumn("e", ends).withColumn("a", F.zip_with("e", "w", lambda e, w: e - F.length(w)))
+    hit = X.interval_mask(F.col("a"), F.col("e"), F.lit(10), F.lit(40))
+    return spans.select("canary_row", F.size(F.filter(hit, lambda x: x)).alias("n_overlapping"), X.padding_bucket(F.length("text"), [64, 128, 256]).alias("bucket"))
 
 
 def method_tags(s: SparkSession, d: str) -> DataFrame:
@@ -128,15 +162,28 @@ def method_tags(s: SparkSession, d: str) -> DataFrame:
     return t.where("method IS NOT NULL OR plan IS NOT NULL").select("record_id", "pos", "method", F.get_json_object("plan", "$.method_id").alias("planned"))
 
 
+def _router_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled prompts and the model fitted on the half with an even digest of the text."""
+    c = table(s, d, "routing_canary").where("text IS NOT NULL").select("canary_row", "text", code_key(F.col("language")).alias("language"), F.coalesce(code_key(F.col("family_id")), F.lit("none")).alias("family"))
+    c = c.withColumn("half", F.conv(F.substring(F.sha2("text", 256), 1, 1), 16, 10).cast("int") % 2)
+    return c, R.fit(c.where("half = 0"), "canary_row", "text", "family")
+
+
 def text_router_nb(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "routing_canary").where("text IS NOT NULL").select("canary_row", "text", F.coalesce(code_key(F.col("family_id")), F.lit("none")).alias("family"))
-    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
-    model = R.fit(c.where(half), "canary_row", "text", "family")
-    return R.confusion(R.score(c.where(~half), model, "canary_row", "text"), c, "canary_row", "family")
+    c, model = _router_parts(s, d)
+    return R.confusion(R.score(c.where("half = 1"), model, "canary_row", "text"), c, "canary_row", "family")
+
+
+def router_canary(s: SparkSession, d: str) -> DataFrame:
+    """Routing of the other half by language, through a model written to and read from the shared folder."""
+    c, model = _router_parts(s, d)
+    path = shared_folder(s) + f"/router-{uuid.uuid4().hex}"
+    R.save_model(model, path)
+    return R.canary_metrics(R.score(c.where("half = 1"), R.load_model(s, path), "canary_row", "text"), c, "canary_row", "family", "language", "none", 0.5)
 
 
 def text_routes(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).where("text IS NOT NULL").groupBy(X.case_script(F.col("text")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    return _docs(s, d).where("text IS NOT NULL").select("doc_id", X.route(F.col("text")).alias("route"))
 
 
 def mmr_select(s: SparkSession, d: str) -> DataFrame:
@@ -196,9 +243,12 @@ def guard_override(s: SparkSession, d: str) -> DataFrame:
 
 
 def paired_bootstrap(s: SparkSession, d: str) -> DataFrame:
-    parent, expert = _two_adapters(s, d)
-    x = E.paired(parent, expert, ["family_id", "language"], "regret").where("paired").withColumn("key", F.concat_ws("|", "family_id", "language"))
-    return rounded(E.paired_bootstrap(x, "difference", "key"))
+    """Parent against expert, paired by blueprint and language, averaged per blueprint."""
+    a = table(s, d, "adapters").select("adapter_id", F.col("parent_adapter_id").isNull().alias("is_parent"))
+    p = _pred(s, d).withColumn("blueprint_id", id_key(F.col("blueprint_id"))).where("blueprint_id IS NOT NULL AND language IS NOT NULL AND normalized_regret IS NOT NULL AND NOT isnan(normalized_regret)").join(a, "adapter_id")
+    m = p.groupBy("blueprint_id", "language", "is_parent").agg(F.avg("normalized_regret").alias("regret"))
+    x = E.paired(m.where("is_parent"), m.where("NOT is_parent"), ["blueprint_id", "language"], "regret").where("paired")
+    return rounded(E.paired_bootstrap(x.groupBy("blueprint_id").agg(F.avg("difference").alias("difference")), "difference", "blueprint_id"))
 
 
 def best_adapter(s: SparkSession, d: str) -> DataFrame:
@@ -251,7 +301,7 @@ def crn_simulation(s: SparkSession, d: str) -> DataFrame:
     return rounded(O.simulate(x, ["family_id"], "predicted_method_id"))
 
 
-_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, cvar_weights, lhs_scenarios, crn_simulation]
+_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, canary_routes, protected_prompts, token_windows, router_canary, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, cvar_weights, lhs_scenarios, crn_simulation]
 
 
 def queries() -> dict:
@@ -262,15 +312,64 @@ _SQ = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _W = rf"list_filter(string_split({_SQ}, ' '), lambda x : x <> '')"
 
 
-def _grams(n: int, source: str = "documents", key: str = "doc_id") -> str:
+def _compat() -> str:
+    """Characters with a compatibility form beside it, by the rule of the Unicode data."""
+    out = []
+    for n in (*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F270), *range(0x1FBF0, 0x1FBFA)):
+        c = chr(n)
+        to = unicodedata.normalize("NFKD", c)
+        if to != unicodedata.normalize("NFD", c):
+            out.append("('{}', '{}')".format(c, to.replace("'", "''")))
+    return ", ".join(out)
+
+
+_COMPAT = _compat()
+
+
+def plain(source: str, key: str, text: str = "text") -> str:
+    """A subquery (key, text) with texts in NFKC: compatibility forms exchanged one by one, then composed."""
+    return f"""(SELECT {key}, coalesce(nfc_normalize(p), {text}) AS text FROM {source} LEFT JOIN (SELECT {key}, string_agg(coalesce(t, c), '' ORDER BY i) AS p FROM
+  (SELECT {key}, unnest(regexp_extract_all({text}, '(?s).')) AS c, unnest(range(length({text}))) AS i FROM {source} WHERE {text} IS NOT NULL) LEFT JOIN (VALUES {_COMPAT}) nk(c, t) USING (c) GROUP BY {key}) USING ({key}))"""
+
+
+_DOCS = plain("documents", "doc_id")
+
+
+def _grams(n: int, source: str = _DOCS, key: str = "doc_id") -> str:
     return f"(SELECT {key}, unnest(list_distinct([array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})])) AS gram FROM (SELECT {key}, {_W} AS w FROM {source} WHERE text IS NOT NULL) WHERE len(w) >= {n})"
 
 
+def _overlap(n: int, docs: str, key: str, all_docs: str) -> str:
+    return f"""WITH d AS {_grams(n, docs, key)}, r AS {_grams(n, plain('routing_canary', 'canary_row'), 'canary_row')}, size AS (SELECT {key}, count(gram) AS n FROM {all_docs} LEFT JOIN d USING ({key}) GROUP BY 1),
+u AS (SELECT {key}, count(*) AS a FROM d WHERE gram IN (SELECT gram FROM r) GROUP BY 1),
+b AS (SELECT {key}, max(h) AS b FROM (SELECT {key}, canary_row, count(*) AS h FROM d JOIN r USING (gram) GROUP BY ALL) GROUP BY 1),
+o AS (SELECT {key}, n AS n_grams, CASE WHEN n > 0 THEN round(coalesce(a, 0) / n, 6) ELSE 0.0 END AS union_ratio, CASE WHEN n > 0 THEN round(coalesce(b, 0) / n, 6) ELSE 0.0 END AS best_ratio FROM size LEFT JOIN u USING ({key}) LEFT JOIN b USING ({key}))"""
+
+
 _P = """p AS (SELECT *, lower(replace(trim(family_id), '-', '_')) AS f, lower(replace(trim(language), '-', '_')) AS l,
   CASE WHEN isnan(normalized_regret) THEN NULL ELSE normalized_regret END AS r, (predicted_method_id = oracle_method_id) AS ok FROM predictions)"""
 _M = f"WITH {_P}, m AS (SELECT f AS family_id, predicted_method_id, round(avg(r), 9) AS raw FROM p WHERE r IS NOT NULL AND predicted_method_id IS NOT NULL GROUP BY ALL), n AS (SELECT *, CASE WHEN max(raw) OVER w - min(raw) OVER w > 1e-12 THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 0.0 END AS regret FROM m WINDOW w AS (PARTITION BY family_id)), e AS (SELECT *, exp(-regret / 0.15) AS e FROM n), s AS (SELECT *, e / sum(e) OVER (PARTITION BY family_id) AS probability FROM e)"
 
 
+def _greedy(order: str, budget: int, repeats: int) -> str:
+    return f"""WITH RECURSIVE o AS (SELECT doc_id, coalesce(nullif(lower(replace(trim(lang), '-', '_')), ''), '?') AS lang, n_chars, r::INT AS repeat_index, row_number() OVER (PARTITION BY coalesce(nullif(lower(replace(trim(lang), '-', '_')), ''), '?') ORDER BY r, {order}, doc_id) AS k FROM documents, range({repeats}) x(r) WHERE n_chars > 0),
+g AS (SELECT *, true AS keep, {budget} - n_chars AS room FROM o WHERE k = 1 UNION ALL
+  SELECT o.*, o.n_chars <= g.room, g.room - CASE WHEN o.n_chars <= g.room THEN o.n_chars ELSE 0 END FROM g JOIN o ON o.lang = g.lang AND o.k = g.k + 1)
+SELECT lang, doc_id, repeat_index, n_chars AS tokens FROM g WHERE keep"""
+
+
+_ROUTER = f"""WITH c AS (SELECT canary_row, coalesce(nullif(lower(replace(trim(family_id), '-', '_')), ''), 'none') AS family, ('0x' || substr(sha256(r.text), 1, 1))::INT % 2 AS half,
+  '^' || trim(regexp_replace(regexp_replace(lower(n.text), '[0-9]+([.][0-9]+)?', '0', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') || '$' AS t FROM routing_canary r JOIN {plain('routing_canary', 'canary_row')} n USING (canary_row) WHERE r.text IS NOT NULL),
+f AS (SELECT canary_row, family, half, g, least(count(*), 3) AS tf FROM (SELECT canary_row, family, half, unnest(flatten([[t[i:i + k - 1] FOR i IN range(1, length(t) - k + 2)] FOR k IN [2, 3, 4]])) AS g FROM c) GROUP BY ALL),
+v AS (SELECT g FROM f WHERE half = 0 GROUP BY g HAVING count(*) >= 2 ORDER BY count(*) DESC, g LIMIT 20000),
+n AS (SELECT family AS class, g, sum(tf) AS n FROM f JOIN v USING (g) WHERE half = 0 GROUP BY ALL),
+k AS (SELECT DISTINCT family AS class FROM c WHERE half = 0),
+m AS (SELECT k.class, v.g, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY k.class) AS t, (SELECT count(*) FROM v) AS size FROM k CROSS JOIN v LEFT JOIN n ON n.class = k.class AND n.g = v.g),
+p AS (SELECT class, g, ln((n + 0.5) / (t + 0.5 * size))::FLOAT::DOUBLE AS lp FROM m),
+s AS (SELECT canary_row, class, sum(tf * lp) / sqrt(sum(tf)) AS s FROM f JOIN p USING (g) WHERE half = 1 GROUP BY ALL),
+best AS (SELECT c.family, c.canary_row, k.class AS predicted FROM c CROSS JOIN k LEFT JOIN s ON s.canary_row = c.canary_row AND s.class = k.class WHERE c.half = 1 QUALIFY row_number() OVER (PARTITION BY c.canary_row ORDER BY coalesce(s, 0) DESC, k.class) = 1)"""
+
+
 def _sel(by: list[tuple[str, str]], sets: str, source: str = "p") -> str:
     cols = ", ".join(f"{e} AS {a}" for a, e in by)
     return f"SELECT grouping({', '.join(e for _, e in by)}) AS level, {cols}, count(*) AS n, round(avg(r), 6) AS mean_regret, round(avg(ok::INT), 6) AS accuracy, round(avg((NOT valid)::INT), 6) AS invalid_rate FROM {source} GROUP BY {sets}"
@@ -281,24 +380,25 @@ def oracle_sql() -> dict[str, str]:
     bucket = "(SELECT doc_id, source, (('0x' || substr(sha256('42:' || doc_id), 1, 16))::UBIGINT % 100)::INT AS b FROM documents)"
     lang = "lower(replace(trim(lang), '-', '_'))"
     both = f"WITH {_P}, a AS (SELECT p.*, parent_adapter_id IS NULL AS is_parent FROM p JOIN adapters USING (adapter_id) WHERE l IS NOT NULL AND r IS NOT NULL), m AS (SELECT f AS family_id, l AS language, is_parent, round(avg(r), 9) AS regret FROM a GROUP BY ALL)"
-    ref = _grams(4, "routing_canary", "canary_row")
-    overlap = f"""WITH d AS {_grams(4)}, r AS {ref}, size AS (SELECT doc_id, (SELECT count(*) FROM d WHERE d.doc_id = x.doc_id) AS n FROM documents x),
-u AS (SELECT doc_id, count(*) AS a FROM d WHERE gram IN (SELECT gram FROM r) GROUP BY 1),
-b AS (SELECT doc_id, max(h) AS b FROM (SELECT doc_id, canary_row, count(*) AS h FROM d JOIN r USING (gram) GROUP BY ALL) GROUP BY 1),
-o AS (SELECT doc_id, n AS n_grams, CASE WHEN n > 0 THEN round(coalesce(a, 0) / n, 6) ELSE 0.0 END AS union_ratio, CASE WHEN n > 0 THEN round(coalesce(b, 0) / n, 6) ELSE 0.0 END AS best_ratio FROM size LEFT JOIN u USING (doc_id) LEFT JOIN b USING (doc_id))"""
+    user = "list_filter(messages, lambda x : x.role = 'user')[1].content"
+    order = "('0x' || substr(sha256('0:' || doc_id), 1, 15))::BIGINT"
     msg = "(SELECT record_id, unnest(messages) AS m, unnest(range(len(messages)::BIGINT)) AS pos FROM chat_records)"
     return {
-        "normalized_text": f"SELECT doc_id, md5({_SQ}) AS digest, length({_SQ}) AS n FROM documents",
-        "word_ngrams": f"SELECT doc_id, count(*) AS n_grams, min(gram) AS first_gram FROM {_grams(3)} GROUP BY doc_id",
+        "normalized_text": f"SELECT doc_id, md5({_SQ}) AS digest, length({_SQ}) AS n FROM {_DOCS}",
+        "word_ngrams": f"SELECT doc_id, count(*) AS n_grams, md5(array_to_string(list_sort(list(gram)), '|')) AS digest FROM {_grams(3)} GROUP BY doc_id",
         "ngram_document_frequency": f"SELECT gram, count(*) AS df FROM {_grams(2)} GROUP BY gram HAVING count(*) >= 2 ORDER BY df DESC, gram LIMIT 100",
-        "ngram_overlap": f"{overlap} SELECT * FROM o",
-        "contamination_flags": f"{overlap} SELECT doc_id, best_ratio >= 0.05 AS contaminated FROM o",
-        "exact_dedup": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_SQ}) AS kept_key FROM documents WHERE text IS NOT NULL",
+        "ngram_overlap": f"{_overlap(4, _DOCS, 'doc_id', 'documents')} SELECT * FROM o",
+        "contamination_flags": f"{_overlap(8, plain('(SELECT record_id, ' + user + ' AS text FROM chat_records)', 'record_id'), 'record_id', 'chat_records')} SELECT record_id, n_grams, best_ratio, best_ratio >= 0.5 AS contaminated FROM o",
+        "exact_dedup": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_SQ}) AS kept_key FROM {_DOCS} WHERE text IS NOT NULL",
         "hash_split": f"SELECT doc_id, {split} AS split FROM {bucket}",
         "split_counts": f"SELECT {split} AS split, count(*) AS n FROM {bucket} GROUP BY 1",
-        "split_quota": f"SELECT source, split, least(n, CASE split WHEN 'train' THEN 44 ELSE 3 END) AS n FROM (SELECT nullif(lower(trim(source)), '') AS source, {split} AS split, count(*) AS n FROM {bucket} GROUP BY 1, 2)",
+        "split_quota": f"SELECT doc_id, source, split, position FROM (SELECT *, row_number() OVER (PARTITION BY source, split ORDER BY {order}, doc_id) AS position FROM (SELECT doc_id, nullif(lower(trim(source)), '') AS source, {split} AS split FROM {bucket})) WHERE position <= CASE split WHEN 'train' THEN 44 ELSE 3 END",
         "stable_sample": "SELECT doc_id, sha256('7:' || doc_id) AS order_hash FROM documents ORDER BY order_hash, doc_id LIMIT 100",
-        "round_robin_strata": f"SELECT {lang} AS lang, count(*) AS turns, count(*) AS n FROM documents GROUP BY 1",
+        "round_robin_strata": f"SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {order}, doc_id) AS turn FROM (SELECT doc_id, nullif({lang}, '') AS lang FROM documents)",
+        "token_budget_trim": _greedy(order, 20_000, 1),
+        "repeat_to_budget": _greedy(order, 100_000, 3),
+        "extract_numbers": r"SELECT doc_id, len(n)::INT AS n_numbers, md5(array_to_string(n, '|')) AS digest FROM (SELECT doc_id, list_transform(list_filter(list_zip(regexp_extract_all(' ' || text, '((?:^|[^A-Za-z0-9_.]))-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[A-Za-z0-9_.]+|(?s).', 0), regexp_extract_all(' ' || text, '(?:^|[^A-Za-z0-9_.])(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|[A-Za-z0-9_.]+|(?s).', 1)), lambda x : x[2] <> ''), lambda x : x[2]) AS n FROM documents WHERE text IS NOT NULL)",
+        "text_router_nb": f"{_ROUTER} SELECT family AS label, predicted, count(*) AS n FROM best GROUP BY ALL",
         "largest_remainder": f"""WITH c AS (SELECT coalesce({lang}, '?') AS lang, count(*) * 97.0 / (SELECT count(*) FROM documents) AS x FROM documents GROUP BY 1),
 r AS (SELECT lang, floor(x) AS lo, row_number() OVER (ORDER BY round(x - floor(x), 12) DESC, lang) AS k, 97 - sum(floor(x)) OVER () AS spare FROM c) SELECT lang, (lo + (k <= spare)::INT)::BIGINT AS n FROM r""",
         "token_ratios": f"""WITH d AS (SELECT {lang} AS lang, domain, coalesce(n_chars, 0) AS c FROM documents)
@@ -312,7 +412,6 @@ SELECT record_id, unnest(list_filter([CASE WHEN m IS NULL OR len(m) < 2 THEN 'fe
   CASE WHEN len(list_filter(m, lambda x : coalesce(trim(x.content, ' '), '') = '')) > 0 THEN 'empty content' END,
   {', '.join(f"CASE WHEN d.{k} IS NULL THEN 'missing {k}' END" for k in ('source_id', 'source_repo', 'source_revision', 'source_license', 'domain', 'language'))}], lambda x : x IS NOT NULL)) AS error FROM c""",
         "code_blocks": rf"SELECT record_id, pos, len(b) AS n_blocks, md5(array_to_string(list_transform(b, lambda x : regexp_replace(x, '\s+$', '')), chr(10))) AS digest FROM (SELECT record_id, pos, regexp_extract_all(m.content, '(?s)```[^\n]*\n(.*?)```', 1) AS b FROM {msg} WHERE m.role = 'assistant' AND m.content LIKE '%```%')",
-        "text_routes": r"SELECT CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'adapter' WHEN regexp_matches(text, '```|def |#include|\bclass \w+') THEN 'adapter' ELSE 'base' END AS route, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "accuracy_rollup": f"WITH {_P} SELECT grouping(domain, l, f) AS level, domain, l AS language, f AS family_id, count(ok) AS n, round(avg(ok::INT), 4) AS accuracy FROM p GROUP BY GROUPING SETS ((), (domain), (l), (f))",
         "selector_metrics": f"WITH {_P} " + _sel([("domain", "domain"), ("family_id", "f")], "GROUPING SETS ((), (domain), (f))"),
         "family_language_metrics": f"WITH {_P} " + _sel([("family_id", "f"), ("language", "l")], "CUBE (f, l)"),

@@ -56,6 +56,7 @@ def test_components(spark, seed):
     df = spark.createDataFrame(edges, "a string, b string")
     got = {r["node"]: r["component"] for r in connected_components(df, "a", "b").collect()}
     assert got == _components(edges)
+    assert {r["node"]: r["component"] for r in connected_components(df, "a", "b", least_rows=5).collect()} == got
     assert connected_components(df.where("false"), "a", "b").count() == 0
 
 

@@ -26,7 +26,7 @@ def test_budget_trim_against_greedy(spark):
     df = spark.createDataFrame(rows, "g string, id bigint, n bigint")
     for repeats, pool in ((1, 10_000), (3, 10_000), (3, 4)):
         got = sorted(tuple(r) for r in U.budget_trim(df, ["g"], "id", "n", 700, repeats, pool=pool).select("g", "id", "repeat_index").collect())
-        order = {r["id"]: r["h"] for r in df.select("id", F.shiftrightunsigned(F.xxhash64(F.lit(0), "id"), 1).alias("h")).collect()}
+        order = {r["id"]: r["h"] for r in df.select("id", U.digest_order(0, "id").alias("h")).collect()}
         want = []
         for g in "ab":
             left, first = 700, True
