@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions.keys import code_key, id_key
+from lodestat.operators.skew import LEAST, both_salted_join, hot_keys, salted_join
+from lodestat.session import cut
 
 
 def vectors(scenarios: DataFrame, bounds: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("valid", "dev", "final")) -> DataFrame:
@@ -54,11 +56,18 @@ def near_pairs(v: DataFrame, tolerance: float = 0.005, width: float = 0.04, segm
     return pairs, members
 
 
-def row_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(row_a, row_b) with row_a < row_b: the class pairs spread over their members."""
+def row_pairs(pairs: DataFrame, members: DataFrame, least: int = LEAST) -> DataFrame:
+    """(row_a, row_b) with row_a < row_b: the class pairs spread over their members; classes of many copies in slots."""
+    pairs, members = cut(pairs), cut(members)
+    n = members.groupBy("class", "is_train").agg(F.count(F.lit(1)).alias("n"))
+    a_n = n.where("is_train").select(F.col("class").alias("class_a"), "n")
+    b_n = n.where("NOT is_train").select(F.col("class").alias("class_b"), "n")
     a = members.where("is_train").select(F.col("class").alias("class_a"), F.col("scenario_row").alias("ra"))
     b = members.where("NOT is_train").select(F.col("class").alias("class_b"), F.col("scenario_row").alias("rb"))
-    d = pairs.join(a, "class_a").join(b, "class_b")
+    first = salted_join(a, pairs.select("class_a", "class_b"), ["class_a"], F.col("ra"), counts=a_n, least=least)
+    loads = pairs.join(a_n, "class_a").groupBy("class_b").agg(F.sum("n").alias("n"))
+    hot = hot_keys(loads, ["class_b"], least=least), hot_keys(b_n, ["class_b"], least=least)
+    d = both_salted_join(first.select("class_b", "ra"), b, ["class_b"], F.col("ra"), F.col("rb"), *hot)
     return d.select(F.least("ra", "rb").alias("row_a"), F.greatest("ra", "rb").alias("row_b"))
 
 

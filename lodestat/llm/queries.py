@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions.keys import code_key, id_key
-from lodestat.llm import containers, lookalike, mix, mojibake, overlap, pairs, sample, splits, tokens
+from lodestat.llm import containers, lookalike, mix, mojibake, overlap, pairs, sample, segments, splits, tokens
 from lodestat.session import cut, spread
 from lodestat.sources.tables import table
 
@@ -136,6 +136,27 @@ def p6_report(s: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(*overlap.near_pairs(v))
 
 
+def p6_near_ids(s: SparkSession, d: str) -> DataFrame:
+    """Blueprint ids of valid, dev or final within two edits of one of train: representatives, distance, rows of each."""
+    x = table(s, d, "scenarios").select("scenario_row", id_key(F.col("blueprint_id")).alias("blueprint_id"), id_key(F.col("split")).alias("split"))
+    x = x.where("split IN ('train', 'valid', 'dev', 'final')")
+    return _linked(*segments.near_strings(x, "scenario_row", "blueprint_id", F.col("split") == "train", 2))
+
+
+def p6_near_prompts(s: SparkSession, d: str) -> DataFrame:
+    """First user prompts of other splits within three edits of one of train, in the common form of look-alikes."""
+    x = table(s, d, "chat_records").select("record_id", F.expr("try_element_at(filter(messages, m -> m.role = 'user'), 1).content").alias("text"), id_key(F.col("metadata.split")).alias("split"))
+    x = lookalike.common_form(spread(x.where("text IS NOT NULL AND split IS NOT NULL")), "text", "form")
+    return _linked(*segments.near_strings(x, "record_id", "form", F.col("split") == "train", 3))
+
+
+def _linked(pairs_: DataFrame, members: DataFrame) -> DataFrame:
+    n = members.groupBy("class", "is_train").agg(F.count(F.lit(1)).alias("n"))
+    a = n.where("is_train").select(F.col("class").alias("class_a"), F.col("n").alias("n_a"))
+    b = n.where("NOT is_train").select(F.col("class").alias("class_b"), F.col("n").alias("n_b"))
+    return pairs_.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "distance", "n_a", "n_b")
+
+
 def p7_found(s: SparkSession, d: str) -> DataFrame:
     items = sample.cell_items(table(s, d, "routing_canary"), "task_id", _CATS)
     return sample.short_cells(items, table(s, d, "sample_targets"), _CATS)
@@ -147,7 +168,7 @@ def p7_sample(s: SparkSession, d: str) -> DataFrame:
 
 def p7_report(s: SparkSession, d: str) -> DataFrame:
     rows, targets = table(s, d, "routing_canary"), table(s, d, "sample_targets")
-    return sample.sample_report(rows, targets, cut(p7_sample(s, d)), "task_id", _CATS)
+    return sample.sample_report(rows, targets, cut(p7_sample(s, d)), "task_id", _CATS, "canary_row")
 
 
 def _repaired(s: SparkSession, d: str) -> DataFrame:
@@ -164,11 +185,11 @@ def p10_restored(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_token_budget, p1_documents, p1_messages, p2_found, p2_assigned, p2_shares, p3_found, p3_groups, p3_common_forms, p5_found, p5_counts, p6_found, p6_report, p7_found, p7_sample, p7_report, p8_containers, p8_report, p9_copies, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_token_budget, p1_documents, p1_messages, p2_found, p2_assigned, p2_shares, p3_found, p3_groups, p3_common_forms, p5_found, p5_counts, p6_found, p6_report, p6_near_ids, p6_near_prompts, p7_found, p7_sample, p7_report, p8_containers, p8_report, p9_copies, p9_shares, p10_found, p10_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p6_found": _P6, "p6_report": _P6_REPORT, "p7_found": _P7}
+    return {"p6_near_ids": _P6_IDS, "p2_found": _P2, "p6_found": _P6, "p6_report": _P6_REPORT, "p7_found": _P7}
 
 
 _P2 = r"""
@@ -225,6 +246,13 @@ SELECT s AS split, source, count(*) AS n_rows, count(*) FILTER (same) AS n_exact
 FROM r LEFT JOIN h USING (n) GROUP BY s, source
 """
 
+_P6_IDS = r"""
+WITH c AS (SELECT lower(trim(blueprint_id)) AS t, lower(trim(split)) = 'train' AS s, min(scenario_row) AS class, count(*) AS n FROM scenarios
+  WHERE lower(trim(split)) IN ('train', 'valid', 'dev', 'final') AND trim(blueprint_id) <> '' GROUP BY ALL)
+SELECT a.class AS class_a, b.class AS class_b, levenshtein(a.t, b.t)::INT AS distance, a.n AS n_a, b.n AS n_b
+FROM c a JOIN c b ON a.s AND NOT b.s AND abs(length(a.t) - length(b.t)) <= 2 AND levenshtein(a.t, b.t) <= 2
+"""
+
 _P7 = r"""
 WITH n AS (
   SELECT lower(replace(trim(language), '-', '_')) AS l, lower(replace(trim(family_id), '-', '_')) AS f, count(DISTINCT task_id) AS have

@@ -74,11 +74,18 @@ def stratified_sample(rows: DataFrame, targets: DataFrame, item: str, cats: list
     return pick(d.where("__hit"), "crossing").unionByName(pick(filled, "floor"))
 
 
-def sample_report(rows: DataFrame, targets: DataFrame, sample: DataFrame, item: str, cats: list[str]) -> DataFrame:
-    """Per target cell: wanted, available and drawn numbers, and whether the target was met."""
+def sample_report(rows: DataFrame, targets: DataFrame, sample: DataFrame, item: str, cats: list[str], key: str) -> DataFrame:
+    """Per target cell: distinct items there (`available`), those of them that the draw counts in this cell, as it takes
+    an item once, where its first row lies (`drawable`), wanted and drawn numbers, target and reached share, and
+    whether the cell could supply its number."""
     needs = cell_needs(cell_items(rows, item, cats), targets, cats)
+    own = distinct_items(rows, item, cats, key).groupBy(*[F.col(c).alias(f"__d{c}") for c in cats]).agg(F.count(F.lit(1)).alias("d"))
     got = sample.groupBy(*[F.col(c).alias(f"__{c}") for c in cats]).agg(F.count(F.lit(1)).alias("n"))
-    cond = F.lit(True)
+    total = got.agg(F.sum("n").alias("__total"))
+    cond, cond_own = F.lit(True), F.lit(True)
     for c in cats:
         cond = cond & code_key(needs[c]).eqNullSafe(F.col(f"__{c}"))
-    return needs.join(got, cond, "left").select(*[needs[c] for c in cats], "available", "needed", F.coalesce("n", F.lit(0)).alias("drawn"), (F.col("available") >= F.col("needed")).alias("can_supply"))
+        cond_own = cond_own & code_key(needs[c]).eqNullSafe(F.col(f"__d{c}"))
+    d = needs.join(own, cond_own, "left").join(got, cond, "left").crossJoin(total)
+    drawable = F.coalesce("d", F.lit(0))
+    return d.select(*[needs[c] for c in cats], "available", drawable.alias("drawable"), "needed", F.coalesce("n", F.lit(0)).alias("drawn"), "target_share", F.round(F.coalesce("n", F.lit(0)) / F.col("__total"), 6).alias("share"), (drawable >= F.col("needed")).alias("can_supply"))

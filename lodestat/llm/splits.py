@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lodestat.functions.keys import id_key
 from lodestat.operators.components import connected_components
 from lodestat.operators.ordering import group_rank, hash_order
+from lodestat.operators.skew import salted_join
 from lodestat.session import cut
 
 #: Author entries that name nobody (compared without case and outer blanks).
@@ -45,18 +46,21 @@ def related_groups(rows: DataFrame, row: str = "scenario_row", own: str = "bluep
     by_parent = d.where("__parent IS NOT NULL").select("__node", "__parent").distinct().join(known, "__parent", "left_semi")
     links = by_author.where("b IS NOT NULL").union(by_parent.select("__node", F.concat(F.lit("b:"), "__parent")))
     part = connected_components(links, "a", "b")
-    tied = d.select("__row", "__node").join(part, F.col("__node") == F.col("node"), "left")
-    tied = tied.select("__row", F.coalesce("component", "__node").alias("__component"))
-    least = tied.groupBy("__component").agg(F.min("__row").alias("group_row"))
-    group = tied.join(least, "__component").select("__row", "group_row")
+    nodes = d.groupBy("__node").agg(F.min("__row").alias("__least"), F.count(F.lit(1)).alias("n"))
+    # groups are settled on nodes; rows, of which a node may hold a third, meet them once
+    tied = cut(nodes.join(part, F.col("__node") == F.col("node"), "left").select("__node", "n", "__least", F.coalesce("component", "__node").alias("__component")))
+    least = tied.groupBy("__component").agg(F.min("__least").alias("group_row"), F.count(F.lit(1)).alias("n"))
+    named = salted_join(tied.select("__node", "__component"), least.drop("n"), ["__component"], F.col("__node"), counts=least.select("__component", "n"))
+    group = salted_join(d.select("__row", "__node"), named.select("__node", "group_row"), ["__node"], F.col("__row"), counts=tied.select("__node", "n")).select("__row", "group_row")
     return rows.join(group, rows[row] == group["__row"]).drop("__row")
 
 
 def broken_groups(grouped: DataFrame, split: str = "split", row: str = "scenario_row") -> DataFrame:
     """(row, group_row) of the groups that hold two or more different non-null splits."""
     s = id_key(F.col(split))
-    bad = grouped.groupBy("group_row").agg(F.min(s).alias("lo"), F.max(s).alias("hi")).where("lo != hi").select("group_row")
-    return grouped.select(row, "group_row").join(bad, "group_row", "left_semi").select(row, "group_row")
+    per = grouped.groupBy("group_row").agg(F.min(s).alias("lo"), F.max(s).alias("hi"), F.count(F.lit(1)).alias("n"))
+    bad = per.where("lo != hi").select("group_row", "n")
+    return salted_join(grouped.select(row, "group_row"), bad.select("group_row"), ["group_row"], F.col(row), "left_semi", counts=bad).select(row, "group_row")
 
 
 def min_cost_flow(supply: np.ndarray, cost: np.ndarray, quota: np.ndarray, deviation: float) -> np.ndarray:
@@ -136,19 +140,22 @@ def allocate(bundles: Sequence[tuple[int, tuple[int, ...], int]], shares: Sequen
             s = min(range(k), key=lambda s: (round(got[s] - goal[s], 6), cost[at[p]][s]))
             out[i][s] += 1
             got[s] += size
-    want = np.array(quota)
+    sizes = np.array([b[0] for b in bundles], float)
+    costs = np.array([cost[at[p]] for _, p, _ in bundles])
+    have = np.array(out)
     while True:  # move single components as long as that brings shares nearer to the quotas
-        dev = got - want
+        dev = got - quota
         a, b = int(dev.argmax()), int(dev.argmin())
+        span = dev[a] - dev[b]
+        fit = np.flatnonzero((have[:, a] > 0) & (np.abs(dev[a] - sizes) + np.abs(dev[b] + sizes) < span - 1e-9))
+        if not len(fit):
+            return have.tolist()
         gap = min(dev[a], -dev[b])
-        fit = [i for i in order if out[i][a] and bundles[i][0] < dev[a] - dev[b] and abs(dev[a] - bundles[i][0]) + abs(dev[b] + bundles[i][0]) < dev[a] - dev[b] - 1e-9]
-        if not fit:
-            return out
-        i = min(fit, key=lambda i: (abs(bundles[i][0] - gap), cost[at[bundles[i][1]]][b] - cost[at[bundles[i][1]]][a]))
-        out[i][a] -= 1
-        out[i][b] += 1
-        got[a] -= bundles[i][0]
-        got[b] += bundles[i][0]
+        i = fit[np.lexsort((costs[fit, b] - costs[fit, a], np.abs(sizes[fit] - gap)))[0]]
+        have[i, a] -= 1
+        have[i, b] += 1
+        got[a] -= sizes[i]
+        got[b] += sizes[i]
 
 
 def assign_splits(grouped: DataFrame, targets: Sequence[tuple[str, float]], split: str = "split", row: str = "scenario_row", seed: int = 0) -> DataFrame:
@@ -180,8 +187,9 @@ def assign_splits(grouped: DataFrame, targets: Sequence[tuple[str, float]], spli
     schema = ", ".join([f"{k} {'bigint' if k == '__size' else 'int'}" for k in keys]) + ", __lo bigint, __hi bigint, new_split string"
     ranges = grouped.sparkSession.createDataFrame(lines, schema)
     ranked = group_rank(comp, keys, "__h", "__rank", tie=["group_row"])
-    chosen = ranked.join(ranges, keys).where("__rank > __lo AND __rank <= __hi").select("group_row", "new_split")
-    return g.select(row, "group_row").join(chosen, "group_row").select(row, "group_row", "new_split")
+    sizes = comp.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    chosen = salted_join(ranked, ranges, keys, F.col("group_row"), counts=sizes).where("__rank > __lo AND __rank <= __hi").select("group_row", "new_split")
+    return salted_join(g.select(row, "group_row"), chosen, ["group_row"], F.col(row), counts=comp.select("group_row", F.col("__size").alias("n"))).select(row, "group_row", "new_split")
 
 
 def targets_of(spark: SparkSession, split_targets: DataFrame) -> list[tuple[str, float]]:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestat.llm import containers, lookalike, mix, mojibake, overlap, pairs, sample, splits, tokens
+from lodestat.llm import containers, lookalike, mix, mojibake, overlap, pairs, sample, segments, splits, tokens
 
 
 def rows_of(df):
@@ -301,6 +301,61 @@ def test_near_pairs_against_all_pairs(spark):
     assert overlap.row_pairs(p, m).count() == 0
 
 
+def test_pairs_of_many_copies(spark):
+    pairs_ = spark.createDataFrame([(1, 2), (1, 50), (7, 2)], "class_a bigint, class_b bigint")
+    rows = [(100 + i, True, 1) for i in range(40)] + [(200, True, 7), (90, False, 2)] + [(300 + i, False, 50) for i in range(9)]
+    members = spark.createDataFrame([(r, "s", "x", t, c) for r, t, c in rows], "scenario_row bigint, source string, split string, is_train boolean, class bigint")
+    want = sorted((min(a, b), max(a, b)) for a, t, c in rows if t for b, u, e in rows if not u and (c, e) in {(1, 2), (1, 50), (7, 2)})
+    for least in (5, 20_000):
+        assert sorted(map(tuple, overlap.row_pairs(pairs_, members, least).collect())) == want
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_signs_meet_whatever_is_near():
+    rng = random.Random(15)
+    for _ in range(1500):
+        k = rng.randrange(0, 4)
+        a = "".join(rng.choices("ab中", k=rng.randrange(0, 14)))
+        b = list(a)
+        for _ in range(rng.randrange(0, k + 2)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "b", "x"])
+        b = "".join(b)
+        if _edits(a, b) <= k:
+            assert segments.evaluation_signs(a, k) & segments.training_signs(b, k), (a, b, k)
+
+
+@pytest.mark.parametrize("least", [3, 20_000])
+def test_near_strings_against_all_pairs(spark, least):
+    rng = random.Random(16)
+    base = ["".join(rng.choices("abcd", k=rng.randrange(0, 16))) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(2)] = rng.choice(["", "a", "e"])
+        rows.append((i, "".join(t), rng.choice([True, False])))
+    rows += [(900, None, True), (901, "abc", None)]
+    p, m = segments.near_strings(spark.createDataFrame(rows, "k int, t string, train boolean"), "k", "t", F.col("train"), 2, least)
+    first = {}
+    for i, t, s in rows:
+        if t is not None and s is not None:
+            first.setdefault((t, s), i)
+    want = sorted((x, y, _edits(t, u)) for (t, s), x in first.items() if s for (u, v), y in first.items() if not v and _edits(t, u) <= 2)
+    assert sorted(map(tuple, p.collect())) == want
+    assert sorted((r["k"], r["class"]) for r in m.collect()) == sorted((i, first[t, s]) for i, t, s in rows if t is not None and s is not None)
+    assert segments.near_strings(spark.createDataFrame([], "k int, t string, train boolean"), "k", "t", F.col("train"))[0].count() == 0
+
+
 # 7 sample
 
 
