@@ -53,6 +53,9 @@ _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z_][\w-]*>")
 _ID = re.compile(r"\b[A-Z]{1,4}-[A-Z0-9]+\b|\b\w+_\w+\b")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
+#: Delimiters that open and those that close them.
+PAIRED = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "“": "”", "【": "】"}
+_DELIMITER = re.compile("[" + re.escape('"' + "".join(PAIRED) + "".join(PAIRED.values())) + "]")
 _QUOTED = re.compile(r"\{.*?\}|`[^`]*`", re.S)
 _LABEL = re.compile(rf"(?i)(?:{'|'.join(map(re.escape, LABELS))})\s*[:：]?\s*(.*)", re.S)
 _ASKED_AGAIN = re.compile(rf"(?i)^\W*(?:{'|'.join(QUESTION_LABELS)})\s*[:：]")
@@ -259,18 +262,17 @@ def _open_end(answer: str) -> bool:
                 pass
     if tags or re.search(r"</?[A-Za-z_]*\Z", a):
         return True
-    pair = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "“": "”", "【": "】"}
-    close = set(pair.values())
     stack: list[str] = []
     quoted = False
-    for i, c in enumerate(a):
-        if c == '"' and (stack and stack[-1] in "}]") and a[i - 1] != "\\":
+    for m in _DELIMITER.finditer(a):
+        c = m.group()
+        if c == '"' and (stack and stack[-1] in "}]") and a[m.start() - 1] != "\\":
             quoted = not quoted
         elif quoted:
             continue
-        elif c in pair:
-            stack.append(pair[c])
-        elif c in close and stack and stack[-1] == c:
+        elif c in PAIRED:
+            stack.append(PAIRED[c])
+        elif stack and stack[-1] == c:
             stack.pop()
     return bool(stack) or quoted
 
