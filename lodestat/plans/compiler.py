@@ -33,6 +33,7 @@ class Column:
     zero_fraction: float | None = None
     levels: tuple[str, ...] = ()
     rows: int = 0
+    names: tuple[str, ...] = ()
 
 
 @dataclass
@@ -65,18 +66,87 @@ def columns(df: DataFrame) -> list[Column]:
     return [Column(r["name"], kind_of(r["name"], r["dtype"], rows, r["unique"], r["minimum"]), r["unique"], r["missing"], r["minimum"], r["zero_fraction"], tuple(r["levels"] or ()), rows) for r in profile(df).collect()]
 
 
+@dataclass(frozen=True)
+class Entry:
+    """What a glossary says of a column: its meaning, the kind it names, other names in quotes or brackets."""
+
+    text: str
+    kind: str | None = None
+    names: tuple[str, ...] = ()
+
+
+#: Words by which a glossary names a kind.
+_KINDS = {
+    "identifier": "identifier, unique id, 識別碼, 标识",
+    "binary": "binary, yes/no, 0/1, indicator, 二元, 是否",
+    "categorical": "categorical, category, factor, levels, nominal, ordinal, 類別, 类别, 分類, 分类",
+    "continuous": "continuous, measured in, concentration, score, duration, 連續, 连续, 數值, 数值",
+}
+
+
+def parse_glossary(text: str) -> dict[str, Entry]:
+    """Lines "column: meaning" (also with a dash, a wide colon, a bullet or as rows of a table); other lines say nothing.
+    The first entry of a column counts."""
+    out: dict[str, Entry] = {}
+    for line in text.splitlines():
+        cells = [c.strip() for c in line.strip().strip("|").split("|")] if line.strip().startswith("|") else None
+        m = re.match(r"^\s*[-*•]?\s*[`\"]?([A-Za-z_][\w.]*)[`\"]?\s*(?:[:：=]|\s[-–—])\s*(.+)$", line)
+        name, meaning = (cells[0].strip("`\""), " ".join(cells[1:])) if cells and len(cells) > 1 else (m.group(1), m.group(2)) if m else (None, None)
+        if not name or not re.fullmatch(r"[A-Za-z_][\w.]*", name) or not meaning or name in out:
+            continue
+        low = meaning.lower()
+        kind = next((k for k, words in _KINDS.items() if any(w.strip() in low for w in words.split(","))), None)
+        names = tuple(n.strip() for n in re.findall(r"[\"“「(（]([^\"”」)）]{2,40})[\"”」)）]", meaning))
+        out[name] = Entry(meaning.strip(), kind, names)
+    return out
+
+
+def described(cols: Sequence[Column], glossary: dict[str, Entry]) -> list[Column]:
+    """Columns with the kind and the other names of the glossary; a kind that the values contradict (text as a number,
+    more than two values as binary) stays what the profile says."""
+    out = []
+    for c in cols:
+        e = glossary.get(c.name)
+        kind = e.kind if e else None
+        fits = kind is not None and not (kind == "continuous" and c.kind == "text") and not (kind == "binary" and c.unique != 2)
+        out.append(replace(c, kind=kind if fits else c.kind, names=e.names if e else ()))
+    return out
+
+
 def mentioned(cols: Sequence[Column], question: str) -> list[Column]:
-    """Columns named in the question, in the order of their first mention."""
+    """Columns the question names, by their own or another name, in the order of their first mention."""
     q = question.lower()
     hits = []
     for c in cols:
-        words = re.escape(c.name.lower()).replace("_", "[_ ]")
-        m = re.search(rf"(?<![a-z0-9_]){words}(?![a-z0-9_])", q)
-        if m:
-            hits.append((m.start(), -len(c.name), c))
+        for name in (c.name, *c.names):
+            words = re.escape(name.lower()).replace("_", "[_ ]")
+            edge = "A-Za-z0-9_" if name.isascii() else ""
+            m = re.search(rf"(?<![{edge}]){words}(?![{edge}])" if edge else words, q)
+            if m:
+                hits.append((m.start(), -len(name), c))
+                break
     return [c for _, _, c in sorted(hits, key=lambda h: h[:2])]
 
 
+def study_context(question: str) -> dict[str, str | None]:
+    """Design and unit the question states: randomised, observational, cohort, cross-over and so on; "per ...", "each ...",
+    "以...為單位"."""
+    designs = {
+        "randomized": r"randomi[sz]ed|random assignment|隨機分派|随机分配",
+        "observational": r"observational|not randomi[sz]ed|觀察性|观察性",
+        "cohort": r"\bcohort|世代研究|队列",
+        "case_control": r"case[- ]control|病例對照|病例对照",
+        "crossover": r"cross-?over|交叉設計|交叉设计",
+        "cross_sectional": r"cross[- ]sectional|survey|橫斷|横断",
+        "time_series": r"time series|時間序列|时间序列",
+    }
+    low = question.lower()
+    order = ("observational", *[d for d in designs if d != "observational"])
+    design = next((d for d in order if re.search(designs[d], low)), None)
+    m = re.search(r"\b(?:per|each|every)\s+([a-z]+)|unit of analysis is (?:the\s+)?([a-z]+)|以(\S{1,8}?)[為为]單?单?位", low)
+    return {"design": design, "unit": next((g for g in m.groups() if g), None) if m else None}
+
+
 def owners(names: DataFrame, column: str, file: str) -> DataFrame:
     """(column, file, n_files): the file of each column name, null where several files have it, as a role may not
     rest on such a name."""
@@ -224,7 +294,7 @@ def facts_of(cols: Sequence[Column], roles: dict, question: str) -> set[str]:
         facts.add(f"{role}:{x.kind}")
         facts |= {f"{role}:levels"} if x.kind in ("binary", "categorical") else set()
         facts |= {f"{role}:number"} if x.kind in ("continuous", "categorical") else set()
-        facts.add(f"{role}:two" if x.unique == 2 else f"{role}:many")
+        facts |= {f"{role}:two"} if x.unique == 2 else {f"{role}:many"} if x.unique > 2 else set()
     if y is not None and (y.minimum or 0) >= 0 and (y.zero_fraction or 0) >= FLOOR_SHARE:
         facts.add("outcome:floor")
     few = y is not None and 0 < y.rows <= FEW_ROWS
@@ -259,13 +329,42 @@ def choose(cols: Sequence[Column], question: str) -> Plan | None:
     return next((p for p in plans(cols, question) if p.ready), None)
 
 
-def analyze(df: DataFrame, question: str) -> dict:
-    """Profile, plan, run; or what has to be clarified."""
+def plan_errors(cols: Sequence[Column], request: Request) -> list[str]:
+    """What speaks against a request before it runs: unknown procedure, missing roles, unknown columns, one column in two
+    roles that must differ, an outcome without variation."""
+    if request.method_id not in CATALOGUE:
+        return [f"unknown procedure: {request.method_id}"]
+    by = {c.name: c for c in cols}
+    out = [f"missing role: {r}" for r in missing_roles(request.method_id, request.roles)]
+    single = {r: v for r, v in request.roles.items() if isinstance(v, str)}
+    listed = [v for vs in request.roles.values() if isinstance(vs, (list, tuple)) for v in vs]
+    out += [f"no such column: {v}" for v in dict.fromkeys([*single.values(), *listed]) if v not in by]
+    apart = [single[r] for r in ("outcome", "group", "time", "event", "before", "after", "cluster") if r in single]
+    out += [f"{v} has two roles" for v in dict.fromkeys(apart) if apart.count(v) > 1]
+    y = by.get(single.get("outcome", ""))
+    if y is not None and y.unique < 2:
+        out.append(f"{y.name} does not vary")
+    return out
+
+
+def repaired_plan(cols: Sequence[Column], ranked: Sequence[Plan], failed: Sequence[str] = ()) -> Plan | None:
+    """The next ready plan without errors, in the order of the candidates, besides those that failed."""
+    return next((p for p in ranked if p.ready and p.request.method_id not in failed and not plan_errors(cols, p.request)), None)
+
+
+def analyze(df: DataFrame, question: str, glossary: str = "") -> dict:
+    """Profile, plan, run; a plan that fails gives way to the next ready one; without any, what has to be clarified."""
     from lodestat.plans.procedures import outcome_of
 
-    cols = columns(df)
-    p = choose(cols, question)
-    if p is None:
-        ranked = plans(cols, question)
-        return {"status": "needs_clarification", "candidates": [x.request.method_id for x in ranked], "missing": ranked[0].missing if ranked else ["outcome"]}
-    return outcome_of(df, p.request) | {"roles": dict(p.request.roles), "score": p.score}
+    cols = described(columns(df), parse_glossary(glossary))
+    ranked, failed = plans(cols, question), []
+    error = None
+    while (p := repaired_plan(cols, ranked, [m for m, _ in failed])) is not None:
+        out = outcome_of(df, p.request)
+        if out["status"] == "ok":
+            return out | {"roles": dict(p.request.roles), "score": p.score, "context": study_context(question), "failed": dict(failed)}
+        error = out
+        failed.append((p.request.method_id, out["error"]))
+    if error is not None:
+        return error
+    return {"status": "needs_clarification", "candidates": [x.request.method_id for x in ranked], "missing": ranked[0].missing if ranked else ["outcome"], "context": study_context(question)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ["stats", "text", "gates", "planning", "sources", "nested"]
+_AREAS = ["stats", "text", "gates", "records", "planning", "sources", "nested"]
 
 
 def registered() -> dict:

@@ -64,3 +64,36 @@ def test_rules_by_the_table():
     assert {"rank", "association"} <= cues("兩者的等級相關") and cues("mean") == {"mean"} and "mean" not in cues("demeaned")
     few = [K.Column("cured", "binary", 2, 0, rows=40), K.Column("arm", "binary", 2, 0, rows=40)]
     assert K.plans(few, "Is cured tied to arm?")[0].request.method_id == "fisher_exact"
+
+
+def test_glossary_context_and_repair(spark):
+    text = "- `hrs`: hours to failure, continuous (running time)\n| wing | categorical, which hall |\nnothing here\nok - binary, \"passed\"\nhrs: again"
+    g = K.parse_glossary(text)
+    assert set(g) == {"hrs", "wing", "ok"} and g["hrs"].names == ("running time",) and (g["wing"].kind, g["ok"].kind) == ("categorical", "binary")
+    cols = K.described([K.Column("hrs", "continuous", 50, 0), K.Column("wing", "continuous", 4, 0), K.Column("ok", "categorical", 3, 0)], g)
+    assert [c.kind for c in cols] == ["continuous", "categorical", "categorical"]
+    assert [c.name for c in K.mentioned(cols, "Does the running time differ by wing?")] == ["hrs", "wing"]
+    assert K.study_context("A randomized trial, one row per patient") == {"design": "randomized", "unit": "patient"}
+    assert K.study_context("觀察性研究") == {"design": "observational", "unit": None}
+    bad = Request("welch_t", {"outcome": "a", "group": "a"})
+    assert K.plan_errors([K.Column("a", "binary", 1, 0)], bad) == ["a has two roles", "a does not vary"]
+    assert K.plan_errors([], Request("nope")) == ["unknown procedure: nope"]
+    df = spark.createDataFrame([(float(i), "x") for i in range(30)], "v double, g string")
+    assert K.analyze(df, "Does the mean v differ by g?")["status"] in ("needs_clarification", "error")
+
+
+def test_settings_and_command_line(tmp_path, capsys):
+    from lodestat.__main__ import main, parser
+    from lodestat.config import load_settings
+
+    p = tmp_path / "s.toml"
+    p.write_text("schema_version = 1\n[inputs]\nmost = 2\n")
+    assert load_settings(str(p)).section("inputs") == {"most": 2}
+    with pytest.raises(KeyError):
+        load_settings(str(p)).section("other")
+    for text in ("schema_version = 2\n", "schema_version = 1\nx = 3\n"):
+        p.write_text(text)
+        with pytest.raises(ValueError):
+            load_settings(str(p))
+    assert main(["queries"]) == 0 and "welch_t" in capsys.readouterr().out
+    assert parser().parse_args(["analyze", "--data", "a.csv", "--data", "b.csv", "--question", "q"]).data == ["a.csv", "b.csv"]
