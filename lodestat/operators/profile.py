@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +28,9 @@ def profile(df: DataFrame, most_levels: int = 20, examples: int = 3) -> DataFram
         F.max("num").alias("maximum"),
         (F.sum(F.when(F.col("num") == 0, F.col("n")).when(F.col("num").isNotNull(), 0)) / F.sum(F.when(F.col("num").isNotNull(), F.col("n")))).alias("zero_fraction"),
     )
-    # few values: the smallest most_levels + 1 per column
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("pos").orderBy("value")
-    first = per.where("value IS NOT NULL").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_levels).groupBy("pos").agg(F.array_sort(F.collect_list("value")).alias("head"))
+    # the smallest most_levels of a column; both branches read the same columns of `per`, so its shuffle is used twice
+    w = Window.partitionBy("pos").orderBy(F.col("value").asc_nulls_last())
+    first = per.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_levels).groupBy("pos").agg(F.array_sort(F.collect_list("value")).alias("head"), F.max("n").alias("__most")).drop("__most")
     names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "pos int, name string, dtype string")
     d = names.join(out, "pos", "left").join(first, "pos", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions import dist
@@ -16,10 +16,13 @@ from lodestat.operators.preprocess import AnalysisError, complete_cases, levels,
 from lodestat.operators.stats.models import _dot, _frame, _inverse, _matrix, _newton, _products, _vector, term_rows
 
 
-def _risk_sums(per_time: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
-    """Sums over all rows with the same or a later time, per distinct time; slices between quantiles of the times."""
-    back, at = value_slices(per_time.withColumn("__neg", -F.col("t")), "__neg")
-    return running_totals(back, groups, "__neg", {f"r_{v}": F.col(v) for v in values}, slice_of=at).drop("__neg")
+def _risk_sums(per_time: DataFrame, groups: list[str], values: list[str], slice_of: Column | None = None) -> DataFrame:
+    """Sums over all rows with the same or a later time, per distinct time; slices between quantiles of the times, or by
+    a column made before that falls with the time."""
+    back = per_time.withColumn("__neg", -F.col("t"))
+    if slice_of is None:
+        back, slice_of = value_slices(back, "__neg")
+    return running_totals(back, groups, "__neg", {f"r_{v}": F.col(v) for v in values}, slice_of=slice_of).drop("__neg")
 
 
 def logrank(df: DataFrame, time: str, event: str, group: str, most_groups: int = 1000) -> DataFrame:
@@ -47,34 +50,82 @@ def logrank(df: DataFrame, time: str, event: str, group: str, most_groups: int =
     return df.sparkSession.createDataFrame([(n, k, stat, k - 1, dist.chi2_sf(stat, k - 1))], "n bigint, n_groups int, statistic double, df int, p_value double")
 
 
-def cox_ph(df: DataFrame, time: str, event: str, predictors: Sequence[str], rounds: int = 30) -> DataFrame:
-    """Efron's partial likelihood. Per round: sums by distinct time, risk sums over later times, and
-    one aggregation; ties enter by their number per time. Adds hazard ratios."""
-    base = complete_cases(df, [time, event, *predictors])
-    d, terms = _frame(base, time, predictors, [event])
-    d = d.select(F.expr("slice(x, 2, size(x) - 1)").alias("x"), F.col("y").alias("t"), number(event).alias("e")).cache()
-    terms, k = terms[1:], len(terms) - 1
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    names = ["s0", *[f"s{i}" for i in range(1, k + 1)], *[f"q{i}_{j}" for i, j in pairs]]
-
-    def step(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = F.exp(_dot(b))
-        own = {"s0": w, **{f"s{i + 1}": w * F.col("x")[i] for i in range(k)}, **{f"q{i}_{j}": w * F.col("x")[i] * F.col("x")[j] for i, j in pairs}}
+class _Cox:
+    """Efron's partial likelihood over distinct times. Per pass: sums by time, risk sums over later times; ties enter by
+    their number per time."""
+
+    def __init__(self, df: DataFrame, time: str, event: str, predictors: Sequence[str]):
+        base = complete_cases(df, [time, event, *predictors])
+        d, terms = _frame(base, time, predictors, [event])
+        d = d.select(F.expr("slice(x, 2, size(x) - 1)").alias("x"), F.col("y").alias("t"), number(event).alias("e")).withColumn("__neg", -F.col("t"))
+        d, _ = value_slices(d, "__neg", into="at")  # once for all rounds
+        self.d = d.drop("__neg").cache()
+        self.terms, self.k = terms[1:], len(terms) - 1
+        self.pairs = [(i, j) for i in range(self.k) for j in range(i, self.k)]
+        self.names = ["s0", *[f"s{i}" for i in range(1, self.k + 1)], *[f"q{i}_{j}" for i, j in self.pairs]]
+
+    def times(self, b: np.ndarray) -> DataFrame:
+        """A line per time with events: sums x0.. of the events' predictors, their number m, sums over the risk set (r_) and
+        over the events (d_), and per tie l the part f taken out of the risk set."""
+        k, w = self.k, F.exp(_dot(b))
+        own = {"s0": w, **{f"s{i + 1}": w * F.col("x")[i] for i in range(k)}, **{f"q{i}_{j}": w * F.col("x")[i] * F.col("x")[j] for i, j in self.pairs}}
         dead = F.col("e") == 1
         aggs = [F.sum(v).alias(n) for n, v in own.items()] + [F.sum(F.when(dead, v).otherwise(0.0)).alias(f"d_{n}") for n, v in own.items()]
-        aggs += [F.sum(F.when(dead, F.col("x")[i]).otherwise(0.0)).alias(f"x{i}") for i in range(k)] + [F.count(F.when(dead, 1)).alias("m")]
-        per = d.groupBy("t").agg(*aggs).withColumn("one", F.lit(1))
-        r = _risk_sums(per, ["one"], names).where("m > 0")
-        r = r.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("l")).withColumn("f", F.col("l") / F.col("m"))
+        aggs += [F.sum(F.when(dead, F.col("x")[i]).otherwise(0.0)).alias(f"x{i}") for i in range(k)] + [F.count(F.when(dead, 1)).alias("m"), F.count(F.lit(1)).alias("here")]
+        per = self.d.groupBy("t", "at").agg(*aggs).withColumn("one", F.lit(1))
+        r = _risk_sums(per, ["one"], [*self.names, "here"], F.col("at")).where("m > 0")
+        return r.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("l")).withColumn("f", F.col("l") / F.col("m"))
+
+    def parts(self) -> tuple[list[Column], list[Column]]:
+        """Per line of `times`: residuals of the events, and the information."""
         at = lambda n: F.col(f"r_{n}") - F.col("f") * F.col(f"d_{n}")
-        score = [F.sum(F.col(f"x{i}") / F.col("m") - at(f"s{i + 1}") / at("s0")).alias(f"b{i}") for i in range(k)]
-        info = [F.sum(at(f"q{i}_{j}") / at("s0") - at(f"s{i + 1}") * at(f"s{j + 1}") / at("s0") ** 2).alias(f"a{i}_{j}") for i, j in pairs]
-        s = r.agg(*score, *info).first()
-        return _vector(s, k), _matrix(s, k)
+        score = [F.col(f"x{i}") / F.col("m") - at(f"s{i + 1}") / at("s0") for i in range(self.k)]
+        info = [at(f"q{i}_{j}") / at("s0") - at(f"s{i + 1}") * at(f"s{j + 1}") / at("s0") ** 2 for i, j in self.pairs]
+        return score, info
+
+    def step(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score, info = self.parts()
+        sums = [F.sum(c).alias(f"b{i}") for i, c in enumerate(score)] + [F.sum(c).alias(f"a{i}_{j}") for c, (i, j) in zip(info, self.pairs)]
+        s = self.times(b).agg(*sums).first()
+        return _vector(s, self.k), _matrix(s, self.k)
 
-    b, info, done = _newton(d, k, step, np.zeros(k), rounds)
-    d.unpersist()
-    return term_rows(df, terms, b, _inverse(info), None).withColumn("hazard_ratio", F.exp("estimate")).withColumn("converged", F.lit(done))
+    def fit(self, rounds: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        return _newton(self.d, self.k, self.step, np.zeros(self.k), rounds)
+
+
+def cox_ph(df: DataFrame, time: str, event: str, predictors: Sequence[str], rounds: int = 30) -> DataFrame:
+    """Efron's partial likelihood, with hazard ratios."""
+    c = _Cox(df, time, event, predictors)
+    b, info, done = c.fit(rounds)
+    c.d.unpersist()
+    return term_rows(df, c.terms, b, _inverse(info), None).withColumn("hazard_ratio", F.exp("estimate")).withColumn("converged", F.lit(done))
+
+
+def cox_ph_test(df: DataFrame, time: str, event: str, predictors: Sequence[str], rounds: int = 30) -> DataFrame:
+    """Proportional hazards, by term and over all (GLOBAL): Grambsch and Therneau's chi-square of the residuals of events
+    against one minus the Kaplan-Meier survival just before them. One line per distinct time stays distributed; the
+    survival is a running sum of logarithms over slices."""
+    c = _Cox(df, time, event, predictors)
+    b, info, _ = c.fit(rounds)
+    score, _ = c.parts()
+    r = c.times(b).groupBy("t").agg(F.first("m").alias("m"), F.first("r_here").alias("n"), *[F.sum(e).alias(f"u{i}") for i, e in enumerate(score)])
+    # the last time may empty the risk set; it is no earlier time of any other
+    drop = F.when(F.col("n") > F.col("m"), F.log1p(-F.col("m") / F.col("n"))).otherwise(0.0)
+    sliced, at = value_slices(r.withColumn("one", F.lit(1)), "t")
+    r = running_totals(sliced, ["one"], "t", {"upto": drop}, slice_of=at)
+    g = 1 - F.exp(F.col("upto") - drop)
+    cols = [F.sum("m").alias("d"), F.sum(F.col("m") * g).alias("g1"), F.sum(F.col("m") * g * g).alias("g2")]
+    cols += [F.sum(f"u{i}").alias(f"s{i}") for i in range(c.k)] + [F.sum(g * F.col(f"u{i}")).alias(f"w{i}") for i in range(c.k)]
+    s = r.agg(*cols).first()
+    c.d.unpersist()
+    if not s["d"]:
+        raise AnalysisError("no events")
+    mean = s["g1"] / s["d"]
+    spread = s["g2"] - s["d"] * mean**2
+    u = np.array([s[f"w{i}"] - mean * s[f"s{i}"] for i in range(c.k)])
+    inv = _inverse(info)
+    rows = [(term, (inv @ u)[i] ** 2 * s["d"] / (inv[i, i] * spread), 1) for i, term in enumerate(c.terms)] + [("GLOBAL", float(u @ inv @ u) * s["d"] / spread, c.k)]
+    return df.sparkSession.createDataFrame([(t, float(x), k, dist.chi2_sf(float(x), k)) for t, x, k in rows], "term string, statistic double, df int, p_value double")
 
 
 def _clusters(df: DataFrame, outcome: str, predictors: Sequence[str], cluster: str) -> tuple[DataFrame, list[str]]:
@@ -368,4 +419,4 @@ def calibration_curve(df: DataFrame, outcome: str, predictors: Sequence[str], ke
     return calibration_bins(held_out_scores(df, outcome, predictors, key, folds, seed), "score", "y", bins)
 
 
-__all__ = ["blocked_time_series_cv", "calibrated_logistic", "calibration_curve", "conjugate_bayes", "cox_ph", "gee", "held_out_scores", "logrank", "mixed_effects", "multiple_imputation", "posterior_predictive", "randomization_inference"]
+__all__ = ["blocked_time_series_cv", "calibrated_logistic", "calibration_curve", "conjugate_bayes", "cox_ph", "cox_ph_test", "gee", "held_out_scores", "logrank", "mixed_effects", "multiple_imputation", "posterior_predictive", "randomization_inference"]

@@ -215,6 +215,10 @@ def cox_ph(s: SparkSession, d: str) -> DataFrame:
     return rounded(L.cox_ph(_survival(s, d), "hours", "event", ["first_value"]), 6)
 
 
+def cox_ph_test(s: SparkSession, d: str) -> DataFrame:
+    return rounded(L.cox_ph_test(_survival(s, d), "hours", "event", ["first_value"]), 5)
+
+
 def conjugate_bayes(s: SparkSession, d: str) -> DataFrame:
     return rounded(L.conjugate_bayes(table(s, d, "customer").select("c_acctbal"), "c_acctbal"))
 
@@ -261,7 +265,7 @@ def blocked_time_series_cv(s: SparkSession, d: str) -> DataFrame:
     return rounded(L.blocked_time_series_cv(table(s, d, "orders").select("o_orderdate", "o_totalprice", "o_custkey", "o_orderkey"), "o_orderdate", "o_totalprice", ["o_custkey"], tie=["o_orderkey"]), 4)
 
 
-_ALL = [welch_t, independent_t, difference_in_means, paired_t, wilcoxon_signed_rank, mann_whitney, kruskal_wallis, spearman_correlation, chi_square, two_proportion, fisher_exact, binomial_test, contingency_table, mid_ranks, profile_columns, profile_predictions, duplicate_rows, row_filter_recode, ols, hc3_ols, ancova, regression_f_test, iv_2sls, huber_regression, logistic_glm, logistic_regret, poisson_regret, logrank_two, ancova_flag, probit_glm, firth_logistic, poisson_glm, negative_binomial_glm, tobit_regression, gee, mixed_effects, logrank, cox_ph, conjugate_bayes, posterior_predictive, randomization_inference, ipw, multiple_imputation, calibrated_logistic, calibration_curve, stratified_folds, brier_auc, calibration_bins, blocked_time_series_cv]
+_ALL = [welch_t, independent_t, difference_in_means, paired_t, wilcoxon_signed_rank, mann_whitney, kruskal_wallis, spearman_correlation, chi_square, two_proportion, fisher_exact, binomial_test, contingency_table, mid_ranks, profile_columns, profile_predictions, duplicate_rows, row_filter_recode, ols, hc3_ols, ancova, regression_f_test, iv_2sls, huber_regression, logistic_glm, logistic_regret, poisson_regret, logrank_two, ancova_flag, probit_glm, firth_logistic, poisson_glm, negative_binomial_glm, tobit_regression, gee, mixed_effects, logrank, cox_ph, cox_ph_test, conjugate_bayes, posterior_predictive, randomization_inference, ipw, multiple_imputation, calibrated_logistic, calibration_curve, stratified_folds, brier_auc, calibration_bins, blocked_time_series_cv]
 
 
 def queries() -> dict:

@@ -185,6 +185,21 @@ def test_survival_against_plain_loops(spark):
     b = L.cox_ph(df, "t", "e", ["x"]).first()["estimate"]
     assert efron(b) >= max(efron(b - 1e-3), efron(b + 1e-3))
 
+    info, lines, km = 0.0, [], 1.0
+    for t in sorted({r[0] for r in rows if r[1]}):
+        risk, dead = [r for r in rows if r[0] >= t], [r for r in rows if r[0] == t and r[1]]
+        at = lambda p, part, f: sum(math.exp(b * r[3]) * r[3] ** p for r in risk) - f * sum(math.exp(b * r[3]) * r[3] ** p for r in part)
+        fs = [i / len(dead) for i in range(len(dead))]
+        means = [at(1, dead, f) / at(0, dead, f) for f in fs]
+        info += sum(at(2, dead, f) / at(0, dead, f) - m * m for f, m in zip(fs, means))
+        lines.append((1 - km, len(dead), sum(r[3] for r in dead) - sum(means)))
+        km *= 1 - len(dead) / len(risk)
+    n = sum(m for _, m, _ in lines)
+    mean = sum(g * m for g, m, _ in lines) / n
+    u, v = sum((g - mean) * r for g, _, r in lines), sum(m * (g - mean) ** 2 for g, m, _ in lines)
+    got = {r["term"]: r for r in L.cox_ph_test(df, "t", "e", ["x"]).collect()}
+    assert got["x"]["statistic"] == pytest.approx(u * u * n / (info * v), rel=1e-5) and got["GLOBAL"]["statistic"] == pytest.approx(got["x"]["statistic"])
+
 
 def test_clusters(spark):
     df, x, g, y, *_ = _data(spark)
