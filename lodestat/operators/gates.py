@@ -83,7 +83,8 @@ def culprits(pairs: DataFrame, group: str, before: str, after: str) -> DataFrame
     t = per.agg(F.sum("n").alias("tn"), F.sum("d").alias("td"))
     out = per.crossJoin(t)
     rest = F.when(F.col("tn") > F.col("n"), (F.col("td") - F.col("d")) / (F.col("tn") - F.col("n")))
-    return out.select(group, "n", F.round(F.col("d") / F.col("n"), 6).alias("mean_change"), F.round(F.col("d") / F.col("tn"), 6).alias("contribution"), F.round(rest, 6).alias("change_without"))
+    six = lambda c: F.round(F.round(c, 9), 6)  # noqa: E731 (sums differ in their last digit by order)
+    return out.select(group, "n", six(F.col("d") / F.col("n")).alias("mean_change"), six(F.col("d") / F.col("tn")).alias("contribution"), six(rest).alias("change_without"))
 
 
 def weighted_mean(df: DataFrame, by: Sequence[str], value: Column, weight: Column) -> DataFrame:

@@ -390,7 +390,7 @@ SELECT coalesce(early, CASE WHEN k > 400 THEN 'quota' WHEN copy > 1 THEN 'duplic
         "routed_pick": f"{_S} SELECT blueprint_id, language, round(coalesce(e.regret, a.regret), 6) AS regret FROM {both.format('expert')} e FULL JOIN {both.format('parent')} a USING (blueprint_id, language)",
         "replaced_rows": f"{_S}, r AS (SELECT * FROM s WHERE slug = 'repair' UNION ALL SELECT * FROM s a WHERE slug = 'parent' AND NOT EXISTS (FROM s b WHERE b.slug = 'repair' AND b.blueprint_id = a.blueprint_id AND b.language = a.language)) SELECT family_id, count(*) AS n, round(avg(regret), 6) AS mean_regret FROM r GROUP BY 1",
         "paired_coverage": f"{_S} SELECT language, count(*) AS n, count(a.regret - e.regret) AS n_paired, round(avg(a.regret - e.regret), 6) AS mean_difference FROM {both.format('parent')} a FULL JOIN {both.format('expert')} e USING (blueprint_id, language) GROUP BY 1",
-        "culprit_families": f"{_S}, x AS (SELECT a.family_id, e.regret - a.regret AS d FROM s a JOIN s e USING (blueprint_id, language, family_id) WHERE a.slug = 'parent' AND e.slug = 'expert'), g AS (SELECT family_id, count(*) AS n, sum(d) AS d FROM x GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS tn, sum(d) OVER () AS td FROM g) SELECT family_id, n, round(d / n, 6) AS mean_change, round(d / tn, 6) AS contribution, CASE WHEN tn > n THEN round((td - d) / (tn - n), 6) END AS change_without FROM t",
+        "culprit_families": f"{_S}, x AS (SELECT a.family_id, e.regret - a.regret AS d FROM s a JOIN s e USING (blueprint_id, language, family_id) WHERE a.slug = 'parent' AND e.slug = 'expert'), g AS (SELECT family_id, count(*) AS n, sum(d) AS d FROM x GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS tn, sum(d) OVER () AS td FROM g) SELECT family_id, n, round(round(d / n, 9), 6) AS mean_change, round(round(d / tn, 9), 6) AS contribution, CASE WHEN tn > n THEN round(round((td - d) / (tn - n), 9), 6) END AS change_without FROM t",
         "guard_metrics": f"WITH {_P} SELECT family_id, language, count(*) AS n, round(avg((regret > 0.8)::INT) FILTER (NOT valid), 6) AS sensitivity, round(avg((regret <= 0.8)::INT) FILTER (valid), 6) AS specificity FROM p WHERE valid IS NOT NULL AND regret IS NOT NULL GROUP BY ALL",
         "promotion_gates": f"WITH {_P}, m AS (SELECT adapter_id, count(*) AS n, count(*) >= 50 AS enough_rows, coalesce(avg(regret) <= 0.45, false) AS regret, coalesce(avg((predicted_method_id = oracle_method_id)::INT) >= 0.4, false) AS accuracy, coalesce(avg((NOT valid)::INT) <= 0.25, false) AS invalid FROM p GROUP BY 1) SELECT *, concat_ws(',', CASE WHEN NOT enough_rows THEN 'enough_rows' END, CASE WHEN NOT regret THEN 'regret' END, CASE WHEN NOT accuracy THEN 'accuracy' END, CASE WHEN NOT invalid THEN 'invalid' END) AS failed, enough_rows AND regret AND accuracy AND invalid AS passed FROM m",
         "data_gate": """WITH c AS (SELECT coalesce(len(messages) > 1, false) AS a, coalesce(messages[-1].role = 'assistant', false) AS b, coalesce(lower(trim(metadata.split)) IN ('train', 'valid', 'test'), false) AS c,

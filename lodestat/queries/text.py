@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import text as X
@@ -287,6 +287,48 @@ def direct_regret_target(s: SparkSession, d: str) -> DataFrame:
     return rounded(O.direct_target(r, ["family_id"], "probability", "regret", 0.5))
 
 
+def _policies(s: SparkSession, d: str) -> DataFrame:
+    """Per family and method: regret, a parent's and an oracle's probabilities, role and validity."""
+    r = O.normalised(_methods(s, d), ["family_id"], "raw").withColumn("gain", -F.col("regret"))
+    r = O.softmax(O.softmax(r, ["family_id"], "gain", 0.15), ["family_id"], "gain", 0.05, "oracle")
+    worse = F.avg("raw").over(Window.partitionBy("family_id")) > 0.4
+    return r.withColumns({"method": F.col("predicted_method_id"), "valid": F.col("regret") < 0.9, "role": F.when(worse, "repair").otherwise("anchor")}).drop("gain")
+
+
+def repair_targets(s: SparkSession, d: str) -> DataFrame:
+    """Parents drawn to the oracle in families of high regret, kept where that costs nothing."""
+    t = O.triggered_target(_policies(s, d), ["family_id"], "probability", "oracle", "regret", "valid", "role", 0.2, 0.1, 0.5, 0.4)
+    t = O.kept_if_no_worse(t, ["family_id"], "probability", "target", "regret")
+    return rounded(t.select("family_id", "predicted_method_id", "role", "pull", "kept", "taken"))
+
+
+def arm_targets(s: SparkSession, d: str) -> DataFrame:
+    """Expected regret of three arms per family, and their weight."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("family_id"))
+    x = _policies(s, d).withColumns({"even": 1 / n, "weight": F.when(F.col("role") == "repair", 1.5).otherwise(0.5)})
+    a = O.arms(x, {"parent": F.col("probability"), "oracle": F.col("oracle"), "even": F.col("even")}, "regret", ["family_id"], "weight")
+    return rounded(a.select("family_id", "arm", F.round("expected_regret", 9).alias("expected_regret"), "arm_weight").distinct())
+
+
+def menu_regrets(s: SparkSession, d: str) -> DataFrame:
+    """Regrets in the order of a menu of all methods of the family and the request for clarification: their number and
+    their sum weighted by place."""
+    g = _policies(s, d).groupBy("family_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "regret"))).alias("m"))
+    ids = F.array_sort(F.array_union(F.map_keys("m"), F.array(F.lit("needs_clarification"))))
+    v = O.regret_vector(ids, F.col("m"))
+    return g.select("family_id", F.size(ids).alias("n"), F.round(F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("weighted"))
+
+
+def boundary_points(s: SparkSession, d: str) -> DataFrame:
+    """Training scenarios at the first boundary of the first two parameters of their family, a row per parameter."""
+    b = table(s, d, "family_bounds").groupBy(code_key(F.col("family_id")).alias("f")).agg(*[F.map_from_entries(F.collect_list(F.struct("parameter_name", c))).alias(c) for c in ("lower_bound", "upper_bound", "is_integer")])
+    x = table(s, d, "scenarios").where("parameters IS NOT NULL").select("scenario_row", id_key(F.col("split")).alias("split"), code_key(F.col("family_id")).alias("f"), "parameters").where("split = 'train'").join(b, "f")
+    names = F.array_sort(F.map_keys("lower_bound"))
+    moved = O.boundary(F.col("parameters"), F.col("lower_bound"), F.col("upper_bound"), F.col("is_integer"), 1, names[0], F.try_element_at(names, F.lit(2)), ["event_rate"], F.lit("n"))
+    y = x.select("scenario_row", F.explode(moved).alias("parameter_name", "value"), "lower_bound").where(F.array_contains(F.map_keys("lower_bound"), F.col("parameter_name")))
+    return y.where("value IS NOT NULL AND NOT isnan(value)").select("scenario_row", "parameter_name", F.round("value", 6).alias("value"))
+
+
 def cvar_weights(s: SparkSession, d: str) -> DataFrame:
     m = _methods(s, d).groupBy("family_id").agg(F.round(F.avg("raw"), 9).alias("loss"))
     return rounded(O.tail_weights(m, "family_id", "loss", 0.25, 0.5))
@@ -301,7 +343,7 @@ def crn_simulation(s: SparkSession, d: str) -> DataFrame:
     return rounded(O.simulate(x, ["family_id"], "predicted_method_id"))
 
 
-_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, canary_routes, protected_prompts, token_windows, router_canary, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, cvar_weights, lhs_scenarios, crn_simulation]
+_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, canary_routes, protected_prompts, token_windows, router_canary, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, repair_targets, arm_targets, menu_regrets, boundary_points, cvar_weights, lhs_scenarios, crn_simulation]
 
 
 def queries() -> dict:
@@ -351,6 +393,9 @@ _P = """p AS (SELECT *, lower(replace(trim(family_id), '-', '_')) AS f, lower(re
 _M = f"WITH {_P}, m AS (SELECT f AS family_id, predicted_method_id, round(avg(r), 9) AS raw FROM p WHERE r IS NOT NULL AND predicted_method_id IS NOT NULL GROUP BY ALL), n AS (SELECT *, CASE WHEN max(raw) OVER w - min(raw) OVER w > 1e-12 THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 0.0 END AS regret FROM m WINDOW w AS (PARTITION BY family_id)), e AS (SELECT *, exp(-regret / 0.15) AS e FROM n), s AS (SELECT *, e / sum(e) OVER (PARTITION BY family_id) AS probability FROM e)"
 
 
+_POLICIES = f"{_M}, o AS (SELECT *, exp(-regret / 0.05) AS oe, CASE WHEN avg(raw) OVER (PARTITION BY family_id) > 0.4 THEN 'repair' ELSE 'anchor' END AS role FROM s), q AS (SELECT *, oe / sum(oe) OVER (PARTITION BY family_id) AS oracle FROM o)"
+
+
 def _greedy(order: str, budget: int, repeats: int) -> str:
     return f"""WITH RECURSIVE o AS (SELECT doc_id, coalesce(nullif(lower(replace(trim(lang), '-', '_')), ''), '?') AS lang, n_chars, r::INT AS repeat_index, row_number() OVER (PARTITION BY coalesce(nullif(lower(replace(trim(lang), '-', '_')), ''), '?') ORDER BY r, {order}, doc_id) AS k FROM documents, range({repeats}) x(r) WHERE n_chars > 0),
 g AS (SELECT *, true AS keep, {budget} - n_chars AS room FROM o WHERE k = 1 UNION ALL
@@ -431,5 +476,17 @@ q AS (SELECT *, 0.5 * probability + 0.5 * t / sum(t) OVER w AS q FROM a WINDOW w
 g AS (SELECT *, sum(q * regret) OVER w <= sum(probability * regret) OVER w + 1e-12 AS accepted FROM q WINDOW w AS (PARTITION BY family_id)),
 j AS (SELECT *, CASE WHEN accepted THEN q ELSE probability END AS j FROM g)
 SELECT family_id, predicted_method_id, round(regret, 6) AS regret, round(probability, 6) AS probability, accepted, round(j, 6) AS projected, round(sum(j * ln(j / probability)) OVER (PARTITION BY family_id), 6) AS kl FROM j""",
+        "repair_targets": f"""{_POLICIES}, ee AS (SELECT *, sum(probability * regret) OVER w AS mine, sum(oracle * regret) OVER w AS best, first_value(regret < 0.9) OVER (PARTITION BY family_id ORDER BY probability DESC, predicted_method_id) AS top FROM q WINDOW w AS (PARTITION BY family_id)),
+cc AS (SELECT *, 0.1 + 0.4 * greatest(0, least(1, (mine - 0.2) / 0.8)) AS c FROM ee),
+l AS (SELECT *, CASE WHEN role = 'repair' AND best < mine - 1e-12 THEN least(0.5, CASE WHEN NOT top THEN greatest(c, 0.4) ELSE c END) ELSE 0.0 END AS pull FROM cc),
+t AS (SELECT *, (1 - pull) * probability + pull * oracle AS target FROM l), k AS (SELECT *, sum(target * regret) OVER (PARTITION BY family_id) <= mine + 1e-10 AS taken FROM t)
+SELECT family_id, predicted_method_id, role, round(pull, 6) AS pull, round(CASE WHEN taken THEN target ELSE probability END, 6) AS kept, taken FROM k""",
+        "arm_targets": f"{_POLICIES}, a AS (SELECT family_id, role, sum(probability * regret) AS parent, sum(oracle * regret) AS oracle, avg(regret) AS even FROM q GROUP BY ALL), u AS (UNPIVOT a ON parent, oracle, even INTO NAME arm VALUE r) SELECT family_id, arm, round(round(r, 9), 6) AS expected_regret, CASE role WHEN 'repair' THEN 1.5 ELSE 0.5 END::DOUBLE AS arm_weight FROM u",
+        "menu_regrets": f"{_POLICIES}, x AS (SELECT family_id, predicted_method_id AS m, CASE WHEN predicted_method_id = 'needs_clarification' THEN 1.0 ELSE regret END AS r FROM q UNION SELECT DISTINCT family_id, 'needs_clarification', 1.0 FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY m) AS k FROM x) SELECT family_id, count(*)::INT AS n, round(sum(k * r), 6) AS weighted FROM k GROUP BY 1",
+        "boundary_points": """WITH b AS (SELECT lower(replace(trim(family_id), '-', '_')) AS f, parameter_name AS p, lower_bound AS lo, upper_bound AS hi, is_integer AS i, row_number() OVER (PARTITION BY lower(replace(trim(family_id), '-', '_')) ORDER BY parameter_name) AS k FROM family_bounds),
+v AS (SELECT scenario_row, p, lo, hi, i, parameters[p] AS v, CASE WHEN p = 'n' THEN 0.8 WHEN k = 2 THEN 0.82 WHEN k = 1 THEN 0.82 END AS q FROM scenarios JOIN b ON b.f = lower(replace(trim(family_id), '-', '_')) WHERE lower(trim(split)) = 'train' AND parameters IS NOT NULL AND map_contains(parameters, p)),
+w AS (SELECT *, lo + CASE WHEN p = 'event_rate' THEN 1 - q ELSE q END * (hi - lo) AS x FROM v),
+r AS (SELECT scenario_row, p AS parameter_name, CASE WHEN q IS NULL THEN v WHEN i THEN greatest(round(x), 2) ELSE x END AS value FROM w)
+SELECT scenario_row, parameter_name, round(value, 6) AS value FROM r WHERE value IS NOT NULL AND NOT isnan(value)""",
         "cvar_weights": f"{_M}, l AS (SELECT family_id, round(avg(raw), 9) AS loss FROM m GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY loss DESC, family_id) AS k, count(*) OVER () AS n, greatest(1, round_even(count(*) OVER () * 0.25, 0)) AS tail FROM l) SELECT family_id, round(loss, 6) AS loss, round(0.5 + CASE WHEN k <= tail THEN 0.5 * n / tail ELSE 0 END, 6) AS weight FROM k",
     }
