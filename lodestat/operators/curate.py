@@ -16,13 +16,14 @@ from lodestat.session import cut
 
 def ngram_overlap(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str, n: int = 8) -> DataFrame:
     """(key, n_grams, union_ratio, best_ratio): share of a document's distinct word n-grams found in the
-    union of the references and in the single best reference. N-grams meet in an equi-join, frequent ones
-    in slots; documents with fewer than n words have ratio 0."""
-    d = cut(docs.select(key, F.explode_outer(X.word_ngrams(F.col(text), n)).alias("gram")))
-    size = d.groupBy(key).agg(F.count("gram").alias("n_grams"))
-    r = refs.select(F.col(ref_key).alias("__ref"), F.explode(X.word_ngrams(F.col(ref_text), n)).alias("gram")).distinct()
-    r = cut(r)
-    held = d.where("gram IS NOT NULL")
+    union of the references and in the single best reference; keys are unique. N-grams meet in an equi-join, as
+    digests of 16 bytes, frequent ones in slots; documents with fewer than n words have ratio 0. Documents are cut
+    into n-grams once for the counts of these and once for the join, as writing all n-grams would cost more than that."""
+    d = docs.select(key, X.word_ngrams(F.col(text), n).alias("__grams"))
+    size = d.select(key, F.size("__grams").cast("bigint").alias("n_grams"))
+    digest = F.unhex(F.md5("__gram")).alias("gram")
+    held = d.select(key, F.explode("__grams").alias("__gram")).select(key, digest)
+    r = cut(refs.select(F.col(ref_key).alias("__ref"), F.explode(X.word_ngrams(F.col(ref_text), n)).alias("__gram")).select("__ref", digest).distinct())
     hot = hot_keys(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ["gram"])
     hits = salted_on(held, r, ["gram"], F.col(key), hot).groupBy(key, "__ref").agg(F.count(F.lit(1)).alias("h")).groupBy(key).agg(F.max("h").alias("best"))
     union = salted_on(held, r.select("gram").distinct(), ["gram"], F.col(key), hot, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("any"))
@@ -250,7 +251,6 @@ def mmr(df: DataFrame, group: str, key: str, text: str, score: str, k: int, pena
     kinds = dict(df.dtypes)
     schema = f"{group} {kinds[group]}, {key} {kinds[key]}, position int, mmr double, grams array<string>, more boolean"
     d = rank_scores(df.select(group, key, F.col(text).alias("__t"), F.col(score).cast("double").alias("score")), group, key, "score")
-    d = cut(d.select(group, key, X.word_ngrams(F.col("__t"), n).alias("grams"), "score"))
     w = Window.partitionBy(group).orderBy(F.desc("value"), F.desc(key))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,17 +273,20 @@ def mmr(df: DataFrame, group: str, key: str, text: str, score: str, k: int, pena
         more = rest is not None and had + len(out) < k
         return pd.DataFrame([(*o, more) for o in out], columns=[group, key, "position", "mmr", "grams", "more"])
 
+    name_of = F.when(F.col(group).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
     left, picked = d.withColumn("near", F.lit(0.0)).withColumn("had", F.lit(0)), None
     while True:
         pooled = left.withColumn("value", F.col("score") - F.lit(float(penalty)) * F.col("near")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool + 1)
+        pooled = pooled.withColumn("grams", X.word_ngrams(F.col("__t"), n)).drop("__t")  # of the pool only
         made = cut(pooled.groupBy(group).applyInPandas(choose, schema))
         picked = made if picked is None else picked.unionByName(made)
         if made.where("more").isEmpty():
             return picked.select(group, key, "position", "mmr")
-        unfinished = made.where("more").select(F.col(group).alias("__g")).distinct()
-        known = picked.join(unfinished, F.col(group).eqNullSafe(F.col("__g"))).groupBy("__g").agg(F.collect_list(key).alias("__keys"), F.collect_list("grams").alias("__sets"), F.count(F.lit(1)).cast("int").alias("had"))
+        unfinished = made.where("more").select(name_of.alias("__g")).distinct()
+        known = picked.withColumn("__g", name_of).join(unfinished, "__g").groupBy("__g").agg(F.collect_list(key).alias("__keys"), F.collect_list("grams").alias("__sets"), F.count(F.lit(1)).cast("int").alias("had"))
         nearest = F.aggregate("__sets", F.lit(0.0), lambda m, g: F.greatest(m, X.jaccard(F.col("grams"), g)))
-        left = d.join(known, F.col(group).eqNullSafe(F.col("__g"))).where(~F.array_contains("__keys", F.col(key))).withColumn("near", nearest).drop("__g", "__keys", "__sets")
+        rest = salted_join(d.withColumn("__g", name_of), known, ["__g"], F.col(key)).where(~F.array_contains("__keys", F.col(key))).withColumn("grams", X.word_ngrams(F.col("__t"), n))
+        left = rest.withColumn("near", nearest).drop("__g", "__keys", "__sets", "grams")
 
 
 def selected_tokens(deltas: Column, offset: int, share: float, floor: float, last: int = 2) -> Column:
