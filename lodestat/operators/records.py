@@ -191,6 +191,22 @@ def p_values_found(df: DataFrame, key: str, result: str, target: str) -> DataFra
     return df.select(key, result, target).mapInArrow(run, f"{key} {kind}, p_value double")
 
 
+def target_errors(ids: Column, probabilities: Column, regrets: Column, selected: Column, most: int = 6, tolerance: float = 1e-7) -> Column:
+    """What is wrong with a record of soft targets: an array of messages, empty if nothing is."""
+    n = F.coalesce(F.size(ids), F.lit(0))
+    total = F.aggregate(probabilities, F.lit(0.0), lambda a, x: a + x)
+    checks = [
+        (n <= 0, "no candidates"),
+        (n > most, "too many candidates"),
+        (F.size(F.array_distinct(ids)) < n, "repeated candidate"),
+        ((F.size(probabilities) != n) | (F.size(regrets) != n), "lists of unequal length"),
+        (F.exists(probabilities, lambda x: x.isNull() | (x < 0) | (x > 1)), "probability outside 0 and 1"),
+        (F.coalesce(F.abs(total - 1) > tolerance, F.lit(True)), "probabilities do not sum to one"),
+        (~F.coalesce(F.array_contains(ids, selected), F.lit(False)), "selected is no candidate"),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(t)) for c, t in checks]))
+
+
 def complete_only(df: DataFrame, tokens: str, limit: int, split: str) -> DataFrame:
     """Rows within the limit, none cut; a split that would be left empty is an error."""
     kept = df.where(F.col(tokens) <= limit)

@@ -13,6 +13,7 @@ from lodestat.functions.keys import code_key, id_key
 from lodestat.operators import curate as U
 from lodestat.operators import evaluate as E
 from lodestat.operators import policy as O
+from lodestat.operators import records as P
 from lodestat.operators import router as R
 from lodestat.queries.stats import rounded
 from lodestat.session import shared_folder
@@ -302,6 +303,13 @@ def repair_targets(s: SparkSession, d: str) -> DataFrame:
     return rounded(t.select("family_id", "predicted_method_id", "role", "pull", "kept", "taken"))
 
 
+def target_checks(s: SparkSession, d: str) -> DataFrame:
+    """Targets of the families as records: what is wrong with each."""
+    x = _policies(s, d).groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("method", F.col("probability").alias("p"), F.col("regret").alias("r")))).alias("a"), F.min_by("method", F.struct("regret", "method")).alias("best"))
+    e = P.target_errors(F.col("a.method"), F.col("a.p"), F.col("a.r"), F.col("best"))
+    return x.select("family_id", F.array_join(e, "; ").alias("errors"))
+
+
 def arm_targets(s: SparkSession, d: str) -> DataFrame:
     """Expected regret of three arms per family, and their weight."""
     n = F.count(F.lit(1)).over(Window.partitionBy("family_id"))
@@ -343,7 +351,7 @@ def crn_simulation(s: SparkSession, d: str) -> DataFrame:
     return rounded(O.simulate(x, ["family_id"], "predicted_method_id"))
 
 
-_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, canary_routes, protected_prompts, token_windows, router_canary, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, repair_targets, arm_targets, menu_regrets, boundary_points, cvar_weights, lhs_scenarios, crn_simulation]
+_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, canary_routes, protected_prompts, token_windows, router_canary, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, repair_targets, target_checks, arm_targets, menu_regrets, boundary_points, cvar_weights, lhs_scenarios, crn_simulation]
 
 
 def queries() -> dict:
@@ -481,6 +489,7 @@ cc AS (SELECT *, 0.1 + 0.4 * greatest(0, least(1, (mine - 0.2) / 0.8)) AS c FROM
 l AS (SELECT *, CASE WHEN role = 'repair' AND best < mine - 1e-12 THEN least(0.5, CASE WHEN NOT top THEN greatest(c, 0.4) ELSE c END) ELSE 0.0 END AS pull FROM cc),
 t AS (SELECT *, (1 - pull) * probability + pull * oracle AS target FROM l), k AS (SELECT *, sum(target * regret) OVER (PARTITION BY family_id) <= mine + 1e-10 AS taken FROM t)
 SELECT family_id, predicted_method_id, role, round(pull, 6) AS pull, round(CASE WHEN taken THEN target ELSE probability END, 6) AS kept, taken FROM k""",
+        "target_checks": f"{_POLICIES} SELECT family_id, concat_ws('; ', CASE WHEN count(*) > 6 THEN 'too many candidates' END, CASE WHEN abs(sum(probability) - 1) > 1e-7 THEN 'probabilities do not sum to one' END) AS errors FROM q GROUP BY 1",
         "arm_targets": f"{_POLICIES}, a AS (SELECT family_id, role, sum(probability * regret) AS parent, sum(oracle * regret) AS oracle, avg(regret) AS even FROM q GROUP BY ALL), u AS (UNPIVOT a ON parent, oracle, even INTO NAME arm VALUE r) SELECT family_id, arm, round(round(r, 9), 6) AS expected_regret, CASE role WHEN 'repair' THEN 1.5 ELSE 0.5 END::DOUBLE AS arm_weight FROM u",
         "menu_regrets": f"{_POLICIES}, x AS (SELECT family_id, predicted_method_id AS m, CASE WHEN predicted_method_id = 'needs_clarification' THEN 1.0 ELSE regret END AS r FROM q UNION SELECT DISTINCT family_id, 'needs_clarification', 1.0 FROM q), k AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY m) AS k FROM x) SELECT family_id, count(*)::INT AS n, round(sum(k * r), 6) AS weighted FROM k GROUP BY 1",
         "boundary_points": """WITH b AS (SELECT lower(replace(trim(family_id), '-', '_')) AS f, parameter_name AS p, lower_bound AS lo, upper_bound AS hi, is_integer AS i, row_number() OVER (PARTITION BY lower(replace(trim(family_id), '-', '_')) ORDER BY parameter_name) AS k FROM family_bounds),

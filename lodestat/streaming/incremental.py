@@ -34,3 +34,12 @@ def append_batches(stream: DataFrame, target: str, checkpoint: str, key: str) ->
         batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_for(query: StreamingQuery, seconds: float) -> bool:
+    """Lets a stream work until it is done or the time is up: true if done. What was written stays; the next start with the
+    same checkpoint goes on behind the last whole batch."""
+    if query.awaitTermination(seconds):
+        return True
+    query.stop()
+    return False

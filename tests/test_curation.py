@@ -153,6 +153,9 @@ def test_files_and_streams(spark, tmp_path):
     for _ in range(2):
         S.append_batches(s, str(tmp_path / "out"), str(tmp_path / "ck"), "id").awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    df.withColumn("id", F.col("id") + 10).write.mode("append").parquet(str(tmp_path / "in"))
+    assert S.run_for(S.append_batches(s, str(tmp_path / "out"), str(tmp_path / "ck"), "id"), 60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_small_numeric_choices():

@@ -73,3 +73,11 @@ def test_limits_counts_and_stops(spark):
     d = spark.createDataFrame([("x", i, i % 3 == 0) for i in range(30)], "c string, k int, hard boolean")
     picks = P.stratified_halves(d, "c", F.col("hard"), "k", 4, 1).groupBy("half").count().collect()
     assert sorted((r["half"], r["count"]) for r in picks) == [("easy", 4), ("hard", 4)]
+
+
+def test_target_errors(spark):
+    rows = [(["a", "b"], [0.4, 0.6], [0.0, 1.0], "a"), (["a", "a"], [0.4, 0.7], [0.0], "z"), ([], [], [], None), (None, None, None, "a"), (["a"], [1.5], [0.0], "a")]
+    df = spark.createDataFrame(rows, "i array<string>, p array<double>, r array<double>, s string")
+    got = [r[0] for r in df.select(P.target_errors(*map(F.col, "iprs"))).collect()]
+    assert got[0] == [] and got[1] == ["repeated candidate", "lists of unequal length", "probabilities do not sum to one", "selected is no candidate"]
+    assert "no candidates" in got[2] and "no candidates" in got[3] and got[4] == ["probability outside 0 and 1", "probabilities do not sum to one"]
