@@ -132,6 +132,18 @@ def preservation(s: SparkSession, d: str) -> DataFrame:
     return c.select("record_id", F.array_join(X.preservation_errors(F.col("a"), F.col("b")), "; ").alias("errors"))
 
 
+def compact_texts(s: SparkSession, d: str) -> DataFrame:
+    """First question without label and menu, first answer behind its thoughts and without tags, its longest block, the
+    final text of both as sections, and whether the answer gives the method that its tag names."""
+    first = lambda role: F.try_element_at(F.filter("messages", lambda x: x["role"] == role), F.lit(1))["content"]
+    c = table(s, d, "chat_records").select("record_id", first("user").alias("q"), first("assistant").alias("a"))
+    question, said = X.strip_label(X.without_menu(F.col("q"))), X.after_thought(F.col("a"))
+    answer = X.without_tags(said, "method", "plan")
+    tag = X.tagged(F.col("a"), "method")
+    both = X.sections({"Question": question, "Answer": answer})
+    return c.select("record_id", F.md5(question).alias("question"), F.md5(answer).alias("answer"), F.length(X.longest_block(said)).alias("block"), F.md5(both).alias("both"), X.answer_matches(F.col("a"), tag).alias("names_method"))
+
+
 def canary_routes(s: SparkSession, d: str) -> DataFrame:
     """Canary prompts by the three kinds of route."""
     c = table(s, d, "routing_canary").where("text IS NOT NULL")
@@ -351,7 +363,7 @@ def crn_simulation(s: SparkSession, d: str) -> DataFrame:
     return rounded(O.simulate(x, ["family_id"], "predicted_method_id"))
 
 
-_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, canary_routes, protected_prompts, token_windows, router_canary, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, repair_targets, target_checks, arm_targets, menu_regrets, boundary_points, cvar_weights, lhs_scenarios, crn_simulation]
+_ALL = [normalized_text, word_ngrams, ngram_document_frequency, ngram_overlap, contamination_flags, exact_dedup, hash_split, split_counts, split_quota, stable_sample, round_robin_strata, largest_remainder, token_ratios, token_budget_trim, repeat_to_budget, chat_validation, message_counts, extract_numbers, compact_texts, canary_routes, protected_prompts, token_windows, router_canary, code_blocks, preservation, method_tags, text_router_nb, text_routes, mmr_select, accuracy_rollup, selector_metrics, family_language_metrics, language_macro_mean, group_regret, noninferiority_gates, threshold_sweep, guard_override, paired_bootstrap, best_adapter, pairwise_cosine, split_leakage, regret_softmax, policy_projection, direct_regret_target, repair_targets, target_checks, arm_targets, menu_regrets, boundary_points, cvar_weights, lhs_scenarios, crn_simulation]
 
 
 def queries() -> dict:
@@ -443,6 +455,12 @@ def oracle_sql() -> dict[str, str]:
         "ngram_overlap": f"{_overlap(4, _DOCS, 'doc_id', 'documents')} SELECT * FROM o",
         "contamination_flags": f"{_overlap(8, plain('(SELECT record_id, ' + user + ' AS text FROM chat_records)', 'record_id'), 'record_id', 'chat_records')} SELECT record_id, n_grams, best_ratio, best_ratio >= 0.5 AS contaminated FROM o",
         "exact_dedup": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_SQ}) AS kept_key FROM {_DOCS} WHERE text IS NOT NULL",
+        "compact_texts": r"""WITH c AS (SELECT record_id, list_filter(messages, lambda x : x.role = 'user')[1].content AS q, list_filter(messages, lambda x : x.role = 'assistant')[1].content AS a FROM chat_records),
+t AS (SELECT *, regexp_replace(trim(regexp_replace(q, '(?s)\n\s*\n[^\n]{0,24}[:：]\s*\nA[.)：].*$', ''), ' '), '^\s*(?:(?:problem|question|exercise|example|task|item|q|第)\s*#?\d+\s*(?:題|题)?|#\d+)\s*[.:：)、-]*\s*', '', 'i') AS question, trim(string_split(a, '</think>')[-1], ' ') AS said, nullif(trim(regexp_extract(a, '(?s)<method>(.*?)</method>', 1), ' '), '') AS tag FROM c),
+u AS (SELECT *, trim(regexp_replace(regexp_replace(said, '(?s)<method>.*?</method>', '', 'g'), '(?s)<plan>.*?</plan>', '', 'g'), ' ') AS answer, list_transform(regexp_extract_all(said, '(?s)```[^\n]*\n(.*?)```', 1), lambda x : regexp_replace(x, '\s+$', '')) AS blocks, trim(regexp_replace(lower(a), '\s+', ' ', 'g'), ' ') AS sa, trim(regexp_replace(lower(tag), '\s+', ' ', 'g'), ' ') AS sg FROM t),
+w AS (SELECT *, contains(' ' || regexp_replace(sa, '[^\p{L}\p{N}_.-]+', ' ', 'g') || ' ', ' ' || regexp_replace(sg, '[^\p{L}\p{N}_.-]+', ' ', 'g') || ' ') AS inside FROM u)
+SELECT record_id, md5(question) AS question, md5(answer) AS answer, CASE WHEN said IS NOT NULL THEN coalesce(list_max(list_transform(blocks, lambda x : length(x))), 0)::INT END AS block,
+  md5(concat_ws(chr(10) || chr(10), CASE WHEN trim(question, ' ') <> '' THEN 'Question:' || chr(10) || trim(question, ' ') END, CASE WHEN trim(answer, ' ') <> '' THEN 'Answer:' || chr(10) || trim(answer, ' ') END)) AS both, sa = sg OR ends_with(sa, sg) OR inside AS names_method FROM w""",
         "hash_split": f"SELECT doc_id, {split} AS split FROM {bucket}",
         "split_counts": f"SELECT {split} AS split, count(*) AS n FROM {bucket} GROUP BY 1",
         "split_quota": f"SELECT doc_id, source, split, position FROM (SELECT *, row_number() OVER (PARTITION BY source, split ORDER BY {order}, doc_id) AS position FROM (SELECT doc_id, nullif(lower(trim(source)), '') AS source, {split} AS split FROM {bucket})) WHERE position <= CASE split WHEN 'train' THEN 44 ELSE 3 END",
