@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import text as X
@@ -175,9 +175,9 @@ def method_tags(s: SparkSession, d: str) -> DataFrame:
     return t.where("method IS NOT NULL OR plan IS NOT NULL").select("record_id", "pos", "method", F.get_json_object("plan", "$.method_id").alias("planned"))
 
 
-def _router_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _router_parts(s: SparkSession, d: str, **more: Column) -> tuple[DataFrame, DataFrame]:
     """Labelled prompts and the model fitted on the half with an even digest of the text."""
-    c = table(s, d, "routing_canary").where("text IS NOT NULL").select("canary_row", "text", code_key(F.col("language")).alias("language"), F.coalesce(code_key(F.col("family_id")), F.lit("none")).alias("family"))
+    c = table(s, d, "routing_canary").where("text IS NOT NULL").select("canary_row", "text", F.coalesce(code_key(F.col("family_id")), F.lit("none")).alias("family"), *[c.alias(n) for n, c in more.items()])
     c = c.withColumn("half", F.conv(F.substring(F.sha2("text", 256), 1, 1), 16, 10).cast("int") % 2)
     return c, R.fit(c.where("half = 0"), "canary_row", "text", "family")
 
@@ -189,7 +189,7 @@ def text_router_nb(s: SparkSession, d: str) -> DataFrame:
 
 def router_canary(s: SparkSession, d: str) -> DataFrame:
     """Routing of the other half by language, through a model written to and read from the shared folder."""
-    c, model = _router_parts(s, d)
+    c, model = _router_parts(s, d, language=code_key(F.col("language")))
     path = shared_folder(s) + f"/router-{uuid.uuid4().hex}"
     R.save_model(model, path)
     return R.canary_metrics(R.score(c.where("half = 1"), R.load_model(s, path), "canary_row", "text"), c, "canary_row", "family", "language", "none", 0.5)
