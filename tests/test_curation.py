@@ -315,3 +315,20 @@ def test_menu_loses_no_option(spark):
     df = spark.createDataFrame([(1, list("uvwxy")), (2, list("uvwxyz"))], "id int, c array<string>")
     got = {r["id"]: r["m"] for r in df.select("id", L.menu(F.col("c"), F.col("id")).alias("m")).collect()}
     assert [x["label"] for x in got[1]] == list("ABCDEF") and got[2] is None
+
+
+def test_nearest_by_cells_with_missing_equal_and_unknown(spark):
+    """Many equal references, missing parameters and ties; a family without ranges has no distance, as in SQL."""
+    rng = random.Random(3)
+    rows = [(i, "f", {k: float(rng.randrange(5)) for k in "abc" if rng.random() > 0.1}) for i in range(400)] + [(400 + i, "f", {"a": 1.0, "b": 1.0, "c": 1.0}) for i in range(200)]
+    rows += [(1000, "unknown", {"a": 1.0}), (1001, "unknown", {"a": 2.0})]
+    df = spark.createDataFrame(rows, "id bigint, f string, p map<string,double>")
+    w = {"f": {"a": 4.0, "b": 4.0, "c": 4.0}}
+    points = [r for r in rows if r[0] % 11 == 0 or r[0] >= 1000]
+    for largest in (False, True):
+        got = {r["key"]: (r["novelty"], r["nearest"]) for r in O.nearest(df.where("id % 11 = 0 OR id >= 1000"), df, "f", "id", "p", w, largest, 8).collect()}
+        assert set(got) == {r[0] for r in points if r[1] == "f"}
+        for i, _, p in [r for r in points if r[1] == "f"]:
+            far = lambda q: [abs(p[k] - q[k]) / 4 if k in p and k in q else 1.0 for k in "abc"]  # noqa: B023, E731
+            d = {j: max(far(q)) if largest else (sum(x * x for x in far(q)) / 3) ** 0.5 for j, g, q in rows if g == "f" and j != i}
+            assert got[i] == (pytest.approx(min(d.values())), min(d, key=lambda j: (d[j], j)))
