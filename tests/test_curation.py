@@ -332,3 +332,17 @@ def test_nearest_by_cells_with_missing_equal_and_unknown(spark):
             far = lambda q: [abs(p[k] - q[k]) / 4 if k in p and k in q else 1.0 for k in "abc"]  # noqa: B023, E731
             d = {j: max(far(q)) if largest else (sum(x * x for x in far(q)) / 3) ** 0.5 for j, g, q in rows if g == "f" and j != i}
             assert got[i] == (pytest.approx(min(d.values())), min(d, key=lambda j: (d[j], j)))
+
+
+def test_novelty_sends_no_pairs_through_a_shuffle(spark):
+    """Pairs of points and references stay in a task; what is joined by keys has a line per point."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "f", {"a": rng.random(), "b": rng.random()}) for i in range(3000)], "id bigint, f string, p map<string,double>")
+    out = O.novelty(df.where("id % 100 = 0"), df, "f", "id", "p", {"f": {"a": 1.0, "b": 1.0}})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "block" not in plan
+    at = {r["id"]: r["p"] for r in df.collect()}
+    for r in out.collect():
+        p = at[r["key"]]
+        want = min((((p["a"] - q["a"]) ** 2 + (p["b"] - q["b"]) ** 2) / 2) ** 0.5 for j, q in at.items() if j != r["key"])
+        assert r["novelty"] == pytest.approx(want)
