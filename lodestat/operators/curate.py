@@ -9,25 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import text as X
+from lodestat.operators import grams as G
 from lodestat.operators.ordering import group_rank, running_totals, value_slices
-from lodestat.operators.skew import hot_keys, salted_join, salted_on
-from lodestat.session import cut
+from lodestat.operators.skew import salted_join
+from lodestat.session import cut, spread
 
 
 def ngram_overlap(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key: str, ref_text: str, n: int = 8) -> DataFrame:
     """(key, n_grams, union_ratio, best_ratio): share of a document's distinct word n-grams found in the
-    union of the references and in the single best reference; keys are unique. N-grams meet in an equi-join, as
-    digests of 16 bytes, frequent ones in slots; documents with fewer than n words have ratio 0. Documents are cut
-    into n-grams once for the counts of these and once for the join, as writing all n-grams would cost more than that."""
-    d = docs.select(key, X.word_ngrams(F.col(text), n).alias("__grams"))
-    size = d.select(key, F.size("__grams").cast("bigint").alias("n_grams"))
-    digest = F.unhex(F.md5("__gram")).alias("gram")
-    held = d.select(key, F.explode("__grams").alias("__gram")).select(key, digest)
-    r = cut(refs.select(F.col(ref_key).alias("__ref"), F.explode(X.word_ngrams(F.col(ref_text), n)).alias("__gram")).select("__ref", digest).distinct())
-    hot = hot_keys(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), ["gram"])
-    hits = salted_on(held, r, ["gram"], F.col(key), hot).groupBy(key, "__ref").agg(F.count(F.lit(1)).alias("h")).groupBy(key).agg(F.max("h").alias("best"))
-    union = salted_on(held, r.select("gram").distinct(), ["gram"], F.col(key), hot, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("any"))
-    j = size.join(hits, key, "left").join(union, key, "left")
+    union of the references and in the single best reference; keys of both are unique. N-grams are compared as digests of
+    16 bytes; documents with fewer than n words have ratio 0.
+
+    Documents keep only those n-grams that a bitmap of the references' lets pass, and references those that one of these
+    lets pass. Documents, and references, with the same set left form a class; classes meet in blocks, so that no pair of
+    a document and a reference and no n-gram that is not shared goes through a shuffle."""
+    r = spread(refs.select(ref_key, ref_text)).select(F.col(ref_key).alias("__ref"), X.normalize_text(F.col(ref_text)).alias("__text"))
+    d = spread(docs.select(key, text)).select(key, X.normalize_text(F.col(text)).alias("__text"))
+    held = cut(G.digest_sets(d, key, "__text", n, G.bitmap_of_texts(r.select("__text"), n)).withColumn("cls", F.when(F.length("hits") > 0, F.unhex(F.md5("hits")))))
+    some = held.where("cls IS NOT NULL")
+    sets = cut(some.groupBy("cls", "hits").agg(F.count(F.lit(1)).alias("n")))
+    others = cut(G.digest_sets(r, "__ref", "__text", n, G.bitmap_of_sets(sets.select("hits"))).where(F.length("hits") > 0).select("hits").distinct())
+    one = lambda df, *more: df.select(*more, F.explode(G.members("hits")).alias("gram"))
+    union = salted_join(one(sets, "cls"), one(others).distinct(), ["gram"], F.col("cls"), "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("any"))
+    per = cut(union.join(G.most_shared(sets.select("cls", "hits"), others), "cls", "left"))
+    j = salted_join(some.drop("hits"), per, ["cls"], F.col(key), "left", counts=sets.select("cls", "n"))
+    none = held.where("cls IS NULL").select(key, "n_grams", F.lit(0).cast("bigint").alias("any"), F.lit(0).cast("bigint").alias("best"))
+    j = j.select(key, "n_grams", "any", "best").unionByName(none)
     ratio = lambda c: F.when(F.col("n_grams") > 0, F.coalesce(c, F.lit(0)) / F.col("n_grams")).otherwise(0.0)
     return j.select(key, "n_grams", ratio(F.col("any")).alias("union_ratio"), ratio(F.col("best")).alias("best_ratio"))
 

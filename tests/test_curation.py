@@ -346,3 +346,20 @@ def test_novelty_sends_no_pairs_through_a_shuffle(spark):
         p = at[r["key"]]
         want = min((((p["a"] - q["a"]) ** 2 + (p["b"] - q["b"]) ** 2) / 2) ** 0.5 for j, q in at.items() if j != r["key"])
         assert r["novelty"] == pytest.approx(want)
+
+
+def test_overlap_of_shared_texts_by_classes(spark, monkeypatch):
+    """Templates shared by many documents and references meet as classes, in several blocks, with the result of all pairs."""
+    from lodestat.operators import grams as G
+
+    monkeypatch.setattr(G, "MEET", 16)
+    rng = random.Random(9)
+    made = lambda: f"the arms of site {rng.randrange(6)} were {rng.choice('abc')} by a factor of {rng.randrange(6)} here"
+    docs, refs = [(i, made()) for i in range(400)], [(i, made()) for i in range(300)] + [(300, None)]
+    cut = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    of = [cut(t) for _, t in refs if t]
+    got = U.ngram_overlap(spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame(refs, "r int, u string"), "id", "t", "r", "u", 3).collect()
+    assert len(got) == 400
+    for r in got:
+        g = cut(docs[r["id"]][1])
+        assert r["n_grams"] == len(g) and r["union_ratio"] == pytest.approx(len(g & set().union(*of)) / len(g)) and r["best_ratio"] == pytest.approx(max(len(g & x) for x in of) / len(g))
