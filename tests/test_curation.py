@@ -363,3 +363,16 @@ def test_overlap_of_shared_texts_by_classes(spark, monkeypatch):
     for r in got:
         g = cut(docs[r["id"]][1])
         assert r["n_grams"] == len(g) and r["union_ratio"] == pytest.approx(len(g & set().union(*of)) / len(g)) and r["best_ratio"] == pytest.approx(max(len(g & x) for x in of) / len(g))
+
+
+def test_digests_count_the_same_ngrams_as_the_column_form(spark):
+    from lodestat.functions import text as X
+    from lodestat.operators import grams as G
+
+    rows = [None, "", " ", "a", "a b", "a b a b a b", "ＡΣ b\tc  d ΑΣ　x", "é é é é", "x\x0by\x0cz x y z", "没有 人 确认 没有 人"]
+    d = spark.createDataFrame(list(enumerate(rows)), "id int, t string").select("id", "t", X.normalize_text(F.col("t")).alias("text"))
+    full = b"\xff" * (1 << (G.BITS - 3))
+    for n in (1, 2, 4):
+        want = {r["id"]: len(r["g"]) for r in d.select("id", X.word_ngrams(F.col("t"), n).alias("g")).collect()}
+        got = G.digest_sets(d, "id", "text", n, full).collect()
+        assert {r["id"]: r["n_grams"] for r in got} == want == {r["id"]: len(r["hits"]) // 16 for r in got}
