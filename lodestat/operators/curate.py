@@ -23,8 +23,8 @@ def ngram_overlap(docs: DataFrame, refs: DataFrame, key: str, text: str, ref_key
     Documents keep only those n-grams that a bitmap of the references' lets pass, and references those that one of these
     lets pass. Documents, and references, with the same set left form a class; classes meet in blocks, so that no pair of
     a document and a reference and no n-gram that is not shared goes through a shuffle."""
-    r = spread(refs.select(ref_key, ref_text)).select(F.col(ref_key).alias("__ref"), X.normalize_text(F.col(ref_text)).alias("__text"))
-    d = spread(docs.select(key, text)).select(key, X.normalize_text(F.col(text)).alias("__text"))
+    r = spread(refs.select(ref_key, ref_text)).select(F.col(ref_key).alias("__ref"), F.col(ref_text).alias("__text"))
+    d = spread(docs.select(key, F.col(text).alias("__text")))
     held = cut(G.digest_sets(d, key, "__text", n, G.bitmap_of_texts(r.select("__text"), n)).withColumn("cls", F.when(F.length("hits") > 0, F.unhex(F.md5("hits")))))
     some = held.where("cls IS NOT NULL")
     sets = cut(some.groupBy("cls", "hits").agg(F.count(F.lit(1)).alias("n")))

@@ -4,7 +4,10 @@ digests another set has."""
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,64 +18,126 @@ from pyspark.sql import functions as F
 #: A bitmap has 2 ** BITS bits, 8 MB, whatever the number of digests. With very many of them it lets more pass, which
 #: costs shuffle only. CHUNK: its bytes per line.
 BITS, CHUNK = 26, 4096
+#: Bits of a digest in a bitmap: a digest that isn't there passes only if all of them are set by others. The numbers
+#: mix its first half for each of them.
+PROBES = 4
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+#: Capital letters that Spark's `lower` knows and Python's may not yet, and the small ones;
+#: how their bytes begin.
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {n: n + 32 for n in range(0x10D50, 0x10D66)}
+_NEWER = sorted({chr(n).encode()[:-1] for n in _LOWER})
 #: Words remembered by a task.
 _WORDS = 500_000
 #: Sets of the one and of the other side that meet in a task, at most.
 MEET = 65_536
 
 
+class _Places(dict):
+    """Places of the words seen, and their digests one after the other."""
+
+    def __init__(self):
+        self.raw = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.raw += hashlib.blake2b(word, digest_size=16).digest()
+        return i
+
+
+def split_words(text: str | None) -> list[bytes]:
+    """The words of the normalised text (functions.text.normalize_text), as UTF-8."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.lower().encode().split()
+    raw = unicodedata.normalize("NFKC", text).replace("Σ", "σ").lower().encode("utf-8", "surrogatepass")
+    if any(x in raw for x in _NEWER):
+        raw = raw.decode("utf-8", "surrogatepass").translate(_LOWER).encode("utf-8", "surrogatepass")
+    return raw.split()
+
+
+class Grams(NamedTuple):
+    """Distinct word n-grams of texts: the text each belongs to, the first number of its digest, and a function
+    that gives the whole digests (two numbers) of some of them."""
+
+    owner: np.ndarray
+    first: np.ndarray
+    whole: Callable[[np.ndarray], np.ndarray]
+
+
 class Digests:
-    """Digests of 16 bytes (two numbers) of the word n-grams of texts whose words stand between single blanks: sums of
-    digests of the words, times an odd number for each place."""
+    """Digests of 16 bytes (two numbers) of the word n-grams of texts: sums of digests of the words, times an odd number
+    for each place."""
 
     def __init__(self, n: int):
         self.n = n
         raw = b"".join(hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(n))
         self.factors = np.frombuffer(raw, np.uint64).reshape(n, 2) | np.uint64(1)
-        self.words: dict[str, int] = {}
-        self.raw = bytearray()
-
-    def _place(self, word: str) -> int:
-        i = self.words[word] = len(self.words)
-        self.raw += hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        return i
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the text, digests) of the distinct n-grams of each text, in the order of text and digest."""
-        if len(self.words) > _WORDS:
-            self.words, self.raw = {}, bytearray()
-        split = [[w for w in t.split(" ") if w] if t else [] for t in texts]
-        get, place = self.words.get, self._place
-        at = np.array([place(w) if (i := get(w)) is None else i for words in split for w in words], np.int64)
-        size = np.array([len(w) for w in split], np.int64)
+        self.places = _Places()
+
+    def of(self, texts: list[str | None]) -> Grams:
+        """The distinct n-grams of each text, in the order of the texts."""
+        if len(self.places) > _WORDS:
+            self.places = _Places()
+        split = [split_words(t) for t in texts]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        table = np.frombuffer(bytes(self.places.raw), np.uint64).reshape(-1, 2)
         grams = np.maximum(size - self.n + 1, 0)
         owner = np.repeat(np.arange(len(texts)), grams)
-        if not len(owner):
-            return owner, np.empty((0, 2), np.uint64)
         start = np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(np.cumsum(size) - size, grams)
-        table = np.frombuffer(bytes(self.raw), np.uint64).reshape(-1, 2)
-        h = np.zeros((len(owner), 2), np.uint64)
-        for j in range(self.n):
-            h += table[at[start + j]] * self.factors[j]
-        by = np.lexsort((h[:, 1], h[:, 0], owner))
-        owner, h = owner[by], h[by]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]).any(axis=1)
-        return owner[new], h[new]
-
-
-def _bits(h: np.ndarray) -> np.ndarray:
-    return (h[:, 0] >> np.uint64(64 - BITS)).astype(np.int64)
+        if not len(owner):
+            return Grams(owner, np.empty(0, np.uint64), lambda i: np.empty((0, 2), np.uint64))
+        one = table[:, 0][at]
+        sums = one[: len(at) - self.n + 1] * self.factors[0, 0]
+        for j in range(1, self.n):
+            sums += one[j : len(at) - self.n + 1 + j] * self.factors[j, 0]
+        first = sums[start]
+
+        def whole(i: np.ndarray) -> np.ndarray:
+            return np.column_stack([first[i], sum(table[at[start[i] + j], 1] * self.factors[j, 1] for j in range(self.n))])
+
+        # one number for text and digest finds what may be equal, the whole digests say what is
+        mixed = first + owner.astype(np.uint64) * _MIX[0]
+        by = np.argsort(mixed)
+        equal = np.flatnonzero(mixed[by[1:]] == mixed[by[:-1]])
+        a, b = by[equal], by[equal + 1]
+        if (owner[a] == owner[b]).all() and (whole(a) == whole(b)).all():
+            keep = np.ones(len(owner), bool)
+            keep[b] = False
+            kept = np.flatnonzero(keep)
+        else:
+            h = whole(np.arange(len(owner)))
+            by = np.lexsort((h[:, 1], h[:, 0], owner))
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[by[1:]] != owner[by[:-1]]) | (h[by[1:]] != h[by[:-1]]).any(axis=1)
+            kept = np.sort(by[new])
+        return Grams(owner[kept], first[kept], lambda i: whole(kept[i]))
+
+
+def _bits(first: np.ndarray, probe: int) -> np.ndarray:
+    return (first * _MIX[probe] >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def passing(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which digests, by their first numbers, a bitmap lets pass: those that have all their bits there."""
+    some = np.arange(len(first))
+    for probe in range(PROBES):
+        at = _bits(first[some], probe)
+        some = some[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+    return some
 
 
 def _bitmap(df: DataFrame, digests: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> bytes:
-    """The bitmap of all digests that a function gives for the batches of a table."""
+    """The bitmap of all digests of which a function gives the first numbers, for the batches of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, out = digests(), np.zeros(1 << (BITS - 3), np.uint8)
         for b in batches:
-            at = _bits(of(b))
-            np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            first = of(b)
+            for probe in range(PROBES):
+                at = _bits(first, probe)
+                np.bitwise_or.at(out, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         lines = out.reshape(-1, CHUNK)
         some = np.flatnonzero(lines.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 256)):
@@ -86,34 +151,35 @@ def _bitmap(df: DataFrame, digests: Callable[[], Callable[[pa.RecordBatch], np.n
 
 
 def bitmap_of_texts(texts: DataFrame, n: int) -> bytes:
-    """Of a table with the one column of normalised texts: the bitmap of their n-grams."""
+    """Of a table with the one column of texts: the bitmap of their n-grams."""
 
     def digests() -> Callable[[pa.RecordBatch], np.ndarray]:
         d = Digests(n)
-        return lambda b: d.of(b.column(0).to_pylist())[1]
+        return lambda b: d.of(b.column(0).to_pylist()).first
 
     return _bitmap(texts, digests)
 
 
 def bitmap_of_sets(sets: DataFrame) -> bytes:
     """Of a table with the one column of sets of digests: the bitmap of these."""
-    return _bitmap(sets, lambda: lambda b: np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(-1, 2))
+    return _bitmap(sets, lambda: lambda b: np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)[::2])
 
 
 def digest_sets(df: DataFrame, key: str, text: str, n: int, wanted: bytes) -> DataFrame:
-    """(key, n_grams, hits): the number of distinct n-grams of a normalised text, and the digests of those that may be
-    wanted, sorted and one after the other."""
+    """(key, n_grams, hits): the number of distinct n-grams of a text, and the digests of those that may be wanted, sorted
+    and one after the other. Words are those of the normalised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, bits = Digests(n), np.frombuffer(wanted, np.uint8)
         for b in batches:
-            owner, h = d.of(b.column(1).to_pylist())
-            at = _bits(h)
-            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            grams = d.of(b.column(1).to_pylist())
+            hit = passing(bits, grams.first)
+            h, of = grams.whole(hit), grams.owner[hit]
+            h = h[np.lexsort((h[:, 1], h[:, 0], of))]
             ends = np.zeros(len(b) + 1, np.int32)
-            np.cumsum(16 * np.bincount(owner[hit], minlength=len(b)), out=ends[1:])
-            hits = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h[hit].tobytes())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(owner, minlength=len(b)), pa.int64()), hits], [key, "n_grams", "hits"])
+            np.cumsum(16 * np.bincount(of, minlength=len(b)), out=ends[1:])
+            hits = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(grams.owner, minlength=len(b)), pa.int64()), hits], [key, "n_grams", "hits"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_grams bigint, hits binary")
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -376,3 +377,44 @@ def test_digests_count_the_same_ngrams_as_the_column_form(spark):
         want = {r["id"]: len(r["g"]) for r in d.select("id", X.word_ngrams(F.col("t"), n).alias("g")).collect()}
         got = G.digest_sets(d, "id", "text", n, full).collect()
         assert {r["id"]: r["n_grams"] for r in got} == want == {r["id"]: len(r["hits"]) // 16 for r in got}
+
+
+def test_bitmap_lets_hardly_anything_pass_that_is_not_there(spark):
+    """A bitmap with one bit a digest let about every tenth digest pass here, and with it most texts, though nothing is shared."""
+    from lodestat.operators import grams as G
+
+    word = lambda tag, i: f"{tag}{i}"
+    refs = spark.createDataFrame([(" ".join(word("r", 35_000 * k + i) for i in range(35_000)),) for k in range(200)], "u string")
+    docs = spark.createDataFrame([(k, " ".join(word("d", 50 * k + i) for i in range(50))) for k in range(2000)], "id int, t string")
+    bits = G.bitmap_of_texts(refs.repartition(8), 1)
+    got = G.digest_sets(docs, "id", "t", 1, bits).collect()
+    assert len(got) == 2000 and all(r["n_grams"] == 50 for r in got)
+    assert sum(len(r["hits"]) // 16 for r in got) < 3000
+
+
+def test_words_of_a_text_are_those_of_the_normalised_text(spark):
+    from lodestat.functions import text as X
+    from lodestat.operators import grams as G
+
+    rows = [f"a{chr(i)}B {chr(i)}" for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and (chr(i).lower() != chr(i) or chr(i).isspace() or i < 0x300 or i in G._LOWER)]
+    rows += [None, "", "ΑΣ ΟΔΟΣ.", "\tＡ\u3000Ⅻ\x0bfi\ufb01 \r\n x\u00a0y\x1cz", "İI ẞ"]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", X.normalize_text(F.col("t")).alias("n")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert G.split_words(r["t"]) == [w.encode() for w in (r["n"] or "").split(" ") if w]
+
+
+def test_equal_ngrams_of_a_text_count_once_whatever_their_digests(monkeypatch):
+    """With first numbers that are all equal, the second ones tell the n-grams apart; no n-gram goes over a text's end."""
+    from lodestat.operators import grams as G
+
+    texts = ["a b a b a b", None, "", "a", "b a", "x y z x y z x", "a b"]
+    for blunt in (False, True):
+        d = G.Digests(2)
+        if blunt:
+            d.factors[:, 0] = 0
+        g = d.of(texts)
+        assert g.owner.tolist() == [0, 0, 4, 5, 5, 5, 6]
+        h = [tuple(x) for x in g.whole(np.arange(7)).tolist()]
+        assert len(set(h)) == 5 and h[6] in h[:2] and h[2] in h[:2]
+    assert len(d.of([]).owner) == len(d.of(["a", None]).owner) == 0
