@@ -6,7 +6,7 @@ what comes out is compressed with a zstandard dictionary of the language. The ch
 description, its own cost included, wins; without a gain the sentence stays as it is.
 
 Sentences made only of units (words with characters beyond ASCII, pairs of Han characters) that are usual in
-the training sample need no compression: no chain would turn them into anything more usual.
+the sound sentences of all documents need no compression: no chain would turn them into anything more usual.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from typing import NamedTuple
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.functions.keys import code_key
-from lodestat.operators.ordering import hash_order
+from lodestat.session import cut
 
 #: Encodings a text may wrongly have been read in, each with those it may really be in.
 CHAINS = {
@@ -51,9 +51,9 @@ LEVEL = 19
 #: Bytes that a reading by runs between two-byte encodings must gain beyond the cost of its step.
 RUN_COST = 6.0
 DICTIONARY_BYTES = 112_000
-#: Bounds of what is trained: documents and characters of the sample and usual units per language, languages
-#: with a model of their own (texts of others are read with all models).
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, MOST_UNITS, MOST_LANGUAGES = 2000, 20_000, 50_000, 16
+#: Documents and characters of a block that is trained at once, languages with a model of their own (texts of others
+#: are read with all models), bytes of the pieces in which dictionaries are merged.
+BLOCK_DOCUMENTS, BLOCK_CHARS, MOST_LANGUAGES, PIECE = 2000, 40_000_000, 16, 1024
 
 
 def _upper(enc: str) -> dict[str, bytes]:
@@ -277,36 +277,61 @@ class Repair:
         return fixed, chains, lost
 
 
-def train_dictionaries(docs: DataFrame, text: str, lang: str, per_language: int = SAMPLE_DOCUMENTS, most_chars: int = SAMPLE_CHARS, most_languages: int = MOST_LANGUAGES, seed: int = 0) -> dict[str, Model]:
-    """A model per language, for the `most_languages` languages with most documents, from a bounded sample:
-    the `per_language` documents with the smallest hash, of those up to `most_chars` characters. Each
-    language is trained in one task; the driver gets the models only (at most 112 kB and MOST_UNITS
-    units each). Everything else runs over all documents."""
-    d = docs.select(code_key(F.col(lang)).alias("lang"), F.col(text).alias("text"))
-    n = d.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    # a hash threshold first, so that the ranking sees about four times the sample, not the corpus
-    d = d.where("length(text) BETWEEN 1 AND %d" % most_chars).withColumn("h", hash_order(seed, F.col("text"))).join(F.broadcast(n), "lang")
-    d = d.where(F.col("h") <= F.least(F.lit(1.0), 4.0 * per_language / F.col("n")) * float(1 << 63))
-    d = d.dropDuplicates(["lang", "text"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+def train_dictionaries(docs: DataFrame, text: str, lang: str, per_block: int = BLOCK_DOCUMENTS, block_chars: int = BLOCK_CHARS, most_languages: int = MOST_LANGUAGES, fan: int = 16) -> dict[str, Model]:
+    """A model per language, for the `most_languages` languages with most documents, from all their different texts.
+
+    The texts of a language go by hash to blocks of about `per_block` documents and at most about `block_chars` characters.
+    A block's sound sentences give its dictionary and the numbers of its units. Dictionaries are merged by
+    `fan` until one is left, numbers are added up: a unit is usual that is seen as often for its number of documents as
+    three times in `per_block`. The driver gets the models only."""
+    d = docs.select(code_key(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64("text"))
+    counted = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("texts"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not counted:
+        return {}
+    # equal texts are in one block and count once there; chars holds copies too, so blocks are rather smaller
+    blocks = {r["lang"]: max(-(-r["texts"] // per_block), -(-(r["chars"] * r["texts"] // r["n"]) // block_chars)) for r in counted}
+    of = docs.sparkSession.createDataFrame(list(blocks.items()), "lang string, blocks bigint")
+    d = d.join(F.broadcast(of), "lang").withColumn("block", F.pmod("h", "blocks")).select("lang", "block", "text")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = sound([x for t in pdf.sort_values("r")["text"] for x in sentences(t)])
+        at = pdf["lang"].iloc[0], pdf["block"].iloc[0]
+        kept = sound([x for t in sorted(set(pdf["text"])) for x in sentences(t)])
+        rows = [(*at, None, u, n) for u, n in unit_counts(kept).items()]
         made = _compressed(kept)
-        rows = [(pdf["lang"].iloc[0], made, sorted(usual_units(kept)))] if made else []
-        return pd.DataFrame(rows, columns=["lang", "dictionary", "known"])
-
-    got = d.select("lang", "text", "r").groupBy("lang").applyInPandas(learn, "lang string, dictionary binary, known array<string>")
-    return {r["lang"]: Model(bytes(r["dictionary"]), frozenset(r["known"])) for r in got.collect()}
-
-
-def usual_units(kept: Sequence[str], least: int = 3, most: int = MOST_UNITS) -> frozenset[str]:
-    """Units seen at least `least` times in sound sentences, without signs that prose doesn't have and without
-    signs beside accented letters only."""
+        return pd.DataFrame(rows + [(*at, made, None, 0)] * (made is not None), columns=["lang", "block", "dictionary", "unit", "n"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [bytes(x) for x in pdf.sort_values("block")["dictionary"]]
+        made = parts[0] if len(parts) == 1 else _trained([p[i : i + PIECE] for p in parts for i in range(0, len(p), PIECE)])
+        return pd.DataFrame([(pdf["lang"].iloc[0], pdf["block"].iloc[0] // fan, made)], columns=["lang", "block", "dictionary"])
+
+    learnt = cut(d.groupBy("lang", "block").applyInPandas(learn, "lang string, block bigint, dictionary binary, unit string, n bigint"))
+    made = learnt.where("dictionary IS NOT NULL").select("lang", "block", "dictionary")
+    left = max(blocks.values())
+    while left > 1:
+        made = made.groupBy("lang", F.floor(F.col("block") / fan).alias("to")).applyInPandas(merged, "lang string, block bigint, dictionary binary")
+        left = -(-left // fan)
+    least = docs.sparkSession.createDataFrame([(r["lang"], 3 * max(1.0, r["texts"] / per_block)) for r in counted], "lang string, least double")
+    usual = learnt.where("unit IS NOT NULL").groupBy("lang", "unit").agg(F.sum("n").alias("n")).join(F.broadcast(least), "lang").where("n >= least")
+    known: dict[str, set[str]] = {}
+    for r in usual.select("lang", "unit").collect():
+        known.setdefault(r["lang"], set()).add(r["unit"])
+    return {r["lang"]: Model(bytes(r["dictionary"]), frozenset(known.get(r["lang"], ()))) for r in made.collect()}
+
+
+def unit_counts(kept: Sequence[str]) -> Counter:
+    """How often sound sentences have each unit, without signs that prose doesn't have and without signs beside accented
+    letters only."""
     c: Counter = Counter()
     for x in kept:
         c.update(units(x))
     odd = lambda u: _STRANGE.search(u) or (_SIGN.search(u) and _ACCENTED.search(u) and not _LETTERS.search(u))
-    return frozenset(u for u, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least and not odd(u))
+    return Counter({u: n for u, n in c.items() if not odd(u)})
+
+
+def usual_units(kept: Sequence[str], least: int = 3) -> frozenset[str]:
+    """The units that sound sentences of one block have at least `least` times."""
+    return frozenset(u for u, n in unit_counts(kept).items() if n >= least)
 
 
 def dictionary(samples: Sequence[str], size: int = DICTIONARY_BYTES) -> bytes | None:
@@ -315,7 +340,10 @@ def dictionary(samples: Sequence[str], size: int = DICTIONARY_BYTES) -> bytes |
 
 
 def _compressed(sentences: Sequence[str], size: int = DICTIONARY_BYTES) -> bytes | None:
-    kept = [x.encode("utf-8", "surrogatepass") for x in sentences]
+    return _trained([x.encode("utf-8", "surrogatepass") for x in sentences], size)
+
+
+def _trained(kept: Sequence[bytes], size: int = DICTIONARY_BYTES) -> bytes | None:
     try:
         return zstandard.train_dictionary(size, kept).as_bytes()
     except zstandard.ZstdError:

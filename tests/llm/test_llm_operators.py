@@ -486,3 +486,19 @@ def test_mojibake_runs_between_two_byte_encodings():
     # sound headings beside such a character stay, though their runs can be read in another way
     for sound in ("� 斜率", "한 估计效果", "� 标准误差", "한 第二位审稿人"):
         assert mojibake.repair_sentence(sound, "zh_hans", lengths) == (sound, [])
+
+
+def test_mojibake_models_come_from_all_texts(spark):
+    """Words of texts with a large hash only, or of very long ones only, are usual too; dictionaries of blocks are merged."""
+    from lodestat.operators.ordering import hash_order
+
+    hashed = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string").withColumn("h", hash_order(0, F.col("text"))).orderBy("h").collect()
+    base = hashed(f"Die Prüfung {i} war für alle gut." for i in range(2400))
+    far = [r["text"] for r in hashed(f"Die Prüfung {i} war gut. Der Südpol ist kälter." for i in range(1500)) if r["h"] > base[1999]["h"]][:100]
+    long_ = [f"Das Maß {i} ist gültig. " + "Es war so. " * 3000 for i in range(9)]
+    docs = spark.createDataFrame([(t, "de") for t in [r["text"] for r in base] + far + long_ + long_], "text string, lang string")
+    for per_block, words in ((2000, {"Maß", "gültig."}), (300, set())):
+        m = mojibake.train_dictionaries(docs, "text", "lang", per_block=per_block, fan=4)["de"]
+        assert len(far) == 100 and {"Prüfung", "für", "Südpol", "kälter."} | words <= m.known
+        assert mojibake.Repair({"de": m}).text("Der SÃ¼dpol ist kÃ¤lter.", "de")[0] == "Der Südpol ist kälter."
+    assert mojibake.train_dictionaries(docs.where("false"), "text", "lang") == {}
